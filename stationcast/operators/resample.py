@@ -43,6 +43,20 @@ def resample_daily(
     )
 
 
+def resample_hourly(
+    df: DataFrame, key: str, time: str, means: list[str], *, hour: str = "hour", places: int = 3,
+    digits: int = UNIT_DIGITS,
+) -> DataFrame:
+    """One row per key and hour with the mean of each measure."""
+    at = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz").alias(hour)
+    return df.groupBy(key, at).agg(
+        *[
+            exact_mean(F.sum(to_units(F.col(c), digits)), F.count(c), digits, places).alias(c)
+            for c in means
+        ]
+    )
+
+
 def widen(df: DataFrame, key: list[str], metric: str, values: dict[str, tuple[str, str]]) -> DataFrame:
     """Long readings to one nullable column per measure; a projection, no shuffle.
 
