@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import UNIT_DIGITS, exact_mean, from_units, to_units
 
 
+def fixed_point_sums(means: list[str], sums: list[str] = (), digits: int = UNIT_DIGITS) -> list[Column]:
+    """Integer sums and counts behind the means and sums of the measures."""
+    aggs = []
+    for c in means:
+        aggs += [F.sum(to_units(F.col(c), digits)).alias(f"_s_{c}"), F.count(F.col(c)).alias(f"_n_{c}")]
+    return aggs + [F.sum(to_units(F.col(c), digits)).alias(f"_s_{c}") for c in sums]
+
+
+def from_sums(means: list[str], sums: list[str] = (), digits: int = UNIT_DIGITS, places: int = 3) -> list[Column]:
+    """Rounded means and sums; a sum without values is 0, a mean is null."""
+    return [
+        *[exact_mean(F.col(f"_s_{c}"), F.col(f"_n_{c}"), digits, places).alias(c) for c in means],
+        *[F.coalesce(from_units(F.col(f"_s_{c}"), digits), F.lit(0.0)).alias(c) for c in sums],
+    ]
+
+
 def resample_daily(
     df: DataFrame,
     key: str,
@@ -26,21 +42,11 @@ def resample_daily(
     and counts, so the map side combines a hot station to one row per day before the
     shuffle on (key, day).
     """
-    aggs = []
-    for c in means:
-        units = to_units(F.col(c), digits)
-        aggs += [F.sum(units).alias(f"_s_{c}"), F.count(F.col(c)).alias(f"_n_{c}")]
-    aggs += [F.sum(to_units(F.col(c), digits)).alias(f"_s_{c}") for c in sums]
+    aggs = fixed_point_sums(means, sums, digits)
     if count:
         aggs.append(F.count(F.lit(1)).alias(count))
     daily = df.groupBy(key, F.to_date(time).alias(day)).agg(*aggs)
-    return daily.select(
-        key,
-        day,
-        *[exact_mean(F.col(f"_s_{c}"), F.col(f"_n_{c}"), digits, places).alias(c) for c in means],
-        *[F.coalesce(from_units(F.col(f"_s_{c}"), digits), F.lit(0.0)).alias(c) for c in sums],
-        *([count] if count else []),
-    )
+    return daily.select(key, day, *from_sums(means, sums, digits, places), *([count] if count else []))
 
 
 def resample_hourly(
@@ -49,12 +55,8 @@ def resample_hourly(
 ) -> DataFrame:
     """One row per key and hour with the mean of each measure."""
     at = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz").alias(hour)
-    return df.groupBy(key, at).agg(
-        *[
-            exact_mean(F.sum(to_units(F.col(c), digits)), F.count(c), digits, places).alias(c)
-            for c in means
-        ]
-    )
+    hourly = df.groupBy(key, at).agg(*fixed_point_sums(means, digits=digits))
+    return hourly.select(key, hour, *from_sums(means, digits=digits, places=places))
 
 
 def widen(df: DataFrame, key: list[str], metric: str, values: dict[str, tuple[str, str]]) -> DataFrame:

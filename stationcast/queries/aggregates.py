@@ -227,21 +227,23 @@ def mean_abs_attribution_(spark, sf_dir):
 
 @query(
     "gram_matrix",
-    f"WITH {src.PREDS}, p AS (SELECT * FROM preds WHERE y_true IS NOT NULL) "
+    f"WITH {src.PREDS}, p AS (SELECT horizon, round(y_true * 100) AS y_true, "
+    + ", ".join(f"floor(p_{f} * 100) AS p_{f}" for f in FAMILIES) + " FROM preds WHERE y_true IS NOT NULL) "
     + " UNION ALL ".join(
-        f"SELECT horizon, 'p_{a}' AS a, 'p_{b}' AS b, round(sum(p_{a} * p_{b}), 2) AS total FROM p GROUP BY 1"
+        f"SELECT horizon, 'p_{a}' AS a, 'p_{b}' AS b, sum(p_{a} * p_{b}) AS total FROM p GROUP BY 1"
         for i, a in enumerate(FAMILIES)
         for b in FAMILIES[i:]
     )
     + " UNION ALL "
     + " UNION ALL ".join(
-        f"SELECT horizon, 'p_{a}', 'y_true', round(sum(p_{a} * y_true), 2) FROM p GROUP BY 1" for a in FAMILIES
+        f"SELECT horizon, 'p_{a}', 'y_true', sum(p_{a} * y_true) FROM p GROUP BY 1" for a in FAMILIES
     ),
 )
 def gram_matrix(spark, sf_dir):
-    df = src.preds(spark, sf_dir).dropna(subset=["y_true"])
-    out = gram_long(df, ["horizon"], "y_true", [f"p_{f}" for f in FAMILIES])
-    return out.withColumn("total", F.round("total", 2))
+    # in whole hundredths, so that the sums of products are exact
+    df = src.preds(spark, sf_dir).dropna(subset=["y_true"]).withColumn("y_true", F.rint(F.col("y_true") * 100.0))
+    df = df.withColumns({f"p_{f}": F.floor(F.col(f"p_{f}") * 100.0).cast("double") for f in FAMILIES})
+    return gram_long(df, ["horizon"], "y_true", [f"p_{f}" for f in FAMILIES])
 
 
 @query(

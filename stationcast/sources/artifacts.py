@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import FAMILIES, FAMILY_PREFIX, PREDICTION_SCHEMA
-from .files import read_csv
+from .files import CSV, read_csv
 
 STAMP = "yyyyMMdd'T'HHmmss'Z'"
 ARTIFACT = r"^([a-z]+)_(AQI_t\+\d)_(\d{8}T\d{6}Z)$"
@@ -30,7 +30,7 @@ def latest_artifacts(registry: DataFrame, by=("family", "horizon"), created: str
 
 def write_predictions(preds: DataFrame, path: str) -> None:
     """CSV files below one folder per artifact (column ``artifact``)."""
-    preds.write.mode("errorifexists").partitionBy("artifact").option("header", True).csv(path)
+    preds.write.mode("errorifexists").partitionBy("artifact").options(**CSV).csv(path)
 
 
 def newest_folders(files: list[str]) -> list[str]:

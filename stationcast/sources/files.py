@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# csv keeps microseconds; the default format would cut them to milliseconds
+CSV = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with header and declared types; nothing is inferred, so there is no extra pass."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def read_any(spark: SparkSession, csv_path: str, parquet_path: str, schema: T.StructType) -> DataFrame:
@@ -28,7 +32,7 @@ def read_any(spark: SparkSession, csv_path: str, parquet_path: str, schema: T.St
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
