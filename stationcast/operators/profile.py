@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import FEATURE_GROUPS, in_group
 from ..functions.numeric import from_units, to_units
 from .quantiles import exact_quantiles, unpivot
+from .small import checked_small
 
 
 def describe(df: DataFrame, cols: list[str], *, digits: int) -> DataFrame:
@@ -89,20 +90,22 @@ def correlation_matrix(df: DataFrame, cols: list[str], *, max_cols: int = 50, ch
 def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     """Counts of ``bins`` equal bins between each group's minimum and maximum.
 
-    Values are first counted per group, so the join with the bounds and the binning work on
-    distinct values. The last bin includes the maximum; empty bins are not listed.
+    The bounds come from a first pass and are a row per group; the second pass bins and
+    counts where the rows are. The last bin includes the maximum; empty bins are not listed.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    bounds = counts.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    at = F.floor((F.col(value) - F.col("lo")) / F.when(width > 0, width))
-    binned = counts.join(bounds, by).withColumn(
-        "bin", F.coalesce(F.least(at, F.lit(bins - 1).cast("bigint")), F.lit(0).cast("bigint"))
+    rows = long.where(F.col(value).isNotNull()).select(*by, value)
+    bounds = checked_small(rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    at = F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width))
+    # a constant group has no width and one bin
+    bin_ = F.least(F.coalesce(at, F.lit(0).cast("bigint")), F.lit(bins - 1).cast("bigint"))
+    counts = rows.join(bounds, by).groupBy(*by, bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")
     )
-    return binned.groupBy(*by, "bin").agg(
-        F.sum("_c").alias("count"),
-        F.first(F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-        F.first(F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+    return counts.select(
+        *by, "bin", "count",
+        (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
+        (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
     )
 
 
@@ -111,17 +114,17 @@ def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int, k: f
     quartiles = exact_quantiles(
         df, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], digits=digits
     )
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     v, reach = F.col(value), (F.col("q3") - F.col("q1")) * F.lit(k)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    rows = df.where(v.isNotNull()).select(*by, value)
     return (
-        counts.join(quartiles, by)
+        rows.join(checked_small(quartiles), by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_lo"),
             F.max(F.when(inside, v)).alias("whisker_hi"),
-            F.sum(F.when(~inside, F.col("_c")).otherwise(0)).alias("outliers"),
-            F.sum("_c").alias("count"),
+            F.sum((~inside).cast("bigint")).alias("outliers"),
+            F.count(F.lit(1)).alias("count"),
         )
     )
 
@@ -129,23 +132,20 @@ def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int, k: f
 def kde_grid(long: DataFrame, by: list[str], value: str, grid: int = 200) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from minimum to maximum, Scott bandwidth.
 
-    Equal values are counted first; each distinct value then adds to every grid point, and
-    the map side sums these before the shuffle, which carries ``grid`` rows per group.
+    Equal values are counted first (readings are fixed-point numbers in a bounded range);
+    each distinct value then adds to every grid point, and the map side sums these before
+    the shuffle, which carries ``grid`` rows per group.
     """
     counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     v, c = F.col(value), F.col("_c")
-    stats = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"),
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        F.sum(v * c).alias("_s1"),
-        F.sum(v * v * c).alias("_s2"),
+    stats = long.where(v.isNotNull()).groupBy(*by).agg(
+        F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.stddev_samp(value).alias("_sd"),
     )
     n = F.col("_n")
-    var = (F.col("_s2") - F.col("_s1") * F.col("_s1") / n) / F.when(n > 1, n - 1)
-    stats = stats.select(*by, "_n", "_lo", "_hi", (F.sqrt(var) * F.pow(n, F.lit(-0.2))).alias("_h"))
+    stats = stats.select(*by, "_n", "_lo", "_hi", (F.col("_sd") * F.pow(n, F.lit(-0.2))).alias("_h"))
     points = (
-        counts.join(stats, by)
+        counts.join(checked_small(stats), by)
         .where(F.col("_h") > 0)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
         .withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / F.lit(grid - 1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import UNIT_DIGITS, from_units, to_units
+from .small import checked_small
 
 
 def unpivot(df: DataFrame, by: list[str], cols: list[str], name: str = "measure", value: str = "value") -> DataFrame:
@@ -24,23 +25,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles, exact for values with ``digits`` decimals.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here the values are
-    first counted per (group, value), which the map side combines. The counts are summed
-    into buckets of ``bucket`` neighbouring values; a running total over the buckets tells
-    which bucket holds each wanted rank, and only those buckets are searched. No task sees
+    ``percentile`` keeps every distinct value of a group in one task. Here a first pass
+    counts the values per bucket of ``bucket`` neighbouring values; a running total tells
+    which bucket holds each wanted rank. A second pass counts the values of those buckets
+    only. Both passes combine on the map side and shuffle counts, not rows; no task sees
     more than ``bucket`` values or (value range / ``bucket``) totals of a group, so one
     group may hold all rows.
     """
-    counts = (
-        long.where(F.col(value).isNotNull())
-        .groupBy(*by, to_units(F.col(value), digits).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", F.floor(F.col("_v") / F.lit(bucket)))
-    )
+    rows = long.where(F.col(value).isNotNull()).select(*by, to_units(F.col(value), digits).alias("_v"))
+    rows = rows.withColumn("_b", F.floor(F.col("_v") / F.lit(bucket)))
     w = Window.partitionBy(*by).orderBy("_b")
     totals = (
-        counts.groupBy(*by, "_b")
-        .agg(F.sum("_c").alias("_c"))
+        rows.groupBy(*by, "_b")
+        .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
         .withColumn("_start", F.col("_end") - F.col("_c"))
@@ -60,6 +57,12 @@ def exact_quantiles(
         .where(F.size("_want") > 0)
         .select(*by, "_b", "_start", "_n", "_want")
     )
+    targets = checked_small(targets)
+    counts = (
+        rows.join(targets, [*by, "_b"])
+        .groupBy(*by, "_b", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
     inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
         counts.join(targets, [*by, "_b"])

@@ -1,0 +1,21 @@
+"""Small sides of joins, checked before they are broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 20_000
+
+
+def checked_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``df`` as a broadcast side if it has at most ``max_rows`` rows, else unchanged.
+
+    Meant for aggregates with a row per group. The rows are fetched once, never more than
+    the limit, so the aggregation is not computed again by the join; a larger result is
+    left to an ordinary shuffle join.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -75,8 +75,8 @@ def stream_upsert(spark, sf_dir):
 
 STREAM_FEATURES = (
     f"{src.DAILY}, f AS (SELECT station_id, CAST({TIME} AS DATE) AS day, aqi, lag(aqi, 1) OVER {W} AS aqi_lag_1, "
-    f"lag(aqi, 2) OVER {W} AS aqi_lag_2, round(avg(aqi) OVER {ROLL}, 6) AS aqi_roll_mean_3, "
-    f"round(stddev_samp(aqi) OVER {ROLL}, 6) AS aqi_roll_std_3, round(aqi - lag(aqi, 1) OVER {W}, 6) AS aqi_diff, "
+    f"lag(aqi, 2) OVER {W} AS aqi_lag_2, avg(aqi) OVER {ROLL} AS aqi_roll_mean_3, "
+    f"stddev_samp(aqi) OVER {ROLL} AS aqi_roll_std_3, aqi - lag(aqi, 1) OVER {W} AS aqi_diff, "
     + ", ".join(f"lead(aqi, {i}) OVER {W} AS aqi_t{i}" for i in (1, 2, 3))
     + " FROM daily)"
 )
@@ -91,7 +91,11 @@ def feature_log(spark, sf_dir, path):
     return ingest.current(spark, f"{path}/features", [KEY, "day"])
 
 
-@query("stream_features", f"WITH {STREAM_FEATURES} SELECT * FROM f")
+@query(
+    "stream_features",
+    f"WITH {STREAM_FEATURES} SELECT * REPLACE (round(aqi_roll_mean_3, 6) AS aqi_roll_mean_3, "
+    "round(aqi_roll_std_3, 6) AS aqi_roll_std_3, round(aqi_diff, 6) AS aqi_diff) FROM f",
+)
 def stream_features(spark, sf_dir):
     df = feature_log(spark, sf_dir, work_path(spark, "stream-features"))
     return df.withColumns({c: F.round(c, 6) for c in ("aqi_roll_mean_3", "aqi_roll_std_3", "aqi_diff")})

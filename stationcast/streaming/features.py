@@ -13,12 +13,13 @@ from ..plans.scoring import forecast_records
 from .ingest import append_changes, current
 
 LOOK_BACK, LOOK_AHEAD = 2, 3  # rows a lag or rolling value, and a target, reach
+NEEDED = LOOK_BACK + LOOK_AHEAD  # rows before a changed day that its neighbours depend on
 
 
 def touched_features(daily: DataFrame, touched: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """Lag, rolling, difference and target columns of the rows that changed days reach.
 
-    Only the touched stations are read. A changed day alters the lags of the rows after it
+    A changed day alters the lags of the rows after it
     and the targets of the rows before it; distances are counted in rows, since a series may
     have gaps.
     """
@@ -34,15 +35,38 @@ def touched_features(daily: DataFrame, touched: DataFrame, key: str, day: str, v
     return rows.where(F.col("_near") == 1).drop("_mark", "_near")
 
 
+def needed_rows(daily: DataFrame, touched: DataFrame, key: str, day: str, reach_days: int = 30) -> DataFrame:
+    """Rows of the touched stations that can matter for their touched days.
+
+    Usually these lie within ``reach_days`` before the first touched day, and only that part
+    of the table is read. Stations with too few rows in it (gaps, rare readings) also get
+    their last rows from before it.
+    """
+    first = touched.agg(F.min(day)).first()[0]
+    if first is None:
+        return daily.limit(0)
+    edge = F.date_sub(F.lit(first), reach_days)
+    own = touched.groupBy(key).agg(F.min(day).alias("_first"))
+    recent = daily.where(F.col(day) >= edge).join(own, key)
+    before = F.sum((F.col(day) < F.col("_first")).cast("int"))
+    short = recent.groupBy(key).agg(before.alias("_before")).where(F.col("_before") < NEEDED).select(key)
+    recent = recent.drop("_first")
+    older = daily.where(F.col(day) < edge)
+    if short.isEmpty() or older.isEmpty():
+        return recent
+    return recent.unionByName(windows.last_n(older.join(short, key, "left_semi"), key, [day], NEEDED))
+
+
 def feature_sink(daily_path: str, feature_path: str, key: str, day: str, value: str):
     """Sink for daily rows: stores them, then the features they reach."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         append_changes(batch, batch_id, daily_path)
         spark = batch.sparkSession
-        touched = spark.read.parquet(daily_path).where(F.col("batch_id") == batch_id)
+        touched = spark.read.parquet(daily_path).where(F.col("batch_id") == batch_id).select(key, day)
         daily = current(spark, daily_path, [key, day])
-        append_changes(touched_features(daily, touched, key, day, value), batch_id, feature_path)
+        rows = needed_rows(daily, touched, key, day)
+        append_changes(touched_features(rows, touched, key, day, value), batch_id, feature_path)
 
     return sink
 

@@ -66,6 +66,12 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """Write the newest versions as the first partition of a new change log."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    append_changes(current(spark, path, keys), last, target)
+
+
 def run_available(
     df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], *, mode: str = "update"
 ) -> None:
