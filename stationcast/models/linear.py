@@ -134,60 +134,29 @@ def ridge_paths(m: np.ndarray, alphas) -> np.ndarray:
     return np.vstack([y_mean - mean @ b, b])
 
 
-def net_paths(m: np.ndarray, alphas, l1, sweeps: int = 1000, tol: float = 1e-5) -> np.ndarray:
-    """Elastic-net coefficients, one column per (alpha, l1), by coordinate descent on the sums."""
-    _, mean, y_mean, g, c = _centred(m)
+def net_paths(moments: list[np.ndarray], alphas, l1, sweeps: int = 1000, tol: float = 1e-5) -> np.ndarray:
+    """Elastic-net coefficients by coordinate descent on the sums.
+
+    All problems and candidates advance together; the result is indexed by problem,
+    coefficient (intercept first) and candidate.
+    """
+    parts = [_centred(m) for m in moments]
+    mean, y_mean, g, c = (np.array([p[i] for p in parts]) for i in (1, 2, 3, 4))
     alphas, l1 = np.asarray(alphas, float), np.asarray(l1, float)
     soft, ridge = alphas * l1, alphas * (1 - l1)
-    b = np.zeros((len(c), len(alphas)))
+    b = np.zeros((len(parts), c.shape[1], len(alphas)))
     for _ in range(sweeps):
         worst = 0.0
-        for j in range(len(c)):
-            rest = c[j] - g[j] @ b + g[j, j] * b[j]
-            new = np.sign(rest) * np.maximum(np.abs(rest) - soft, 0) / np.maximum(g[j, j] + ridge, 1e-300)
-            worst = max(worst, np.abs(new - b[j]).max())
-            b[j] = new
+        for j in range(c.shape[1]):
+            own = g[:, j, j, None]
+            rest = c[:, j, None] - np.matmul(g[:, None, j], b)[:, 0] + own * b[:, j]
+            new = np.sign(rest) * np.maximum(np.abs(rest) - soft, 0) / np.maximum(own + ridge, 1e-300)
+            worst = max(worst, np.abs(new - b[:, j]).max())
+            b[:, j] = new
         if worst < tol:
             break
-    return np.vstack([y_mean - mean @ b, b])
-
-
-def huber_fits(
-    df: DataFrame, names: list[str], targets: list[str], folds: list[str], scales: dict, moments: dict,
-    *, passes: int = 30, tol: float = 1e-4,
-) -> dict:
-    """Huber coefficients on the scaled features, per fold and target.
-
-    Reweighted least squares with the scale estimated alongside. Every pass over the data
-    advances all folds and targets together.
-    """
-
-    def raw(b, f):
-        centre, scale = scales[f]
-        slope = b[1:] / scale
-        return np.concatenate([[b[0] - slope @ centre], slope])
-
-    state = {}
-    for t in targets:
-        for f in folds:
-            m = _scaled(moments[f, 1, t], *scales[f])
-            b = ridge_paths(m, [HUBER_ALPHA])[:, 0]
-            state[f, t] = (b, max(rmse_from_moments(m, b[:, None])[0], 1e-9))
-    for _ in range(passes):
-        sums = fold_moments(df, names, targets, folds, {k: (raw(b, k[0]), s) for k, (b, s) in state.items()})
-        moved = 0.0
-        for (f, t), (m, inlier_squares, outliers, n) in sums.items():
-            old, sigma = state[f, t]
-            m = _scaled(m, *scales[f])
-            penalty = np.diag([0.0] + [HUBER_ALPHA * sigma] * len(names))
-            b = np.linalg.lstsq(m[:-1, :-1] + penalty, m[:-1, -1], rcond=None)[0]
-            spread = n - outliers * HUBER_EPSILON**2
-            new_sigma = max(np.sqrt(inlier_squares / spread), 1e-9) if spread > 0 else sigma
-            moved = max(moved, np.abs(b - old).max() / new_sigma, abs(new_sigma / sigma - 1))
-            state[f, t] = (b, new_sigma)
-        if moved < tol:
-            break
-    return {k: b for k, (b, _) in state.items()}
+    intercept = y_mean[:, None] - np.einsum("pk,pkc->pc", mean, b)
+    return np.concatenate([intercept[:, None], b], axis=1)
 
 
 def rmse_from_moments(m: np.ndarray, coefs: np.ndarray) -> np.ndarray:
@@ -212,17 +181,16 @@ def linear_search(train: DataFrame, names: list[str], targets: list[str], *, hub
     net = [c for c in grid if c["kind"] == "net"]
     robust = huber_fits(df, names, targets, folds, scales, moments) if huber else {}
     df.unpersist()
-    rows = []
-    for t in targets:
-        total = np.zeros(len(grid))
-        for f in folds:
-            tr, va = (_scaled(moments[f, role, t], *scales[f]) for role in (1, 2))
-            coefs = [ridge_paths(tr, RIDGE_ALPHAS), net_paths(tr, [c["alpha"] for c in net], [c["l1"] for c in net])]
-            if huber:
-                coefs.append(robust[f, t][:, None])
-            total += rmse_from_moments(va, np.hstack(coefs)) / len(folds)
-        rows += [{"target": t, **c, "cv_rmse": float(s)} for c, s in zip(grid, total)]
-    return pd.DataFrame(rows)
+    jobs = [(t, f) for t in targets for f in folds]
+    fitted = {(t, f, role): _scaled(moments[f, role, t], *scales[f]) for t, f in jobs for role in (1, 2)}
+    nets = net_paths([fitted[t, f, 1] for t, f in jobs], [c["alpha"] for c in net], [c["l1"] for c in net])
+    total = {t: np.zeros(len(grid)) for t in targets}
+    for (t, f), net_coefs in zip(jobs, nets):
+        coefs = [ridge_paths(fitted[t, f, 1], RIDGE_ALPHAS), net_coefs]
+        if huber:
+            coefs.append(robust[f, t][:, None])
+        total[t] += rmse_from_moments(fitted[t, f, 2], np.hstack(coefs)) / len(folds)
+    return pd.DataFrame([{"target": t, **c, "cv_rmse": float(s)} for t in targets for c, s in zip(grid, total[t])])
 
 
 def estimator(candidate: dict, names: list[str], target: str, n: int, y_std: float) -> Pipeline:

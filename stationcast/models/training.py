@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -19,11 +20,12 @@ Models = dict[tuple[str, str], PipelineModel]
 
 def train_families(
     features: DataFrame, holdout: int = 90, families=("lightgbm", "linear", "hgbr", "randomforest"),
-    *, rounds: int = 100, n_trees: int = 600, huber: bool = True, seed: int = 42,
+    *, rounds: int = 100, n_trees: int = 600, huber: bool = True, seed: int = 42, parallelism: int = 4,
 ) -> tuple[Models, DataFrame, list[str]]:
     """(models by family and horizon, frame with ``split``, feature names).
 
-    The imputed frame is computed once and cached for all fits.
+    The imputed frame is computed once and cached for all fits, and ``parallelism`` fits
+    submit their jobs side by side.
     """
     frame, names = training_frame(features, holdout)
     frame = frame.persist()
@@ -33,13 +35,20 @@ def train_families(
     if "linear" in families:
         for t, (_, model) in linear.select_and_fit(train, names, TARGETS, huber=huber).items():
             models["linear", HORIZONS[TARGETS.index(t)]] = model
-    for h, t in zip(HORIZONS, TARGETS):
-        if "lightgbm" in families:
-            models["lightgbm", h] = trees.fit_rows(trees.boosted(names, t, rounds=rounds, seed=seed), validated, t)
-        if "hgbr" in families:
-            models["hgbr", h] = trees.fit_rows(trees.boosted_histogram(names, t, rounds=rounds, seed=seed), validated, t)
-        if "randomforest" in families:
-            models["randomforest", h] = trees.fit_rows(trees.forest(names, t, trees=n_trees, seed=seed), train, t)
+    build = {
+        "lightgbm": lambda t: (trees.boosted(names, t, rounds=rounds, seed=seed), validated),
+        "hgbr": lambda t: (trees.boosted_histogram(names, t, rounds=rounds, seed=seed), validated),
+        "randomforest": lambda t: (trees.forest(names, t, trees=n_trees, seed=seed), train),
+    }
+    jobs = [(f, h, t) for f in build if f in families for h, t in zip(HORIZONS, TARGETS)]
+
+    def fit(job):
+        f, _, t = job
+        pipeline, rows = build[f](t)
+        return trees.fit_rows(pipeline, rows, t)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        models.update({(f, h): m for (f, h, _), m in zip(jobs, pool.map(fit, jobs))})
     return models, frame, names
 
 

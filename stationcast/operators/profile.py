@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import FEATURE_GROUPS, in_group
-from ..functions.numeric import from_units, to_units
+from ..functions.numeric import from_units, nz_div, to_units
 from .quantiles import exact_quantiles, unpivot
 from .small import checked_small
 
@@ -64,27 +64,63 @@ def column_means(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], *, max_cols: int = 50, chunk: int = 200) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str], *, max_cols: int = 50) -> DataFrame:
     """Pearson correlation of each pair, over the rows where both are present.
 
-    All pairs of a chunk are aggregates of one scan; the first ``max_cols`` columns are
-    used, as in a plotted matrix. Rows (a, b) and (b, a) both appear.
+    One pass: each partition reduces to a row per pair, by matrix products instead of one
+    aggregate expression per pair, and these rows are combined about the overall means. The
+    first ``max_cols`` columns are used, as in a plotted matrix. Rows (a, b) and (b, a) both
+    appear; a constant column has no correlation.
     """
-    pairs = list(itertools.combinations_with_replacement(cols[:max_cols], 2))
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        some = pairs[start : start + chunk]
-        row = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(some)])
-        items = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr"))
-            for i, (a, b) in enumerate(some)
-        ] + [
-            F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"_{i}").alias("corr"))
-            for i, (a, b) in enumerate(some)
-            if a != b
-        ]
-        parts.append(row.select(F.inline(F.array(*items))))
-    return reduce(DataFrame.unionByName, parts)
+    cols = cols[:max_cols]
+    names = ["n", "mx", "my", "xx", "yy", "xy"]
+
+    # nested, so that they travel with the task and workers need not have this package
+    def pair_moments(x):
+        """Count, means and centred products of all column pairs over their complete rows."""
+        have = ~np.isnan(x)
+        centre = np.where(have.any(0), np.where(have, x, 0.0).sum(0) / np.maximum(have.sum(0), 1), 0.0)
+        x, have = np.where(have, x - centre, 0.0), have.astype(float)
+        n = have.T @ have
+        some = np.maximum(n, 1)
+        mx, my = x.T @ have / some, (x.T @ have).T / some
+        sq = (x * x).T @ have
+        return np.stack([
+            n, mx + centre[:, None], my + centre[None, :], sq - n * mx * mx, sq.T - n * my * my, x.T @ x - n * mx * my,
+        ])
+
+    def merge(p, q):
+        n = p[0] + q[0]
+        share = q[0] / np.maximum(n, 1)
+        dx, dy, both = q[1] - p[1], q[2] - p[2], p[0] * share
+        return np.stack([
+            n, p[1] + dx * share, p[2] + dy * share,
+            p[3] + q[3] + dx * dx * both, p[4] + q[4] + dy * dy * both, p[5] + q[5] + dx * dy * both,
+        ])
+
+    def partial(batches):
+        total = None
+        for pdf in batches:
+            part = pair_moments(pdf[cols].to_numpy(float))
+            total = part if total is None else merge(total, part)
+        if total is not None:
+            i, j = np.indices(total.shape[1:])
+            pairs = {"a": np.array(cols)[i.ravel()], "b": np.array(cols)[j.ravel()]}
+            yield pd.DataFrame({**pairs, **{s: total[k].ravel() for k, s in enumerate(names)}})
+
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    parts = doubles.mapInPandas(partial, "a string, b string, " + ", ".join(f"{s} double" for s in names))
+    pair = Window.partitionBy("a", "b")  # a row per input partition
+    n = F.col("n")
+    dx = F.col("mx") - nz_div(F.sum(n * F.col("mx")).over(pair), F.sum(n).over(pair))
+    dy = F.col("my") - nz_div(F.sum(n * F.col("my")).over(pair), F.sum(n).over(pair))
+    total = parts.withColumns({"_dx": dx, "_dy": dy}).groupBy("a", "b").agg(
+        F.sum(F.col("xx") + n * F.col("_dx") * F.col("_dx")).alias("xx"),
+        F.sum(F.col("yy") + n * F.col("_dy") * F.col("_dy")).alias("yy"),
+        F.sum(F.col("xy") + n * F.col("_dx") * F.col("_dy")).alias("xy"),
+    )
+    corr = F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))
+    return total.select("a", "b", F.when((F.col("xx") > 0) & (F.col("yy") > 0), corr).alias("corr"))
 
 
 def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:

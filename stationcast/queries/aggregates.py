@@ -14,6 +14,7 @@ from ..operators.folds import forward_folds
 from ..operators.quantiles import exact_quantiles, unpivot
 from ..operators.windows import last_n
 from ..schemas import FAMILIES, HORIZONS, KEY, MEASURES, SEASONS, TIME
+from ..session import stored
 from ..sources.artifacts import artifact_matrix as matrix
 from . import inputs as src
 from . import query
@@ -26,8 +27,12 @@ LONG_M = src.DAILY_M + ", long_m AS (SELECT station_id, event_timestamp, measure
 
 
 def long_m(spark, sf_dir):
-    """Daily measures in thousandths, one row per measure."""
-    return unpivot(src.daily_m(spark, sf_dir), [KEY, TIME], MEASURES).dropna(subset=["value"])
+    """Daily measures in thousandths, one row per measure.
+
+    Profiling takes several passes, so the daily table is stored first, as in practice.
+    """
+    daily = stored(src.daily_m(spark, sf_dir), "daily")
+    return unpivot(daily, [KEY, TIME], MEASURES).dropna(subset=["value"])
 
 
 @query(

@@ -71,7 +71,7 @@ def test_ridge_and_net_solve_their_problems(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     ridge = linear.ridge_paths(m, [3.0])[:, 0]
     assert np.allclose(ridge[1:], np.linalg.solve(xc.T @ xc + 3 * np.eye(4), xc.T @ yc))
-    b = linear.net_paths(m, [0.5], [0.4], sweeps=20000, tol=1e-12)[1:, 0]
+    b = linear.net_paths([m, m], [0.5], [0.4], sweeps=20000, tol=1e-12)[1, 1:, 0]
     slope = xc.T @ (yc - xc @ b) / 300 - 0.5 * 0.6 * b  # optimality conditions
     assert np.allclose(slope[b != 0], 0.5 * 0.4 * np.sign(b[b != 0]), atol=1e-6)
     assert (np.abs(slope[b == 0]) <= 0.5 * 0.4 + 1e-9).all()
@@ -89,7 +89,7 @@ def test_final_fit_uses_the_same_penalty(spark, frame, kind, alpha, l1):
     scaler, lr = model.stages[1], model.stages[2]
     x = (pdf[names].to_numpy(float) - scaler.median.toArray()) / scaler.range.toArray()
     m = moments(spark, x, pdf["aqi_t1"].to_numpy(float))
-    paths = linear.ridge_paths(m, [alpha]) if kind == "ridge" else linear.net_paths(m, [alpha], [l1], tol=1e-10, sweeps=20000)
+    paths = linear.ridge_paths(m, [alpha]) if kind == "ridge" else linear.net_paths([m], [alpha], [l1], tol=1e-10, sweeps=20000)[0]
     assert np.allclose(np.r_[lr.intercept, lr.coefficients.toArray()], paths[:, 0], atol=1e-4)
 
 

@@ -40,14 +40,15 @@ def test_boxplot(spark):
 def test_correlation_uses_complete_pairs(spark):
     data = [(1.0, 2.0, None), (2.0, 4.1, 1.0), (3.0, 6.0, 5.0), (None, 1.0, 2.0), (5.0, 9.0, 0.5)]
     df = spark.createDataFrame(data, "a double, b double, c double")
-    for chunk in (2, 200):
-        got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, ["a", "b", "c"], chunk=chunk).collect()}
-        assert len(got) == 9
-        x = np.array(data, float)
-        for i, p in enumerate("abc"):
-            for j, q in enumerate("abc"):
-                ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
-                assert np.isclose(got[p, q], np.corrcoef(x[ok, i], x[ok, j])[0, 1])
+    df = df.withColumn("a", F.col("a") + 1e9).withColumn("constant", F.lit(1.0))
+    got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, df.columns).collect()}
+    assert len(got) == 16 and got["a", "constant"] is None
+    x = np.array(data, float)
+    for i, p in enumerate("abc"):
+        for j, q in enumerate("abc"):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert np.isclose(got[p, q], np.corrcoef(x[ok, i], x[ok, j])[0, 1])
+    assert {r["a"] for r in profile.correlation_matrix(df, df.columns, max_cols=2).collect()} == {"a", "b"}
 
 
 def test_kde_integrates_to_one(spark):
