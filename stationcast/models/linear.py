@@ -159,6 +159,44 @@ def net_paths(moments: list[np.ndarray], alphas, l1, sweeps: int = 1000, tol: fl
     return np.concatenate([intercept[:, None], b], axis=1)
 
 
+def huber_fits(
+    df: DataFrame, names: list[str], targets: list[str], folds: list[str], scales: dict, moments: dict,
+    *, passes: int = 30, tol: float = 1e-4,
+) -> dict:
+    """Huber coefficients on the scaled features, per fold and target.
+
+    Reweighted least squares with the scale estimated alongside. Every pass over the data
+    advances all folds and targets together.
+    """
+
+    def raw(b, f):
+        centre, scale = scales[f]
+        slope = b[1:] / scale
+        return np.concatenate([[b[0] - slope @ centre], slope])
+
+    state = {}
+    for t in targets:
+        for f in folds:
+            m = _scaled(moments[f, 1, t], *scales[f])
+            b = ridge_paths(m, [HUBER_ALPHA])[:, 0]
+            state[f, t] = (b, max(rmse_from_moments(m, b[:, None])[0], 1e-9))
+    for _ in range(passes):
+        sums = fold_moments(df, names, targets, folds, {k: (raw(b, k[0]), s) for k, (b, s) in state.items()})
+        moved = 0.0
+        for (f, t), (m, inlier_squares, outliers, n) in sums.items():
+            old, sigma = state[f, t]
+            m = _scaled(m, *scales[f])
+            penalty = np.diag([0.0] + [HUBER_ALPHA * sigma] * len(names))
+            b = np.linalg.lstsq(m[:-1, :-1] + penalty, m[:-1, -1], rcond=None)[0]
+            spread = n - outliers * HUBER_EPSILON**2
+            new_sigma = max(np.sqrt(inlier_squares / spread), 1e-9) if spread > 0 else sigma
+            moved = max(moved, np.abs(b - old).max() / new_sigma, abs(new_sigma / sigma - 1))
+            state[f, t] = (b, new_sigma)
+        if moved < tol:
+            break
+    return {k: b for k, (b, _) in state.items()}
+
+
 def rmse_from_moments(m: np.ndarray, coefs: np.ndarray) -> np.ndarray:
     """RMSE of each column of ``coefs`` on the rows behind the sums."""
     full = np.vstack([coefs, -np.ones(coefs.shape[1])])

@@ -90,6 +90,19 @@ def score_latest(models: Models, frame: DataFrame) -> DataFrame:
     return score(models, latest(frame, KEY, [TIME]), [KEY, TIME])
 
 
+def registry_entries(metrics: DataFrame, created, root: str) -> DataFrame:
+    """Registry rows of freshly scored models: family, horizon, time, path, metrics, library."""
+    scores = [c for c in metrics.columns if c not in ("family", "horizon")]
+    return metrics.select(
+        "family",
+        "horizon",
+        created.alias("created"),
+        F.concat_ws("/", F.lit(root), F.concat_ws("_", "family", "horizon")).alias("path"),
+        F.struct(*scores).alias("metrics"),
+        F.lit("spark.ml").alias("library"),
+    )
+
+
 def save_models(models: Models, path: str) -> None:
     for (f, h), model in models.items():
         model.write().overwrite().save(f"{path}/{f}_{h}")

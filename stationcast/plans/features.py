@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import encode, windows
 from ..operators.cleaning import iqr_cap, rename
 from ..operators.resample import resample_daily
+from ..operators.upsert import upsert
 from ..schemas import (
     AVERAGED, CAPPED, KEY, MEASURES, PUBLISHED, SEASONS, STATISTICS, SUMMED, TARGETS, TIME, WEEKDAYS,
 )
@@ -46,6 +47,16 @@ def daily_features(readings: DataFrame, time: str = "time") -> DataFrame:
     return add_features(daily_frame(readings, time))
 
 
+def update_features(daily: DataFrame, readings: DataFrame, time: str = "time") -> tuple[DataFrame, DataFrame]:
+    """(daily table, feature table) after new readings.
+
+    The days of the new readings replace the stored ones. Features are computed over history
+    and new days together, so that lags and targets reach across the seam.
+    """
+    merged = upsert(daily, daily_frame(readings, time), [KEY, TIME])
+    return merged, add_features(merged)
+
+
 def publish(features: DataFrame, created=None) -> DataFrame:
     """Published column names and the processing time."""
     now = F.current_timestamp() if created is None else created

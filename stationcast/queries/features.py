@@ -73,6 +73,16 @@ def daily_features(spark, sf_dir):
     return rounded_features(spark, sf_dir)
 
 
+@query("update_features", f"WITH {FEATURES} SELECT * FROM features")
+def update_features(spark, sf_dir):
+    """History up to the 20th, then the remaining readings as an update."""
+    readings = src.readings(spark, sf_dir)
+    cut = F.lit("2024-01-20").cast("timestamp_ntz")
+    history = plans.daily_frame(readings.where(F.col("time") < cut))
+    _, features = plans.update_features(history, readings.where(F.col("time") >= cut))
+    return features.withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
 @query(
     "daily_resample",
     f"WITH {src.DAILY} SELECT * FROM daily",

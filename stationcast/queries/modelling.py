@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..models import linear, training, trees, tuning
 from ..models.calibration import isotonic_calibrate
 from ..models.frame import training_frame
+from ..operators.small import checked_small
 from ..plans.features import add_features
 from ..schemas import FAMILIES, KEY, TARGETS, TIME
-from ..session import work_path
+from ..session import stored, work_path
+from ..sources.artifacts import latest_artifacts
 from . import inputs as src
 from . import query
 
@@ -44,37 +46,36 @@ def linear_select(spark, sf_dir):
     return spark.createDataFrame(scores).select("target", "kind", "alpha", "l1", "cv_rmse")
 
 
-def _fit_and_score(spark, sf_dir, family, **kw):
-    models, df, _ = training.train_families(series_features(spark, sf_dir), HOLDOUT, [family], **kw)
-    return training.holdout_metrics(training.score_holdout(models, df), [family])
+def _fit_and_score(spark, sf_dir, families, **kw):
+    models, df, _ = training.train_families(series_features(spark, sf_dir), HOLDOUT, families, **kw)
+    scores = checked_small(training.holdout_metrics(training.score_holdout(models, df), families))
+    df.unpersist()
+    return scores
 
 
 @query("gbt_train")
 def gbt_train(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "lightgbm", rounds=ROUNDS)
+    return _fit_and_score(spark, sf_dir, ["lightgbm"], rounds=ROUNDS)
 
 
 @query("gbt_hist_train")
 def gbt_hist_train(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "hgbr", rounds=ROUNDS)
+    return _fit_and_score(spark, sf_dir, ["hgbr"], rounds=ROUNDS)
 
 
 @query("rf_train")
 def rf_train(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "randomforest", n_trees=TREES)
+    return _fit_and_score(spark, sf_dir, ["randomforest"], n_trees=TREES)
 
 
 @query("linear_train")
 def linear_train(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "linear", huber=False)
+    return _fit_and_score(spark, sf_dir, ["linear"], huber=False)
 
 
 @query("train_all_horizons")
 def train_all_horizons(spark, sf_dir):
-    models, df, _ = training.train_families(
-        series_features(spark, sf_dir), HOLDOUT, rounds=3, n_trees=TREES, huber=False
-    )
-    return training.holdout_metrics(training.score_holdout(models, df), FAMILIES)
+    return _fit_and_score(spark, sf_dir, FAMILIES, rounds=3, n_trees=TREES, huber=False)
 
 
 @query("score_latest")
@@ -82,7 +83,9 @@ def score_latest(spark, sf_dir):
     models, df, _ = training.train_families(
         series_features(spark, sf_dir), HOLDOUT, ("linear", "randomforest"), n_trees=TREES, huber=False
     )
-    return training.score_latest(models, df)
+    scored = stored(training.score_latest(models, df), "scores")
+    df.unpersist()
+    return scored
 
 
 @query("model_roundtrip")
@@ -92,10 +95,19 @@ def model_roundtrip(spark, sf_dir):
     training.save_models(models, path)
     before = training.score_holdout(models, df).withColumnRenamed("p_linear", "before")
     after = training.score_holdout(training.load_models(path, ["linear"]), df)
-    same = before.join(after, [KEY, TIME, "horizon"])
-    return same.groupBy("horizon").agg(
+    same = before.join(after, [KEY, TIME, "horizon"]).groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("before") - F.col("p_linear"))).alias("max_difference")
     )
+    same = checked_small(same)
+    df.unpersist()
+    return same
+
+
+@query("registry_entries")
+def registry_entries(spark, sf_dir):
+    scores = _fit_and_score(spark, sf_dir, ["linear"], huber=False)
+    entries = training.registry_entries(scores, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "models")
+    return latest_artifacts(entries)
 
 
 @query("tune_search")
@@ -119,7 +131,11 @@ def tree_importance(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     df, names = frame(spark, sf_dir)
     model = trees.fit_rows(trees.forest(names, TARGETS[0], trees=TREES), train_rows(df), TARGETS[0])
-    return trees.permutation_importance(model, df.where(F.col("split") == "test"), names, TARGETS[0])
+    out = checked_small(
+        trees.permutation_importance(model, df.where(F.col("split") == "test"), names, TARGETS[0])
+    )
+    df.unpersist()
+    return out
 
 
 @query("isotonic_calibrate")
