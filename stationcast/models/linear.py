@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -261,9 +263,12 @@ def fit_linear(train: DataFrame, names: list[str], target: str, candidate: dict)
 def select_and_fit(train: DataFrame, names: list[str], targets: list[str], **search) -> dict[str, tuple[dict, PipelineModel]]:
     """Best candidate and its model, refitted on all training rows, per target."""
     scores = linear_search(train, names, targets, **search)
-    out = {}
-    for t in targets:
-        best = scores[scores["target"] == t].sort_values("cv_rmse", kind="stable").iloc[0]
-        choice = {"kind": best["kind"], "alpha": float(best["alpha"]), "l1": float(best["l1"]), "cv_rmse": float(best["cv_rmse"])}
-        out[t] = (choice, fit_linear(train, names, t, choice))
-    return out
+    best = scores.sort_values("cv_rmse", kind="stable").groupby("target").first()
+
+    def fit(t):
+        row = best.loc[t]
+        choice = {"kind": row["kind"], **{c: float(row[c]) for c in ("alpha", "l1", "cv_rmse")}}
+        return t, (choice, fit_linear(train, names, t, choice))
+
+    with ThreadPoolExecutor(len(targets)) as pool:
+        return dict(pool.map(fit, targets))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..operators.resample import resample_hourly
 from ..plans.features import publish
 from ..schemas import (
-    AIR, AIR_PAYLOAD, FEATURE_SCHEMA, KEY, MEASURES, READING_SCHEMA, TIME, check_schema,
+    AIR, AIR_PAYLOAD, FEATURE_SCHEMA, KEY, MEASURES, PUBLISHED, READING_SCHEMA, TIME, check_schema,
 )
 from ..session import work_path
 from ..sources import artifacts, files, payloads
 from . import inputs as src
 from . import query
 from .aggregates import REGISTRY, registry
+from .features import FEATURES, ROUNDED
 
 EVENT_COLS = "event_id, ts, user_id, event_type, value, props"
 READING_COLS = "station_id, time, " + ", ".join(MEASURES)
@@ -132,8 +133,15 @@ def feature_table_roundtrip(spark, sf_dir):
     return files.read_parquet(spark, path)
 
 
-@query("publish_features")
+_PUBLISHED = ", ".join(f'{f.name} AS "{PUBLISHED.get(f.name, f.name)}"' for f in FEATURE_SCHEMA)
+
+
+@query(
+    "publish_features",
+    f"WITH {FEATURES} SELECT {_PUBLISHED}, TIMESTAMP '2024-02-01' AS created FROM features",
+)
 def publish_features(spark, sf_dir):
     df = src.features(spark, sf_dir)
     check_schema(df, FEATURE_SCHEMA)
-    return publish(df)
+    df = df.withColumns({c: F.round(c, 6) for c in ROUNDED})
+    return publish(df, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))

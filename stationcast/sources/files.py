@@ -38,11 +38,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_partitioned(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
     """Parquet partitioned by a column; only the partitions in ``df`` are replaced.
 
-    Rows are clustered by the partition column and a slice of the key, so that a large
-    partition is written by several tasks and a small one as few files.
+    Rows are rebalanced on the partition column: adaptive execution splits a partition that
+    is too large for one task and merges small ones, so file sizes follow the data.
     """
     (
-        df.repartition(F.col(partition), F.pmod(F.xxhash64(*order), F.lit(16)))
+        df.hint("rebalance", F.col(partition))
         .sortWithinPartitions(partition, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -170,3 +170,19 @@ def test_calibration_is_monotone_and_flat_outside(spark):
     ask = spark.createDataFrame([("hd1", float(p)) for p in (0, 10, 20, 40, 59, 400)], "horizon string, p double")
     got = [r["c"] for r in calibration.isotonic_calibrate(fit, ask, "horizon", "y", "p", "c", groups=["hd1"]).orderBy("p").collect()]
     assert got == sorted(got) and got[0] == got[1] and got[-1] == got[-2]
+
+
+def test_calibration_matches_brute_force(spark):
+    """The isotonic fit is max over starts of min over ends of the mean between them."""
+    rng = np.random.default_rng(9)
+    p = np.round(rng.uniform(0, 300, 60), 1)
+    p[10:20] = p[0]  # ties
+    y = p + rng.normal(0, 60, 60)
+    df = spark.createDataFrame([("hd1", float(a), float(b)) for a, b in zip(p, y)], "horizon string, p double, y double")
+    got = {r["p"]: r["c"] for r in calibration.isotonic_calibrate(df, df, "horizon", "y", "p", "c", groups=["hd1"]).collect()}
+    points = np.unique(p)
+    total, n = (np.array([f(y[p == v]) for v in points]) for f in (np.sum, len))
+    mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
+    k = len(points)
+    want = [max(min(mean(i, j) for j in range(m, k)) for i in range(m + 1)) for m in range(k)]
+    assert np.allclose([got[v] for v in points], want)
