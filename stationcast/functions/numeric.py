@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_DIGITS = 2  # decimal digits a sensor value carries
+UNIT_DIGITS = 4  # decimal digits of a reading that count
 
 
 def finite(c: Column) -> Column:
@@ -38,10 +38,18 @@ def from_units(c: Column, digits: int = UNIT_DIGITS) -> Column:
 
 
 def exact_mean(total: Column, n: Column, digits: int, places: int) -> Column:
-    """``round(total / n, places)`` of fixed-point ``total``, halves away from zero, in integers."""
-    num = F.abs(total) * F.lit(2 * 10**places) + n * F.lit(10**digits)
-    den = F.when(n > 0, n * F.lit(2 * 10**digits))
-    whole = F.call_function("div", num, den)
+    """``round(total / n, places)`` of fixed-point ``total``, halves away from zero, in integers.
+
+    The total itself is never multiplied, so it may use the whole range of a long.
+    """
+    size, n = F.abs(total), F.when(n > 0, n)
+    div = lambda a, b: F.call_function("div", a, b)
+    if places >= digits:
+        factor = F.lit(10 ** (places - digits))
+        whole = div(size, n) * factor + div((size % n) * factor * 2 + n, n * 2)
+    else:
+        den = n * F.lit(10 ** (digits - places))
+        whole = div(size, den) + div((size % den) * 2 + den, den * 2)
     return F.signum(total) * whole / F.lit(float(10**places))
 
 

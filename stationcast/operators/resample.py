@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import UNIT_DIGITS, exact_mean, from_units, to_units
+from ..functions.numeric import UNIT_DIGITS, exact_mean, finite, from_units, to_units
 
 
 def fixed_point_sums(means: list[str], sums: list[str] = (), digits: int = UNIT_DIGITS) -> list[Column]:
-    """Integer sums and counts behind the means and sums of the measures."""
+    """Integer sums and counts behind the means and sums of the measures; NaN counts as missing."""
     aggs = []
-    for c in means:
-        aggs += [F.sum(to_units(F.col(c), digits)).alias(f"_s_{c}"), F.count(F.col(c)).alias(f"_n_{c}")]
-    return aggs + [F.sum(to_units(F.col(c), digits)).alias(f"_s_{c}") for c in sums]
+    for c in [*means, *sums]:
+        value = finite(F.col(c).cast("double"))
+        aggs.append(F.sum(to_units(value, digits)).alias(f"_s_{c}"))
+        if c not in sums:
+            aggs.append(F.count(value).alias(f"_n_{c}"))
+    return aggs
 
 
 def from_sums(means: list[str], sums: list[str] = (), digits: int = UNIT_DIGITS, places: int = 3) -> list[Column]:
@@ -77,9 +80,9 @@ def daily_max_of_moving_mean(
     and the following ``hours - 1`` hours, so the moving mean is a plain aggregation on
     (key, hour): no window over a whole station, however long its history.
     """
-    hourly = df.where(F.col(value).isNotNull()).groupBy(
-        key, F.date_trunc("hour", F.col(time).cast("timestamp_ntz")).alias("_h")
-    ).agg(F.sum(to_units(F.col(value))).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    hour = F.date_trunc("hour", F.col(time)).cast("timestamp_ntz").alias("_h")
+    valid = df.select(key, hour, finite(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    hourly = valid.groupBy(key, "_h").agg(F.sum(to_units(F.col("_v"))).alias("_s"), F.count(F.lit(1)).alias("_n"))
     spread = hourly.select(
         key,
         F.posexplode(F.sequence(F.col("_h"), F.col("_h") + F.expr(f"interval {hours - 1} hours"),

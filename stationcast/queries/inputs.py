@@ -64,11 +64,11 @@ def features(spark, sf_dir) -> DataFrame:
 def series(spark, sf_dir) -> DataFrame:
     """Daily series per order priority: mean order value on the scale 0 to 500, two digits."""
     orders = table(spark, sf_dir, "orders")
-    s, n = F.sum(to_units(F.col("o_totalprice"))), F.count(F.lit(1))
+    s, n = F.sum(to_units(F.col("o_totalprice"), 2)), F.count(F.lit(1))
     return (
         orders.groupBy(F.col("o_orderpriority").alias(KEY), F.to_date("o_orderdate").alias("day"))
         .agg(F.call_function("div", s, n * F.lit(1000)).alias("y_c"))
-        .withColumn("y", from_units(F.col("y_c")))
+        .withColumn("y", from_units(F.col("y_c"), 2))
     )
 
 

@@ -31,7 +31,8 @@ def run(parts, landing, make_stream, checkpoint, sink, mode="update"):
     for part in parts:
         part.write.mode("append").parquet(landing)
         stream = make_stream(ingest.read_landing(part.sparkSession, landing, part.schema))
-        ingest.run_available(stream, checkpoint, sink, mode=mode)
+        cores = part.sparkSession.sparkContext.defaultParallelism
+        ingest.run_available(stream, checkpoint, sink, mode=mode, state_partitions=cores)
 
 
 @query("stream_daily", f"WITH {src.DAILY} SELECT station_id, CAST({TIME} AS DATE) AS day, {', '.join(MEASURES)} FROM daily")

@@ -73,23 +73,37 @@ def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> Non
 
 
 def run_available(
-    df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], *, mode: str = "update"
+    df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], *, mode: str = "update",
+    state_partitions: int | None = None,
 ) -> None:
     """Process everything that has arrived and stop; the next call continues from there."""
-    start(df, checkpoint, sink, mode=mode, availableNow=True).awaitTermination()
+    query = start(df, checkpoint, sink, mode=mode, state_partitions=state_partitions, availableNow=True)
+    query.awaitTermination()
 
 
 def start(
-    df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], *, mode: str = "update", **trigger
+    df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], *, mode: str = "update",
+    state_partitions: int | None = None, **trigger,
 ) -> StreamingQuery:
-    """Continuous form, e.g. ``processingTime="30 minutes"``."""
-    return (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .foreachBatch(sink)
-        .start()
-    )
+    """Continuous form, e.g. ``processingTime="30 minutes"``.
+
+    ``state_partitions`` sets the number of state partitions, which the first start fixes
+    for the life of the checkpoint; a few per core of the cluster is a good choice. The
+    default is the session's number of shuffle partitions.
+    """
+    conf = df.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(state_partitions or usual))
+    try:  # a started query keeps its own copy of the settings
+        return (
+            df.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .foreachBatch(sink)
+            .start()
+        )
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
 
 
 def replace_days(path: str, key: str, time: str, means: list[str], sums: list[str], *, day: str = "day"):

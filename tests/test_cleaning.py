@@ -23,8 +23,14 @@ def test_clamp_keeps_null_and_bounds(spark, rows):
 @pytest.mark.parametrize("values, mean", [([1.0, 2.0], 1.5), ([0.01] * 3 + [0.02], 0.013), ([-0.01, -0.02], -0.015), ([], None)])
 def test_exact_mean_rounds_half_away(spark, values, mean):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = df.agg(exact_mean(F.sum(to_units(F.col("v"))), F.count("v"), 2, 3)).first()[0]
-    assert got == mean
+    for digits in (2, 3, 4):
+        got = df.agg(exact_mean(F.sum(to_units(F.col("v"), digits)), F.count("v"), digits, 3)).first()[0]
+        assert got == mean
+
+
+def test_exact_mean_of_a_huge_total(spark):
+    df = spark.range(1).select(exact_mean(F.lit(9_000_000_000_000_000_000), F.lit(7_000_000_000), 4, 3))
+    assert df.first()[0] == round(9e18 / 7e9 / 1e4, 3)
 
 
 def test_category_bounds_are_inclusive(spark):

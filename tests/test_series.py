@@ -39,6 +39,13 @@ def test_mean_is_null_and_sum_is_zero_without_values(spark):
     assert (row["a"], row["b"], row["n"]) == (None, 0.0, 2)
 
 
+def test_nan_and_infinity_do_not_spoil_a_day(spark):
+    data = [("s", D0, v, v) for v in (1.0, 2.0, float("nan"), float("inf"), None)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, a double, b double")
+    row = resample_daily(df, "k", "t", ["a"], ["b"]).first()
+    assert (row["a"], row["b"]) == (1.5, 3.0)
+
+
 def test_windows_do_not_depend_on_input_order(spark, rows):
     values = [float(i * i % 7) for i in range(12)]
     for shuffle in (False, True):
