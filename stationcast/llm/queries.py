@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, substring_dedup  # noqa: F401
+from . import ngram_join, quality_rules, sentencepiece_codec, source_mix, substring_dedup  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
