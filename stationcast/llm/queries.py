@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, sentencepiece_codec, source_mix, substring_dedup  # noqa: F401
+from . import (  # noqa: F401
+    ngram_join, quality_rules, sentencepiece_codec, source_mix, substring_dedup, token_counts, url_filter,
+)
 from .registry import ORACLE, QUERIES  # noqa: F401
