@@ -2,7 +2,7 @@
 
 Round 1 names runs and pairs of words up to symbols of a few words (``recompression``). Consecutive
 windows with the same anchoring symbol form a span; a span is a row with its symbol, a hash of its
-words and its place. Round 2 counts symbols over the corpus: a repeated window has its symbol in
+words and its place. Round 2 counts symbols, with the words that decide them, over the corpus: a repeated window has both in
 common with its other occurrences, so spans with a symbol of their own are done. Round 3 compares
 the spans of a symbol: spans with equal words repeat as a whole. Where a symbol has several different
 spans, one of each kind goes back to its text for the hashes of its windows, and windows that two
@@ -50,7 +50,7 @@ class Sums:
 
 
 def spans(block: Block, window: int) -> tuple[np.ndarray, ...]:
-    """Symbol, words' hash, document, first window in the document and number of windows of each span."""
+    """Symbol with its context, words' hash, document, first window and number of windows of each span."""
     hashes = block.hashes()
     starts, _ = block.windows(hashes, window)
     found = levels(hashes, block.bounds)
@@ -59,13 +59,16 @@ def spans(block: Block, window: int) -> tuple[np.ndarray, ...]:
     new[1:] = (level[1:] != level[:-1]) | (index[1:] != index[:-1])
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(starts)))
+    sums = Sums(hashes)
     name = np.zeros(len(head), np.uint64)
     for k, symbols in enumerate(found):
         here = level[head] == k
-        name[here] = mix(symbols.name[index[head][here]] + np.uint64(k))
+        at = index[head][here]
+        # the words of the context are as common to equal windows as the symbol, and far rarer
+        name[here] = mix(symbols.name[at] + np.uint64(k)) ^ sums(symbols.lo[at], symbols.hi[at])
     at = starts[head]
     document = np.searchsorted(block.bounds, at, "right") - 1
-    return name, Sums(hashes)(at, at + n + window - 1), document, at - block.bounds[document], n
+    return name, sums(at, at + n + window - 1), document, at - block.bounds[document], n
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -154,8 +157,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
         (F.count("*") > 1).alias("often"), F.min(F.struct("row", "at")).alias("place")), "kinds")
     asked = kinds.groupBy(F.col("place.row").alias("row")).agg(
         F.collect_list(F.struct("symbol", "words", "place.at", "n", "often")).alias("marks"))
-    windows = window_hashes(texts.select("row", "text").join(asked, "row"), window)
-    windows = stored(windows.distinct(), "windows")
+    # equal rows answer twice, but their spans are repeated as a whole anyway
+    windows = stored(window_hashes(texts.select("row", "text").join(asked, "row"), window), "windows")
     again = (windows.groupBy("symbol", "hash").agg(F.count("*").alias("kinds"), F.max("often").alias("often"))
              .where("kinds > 1 or often").select("symbol", "hash"))
     some = (windows.where("not often").join(again, ["symbol", "hash"])
