@@ -4,12 +4,16 @@ Shingles are the sets of five consecutive words (a text of one to four words is
 texts link if the Jaccard similarity of their sets is at least 0.8. Rows with the same words form a
 class, and only one text per class goes on.
 
-A forest holds ``TREES`` prefix tries over signatures. All trees are searched at one prefix length;
-texts that share a prefix in a tree are candidates. The candidates' components are dealt to blocks of
-bounded size and compared exactly, block against block, so a group of any size is neither gathered in
-a task nor written out as pairs. From the verified similarities s and the chance 1 - (1 - s^k)^trees
-of meeting at length k, the recall is estimated; while it is below the target, the prefixes are
-shortened. Shorter prefixes only add candidates.
+A forest holds ``TREES`` prefix tries over signatures. All trees are searched at one prefix length. In
+the bucket of a prefix the texts are compared with its head by their signatures: those far from it are
+no candidates, those near to it are done, as what links with them is not far from the head, and the rest
+of the bucket goes on with a head of its own. A bucket that still has members after ``HEADS`` heads takes
+them all as candidates. So a passage that very many texts share does not make them one group.
+
+The candidates' components are dealt to blocks of bounded size and compared exactly, block against
+block, so a group of any size is neither gathered in a task nor written out as pairs. From the verified
+similarities s and the chance 1 - (1 - s^k)^trees of meeting at length k, the recall is estimated; while
+it is below the target, the prefixes are shortened. Shorter prefixes only add candidates.
 
 Result, a row per document: ``class_id`` (smallest doc_id with the same words), ``n_links`` (other
 rows linked directly, copies included), ``component_id`` (smallest doc_id reachable by links) and
@@ -34,8 +38,11 @@ from .words import ODD, Block, blocks, mix, powers
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold 0.8 as a fraction, so that comparisons are exact
-TREES, DEPTHS = 16, (6, 5, 4)
+TREES, DEPTHS = 32, (8, 6)
 TARGET_RECALL = 0.9995
+COMPARED = 96  # hashes of a signature that are compared; TREES * max(DEPTHS) make the prefixes
+FAR, NEAR = 0.5, 0.85  # agreement below and above: 0.8 for a link, less 0.2 for a near text's link and 0.1 for chance
+HEADS = 6
 BLOCK = 1024  # texts of one side of a comparison
 
 SECOND = 0x9FB21C651E98DF25
@@ -66,12 +73,16 @@ def shingles(block: Block, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.searchsorted(at[order], block.bounds)
 
 
-def prefix_keys(keys: np.ndarray, bounds: np.ndarray) -> dict[int, np.ndarray]:
-    """For each prefix length the keys of every tree, a row per document; documents without words get 0."""
+def prefix_keys(keys: np.ndarray, bounds: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each prefix length the keys of every tree, a row per document, and the compared hashes.
+
+    Documents without words get 0.
+    """
     full = bounds[1:] > bounds[:-1]
     heads = bounds[:-1][full]
     depth = max(DEPTHS)
     out = {d: np.zeros((len(full), TREES), np.uint64) for d in DEPTHS}
+    hashes = np.zeros((len(full), COMPARED), np.uint32)
     for tree in range(TREES):
         key = np.full(full.sum(), tree + 1, np.uint64)
         for level in range(depth):
@@ -80,11 +91,13 @@ def prefix_keys(keys: np.ndarray, bounds: np.ndarray) -> dict[int, np.ndarray]:
             key = mix(key * np.uint64(ODD) + least)
             if level + 1 in out:
                 out[level + 1][full, tree] = key
-    return out
+            if j < COMPARED:
+                hashes[full, j] = mix(least) >> np.uint64(32)
+    return out, hashes
 
 
 def _lists(values: np.ndarray) -> pa.Array:
-    flat = pa.array(values.reshape(-1).view(np.int64))
+    flat = pa.array(values.reshape(-1).view(np.int64 if values.dtype == np.uint64 else np.int32))
     return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), flat)
 
 
@@ -94,29 +107,45 @@ def _key_column(keys: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words, p<depth>...) of every document."""
+    """(doc_id, key, n_words, hashes, p<depth>...) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, block in blocks(batch, "text"):
                 hashes = block.hashes()
-                prefixes = prefix_keys(*shingles(block, hashes))
+                prefixes, compared = prefix_keys(*shingles(block, hashes))
                 out = {
                     "doc_id": batch.column("doc_id").slice(start, end - start),
                     "key": _key_column(word_keys(block, hashes)),
                     "n_words": pa.array(block.n_words, pa.int64()),
+                    "hashes": _lists(compared),
                 }
                 yield pa.record_batch(out | {f"p{d}": _lists(v) for d, v in prefixes.items()})
 
     columns = ", ".join(f"p{d} array<bigint>" for d in DEPTHS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, key binary, n_words bigint, {columns}")
-
-
-def bucket_edges(classes: DataFrame, depth: int) -> DataFrame:
-    """(key, head): every class with the smallest key of each of its buckets."""
-    leaves = classes.select("key", F.posexplode(f"p{depth}").alias("tree", "prefix"))
-    heads = leaves.groupBy("tree", "prefix").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return leaves.join(heads, ["tree", "prefix"]).where("key != head").select("key", "head").distinct()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, key binary, n_words bigint, hashes array<int>, {columns}")
+
+
+def candidate_edges(classes: DataFrame, depth: int) -> DataFrame:
+    """(id, head): classes with the heads of their buckets that they may link with or near to."""
+    leaves = classes.select("id", F.posexplode(f"p{depth}").alias("tree", "prefix"))
+    hashes = classes.select("id", "hashes")
+    bucket, edges = ["tree", "prefix"], None
+    for turn in range(HEADS):
+        heads = leaves.groupBy(*bucket).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+        members = stored(leaves.join(heads, bucket).where("id != head"), "members")
+        pairs = members.select("id", "head").distinct()
+        pairs = pairs.join(hashes, "id").join(hashes.toDF("head", "other"), "head")
+        same = F.aggregate(F.zip_with("hashes", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+        scored = stored(pairs.select("id", "head", same.alias("same")), "scored")
+        found = scored.where(F.col("same") >= FAR * COMPARED).select("id", "head")
+        edges = edges.union(found) if edges else found
+        leaves = members.join(scored, ["id", "head"]).where(F.col("same") < NEAR * COMPARED)
+        if turn == HEADS - 1:
+            return edges.union(leaves.select("id", "head")).distinct()
+        leaves = stored(leaves.select("tree", "prefix", "id"), "leaves")
+        if leaves.isEmpty():
+            return edges.distinct()
 
 
 def _meet(depth: int, similarity: np.ndarray) -> np.ndarray:
@@ -194,22 +223,22 @@ def compare(side: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, cross:
 
 
 def verified(members: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-    """(key, root, links, pairs, expected) of the members of candidate groups that have a link.
+    """(id, root, links, pairs, expected) of the members of candidate groups that have a link.
 
-    members: key, doc_id, n_rows, component, parts, part. A group goes in ``parts`` blocks; every pair
+    members: id, key, doc_id, n_rows, component, parts, part. A group goes in ``parts`` blocks; every pair
     of blocks is compared once. Texts are fetched by doc_id and told apart by their key.
     """
     texts = members.join(docs.select("doc_id", "text"), "doc_id")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "n_rows", "text")
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "id", "key", "n_rows", "text")
     group = ["component", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in groupby(_members(batches), key=lambda r: r[0]):
             found = {}
-            for _, side, key, n_rows, keys in rows:
-                found.setdefault(key, (side, n_rows, keys))
+            for _, side, own, n_rows, keys in rows:
+                found.setdefault(own, (side, n_rows, keys))
             names = sorted(found)
             if len(names) < 2:
                 continue
@@ -219,20 +248,20 @@ def verified(members: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
             some = np.flatnonzero(pairs)
             if len(some):
                 yield pa.record_batch({
-                    "key": pa.array([names[k] for k in some], pa.binary()),
-                    "root": pa.array([names[root[k]] for k in some], pa.binary()),
+                    "id": pa.array([names[k] for k in some], pa.int64()),
+                    "root": pa.array([names[root[k]] for k in some], pa.int64()),
                     "links": links[some], "pairs": pairs[some].astype(np.int64), "expected": expected[some],
                 })
 
     return (dealt.repartition(*group).sortWithinPartitions(*group)
-            .mapInArrow(run, "key binary, root binary, links bigint, pairs bigint, expected double"))
+            .mapInArrow(run, "id bigint, root bigint, links bigint, pairs bigint, expected double"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(group, side, key, rows, shingle set) of each row whose text has the key it stands for."""
+    """(group, side, id, rows, shingle set) of each row whose text has the key it stands for."""
     for batch in batches:
         group = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))))
-        side, key, n_rows = (batch.column(c).to_pylist() for c in ("side", "key", "n_rows"))
+        side, ids, key, n_rows = (batch.column(c).to_pylist() for c in ("side", "id", "key", "n_rows"))
         for start, _, block in blocks(batch, "text"):
             hashes = block.hashes()
             own = word_keys(block, hashes)
@@ -240,16 +269,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for k in range(len(own)):
                 r = start + k
                 if own[k].tobytes() == key[r]:
-                    yield group[r], side[r], key[r], n_rows[r], np.unique(keys[bounds[k]:bounds[k + 1]])
+                    yield group[r], side[r], ids[r], n_rows[r], np.unique(keys[bounds[k]:bounds[k + 1]])
 
 
 def candidate_members(classes: DataFrame, depth: int) -> DataFrame:
-    groups = connected_components(bucket_edges(classes, depth), "key", "head", "candidates")
+    groups = connected_components(candidate_edges(classes, depth), "id", "head", "candidates")
     groups = stored(groups, "candidates")
     parts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    return (groups.join(parts, "component").withColumnRenamed("node", "key")
-            .join(classes.select("key", "doc_id", "n_rows"), "key")
-            .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    return (groups.join(parts, "component").withColumnRenamed("node", "id")
+            .join(classes.select("id", "key", "doc_id", "n_rows"), "id")
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
 
 
 def similarity_join(docs: DataFrame) -> DataFrame:
@@ -257,19 +286,21 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     rows = stored(signatures(docs), "signatures")
     linkable = rows.where("n_words > 0 and doc_id is not null")
-    prefixes = [F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS]
-    classes = stored(linkable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), *prefixes), "classes")
+    # equal rows have equal signatures; the id of a class is fixed by writing it
+    signed = [F.first(c).alias(c) for c in ("hashes", *(f"p{d}" for d in DEPTHS))]
+    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), *signed)
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     for depth in DEPTHS:
         found = stored(verified(candidate_members(classes, depth), docs, depth), "verified")
         pairs, expected = found.agg(F.sum("pairs"), F.sum("expected")).first()
         if not pairs or pairs >= TARGET_RECALL * expected:
             break
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    groups = connected_components(found, "key", "root", "linked").withColumnRenamed("node", "key")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    groups = connected_components(found, "id", "root", "linked").withColumnRenamed("node", "id")
     groups = stored(groups, "linked")
-    ids = groups.join(classes.select("key", "doc_id"), "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = (classes.select("key", F.col("doc_id").alias("class_id"), "n_rows").join(links, "key", "left")
-                .join(groups.join(ids, "component").select("key", "component_id"), "key", "left"))
+    ids = groups.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = (classes.select("id", "key", F.col("doc_id").alias("class_id"), "n_rows").join(links, "id", "left")
+                .join(groups.join(ids, "component").select("id", "component_id"), "id", "left"))
     joined = linkable.select("doc_id", "key").join(by_class, "key").select(
         "doc_id", "class_id", (F.col("n_rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "class_id").alias("component_id"))

@@ -75,20 +75,39 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _combined(name: np.ndarray, words: np.ndarray, n: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each kind of span, with the places of all but the first in ``more``."""
+    order = np.lexsort((n, words, name))
+    name, words, n, row, at = (x[order] for x in (name, words, n, row, at))
+    first = np.ones(len(name), bool)
+    first[1:] = (name[1:] != name[:-1]) | (words[1:] != words[:-1]) | (n[1:] != n[:-1])
+    heads = np.flatnonzero(first)
+    size = np.diff(np.append(heads, len(name))) - 1
+    rest = pa.StructArray.from_arrays([pa.array(row[~first]), pa.array(at[~first], pa.int32())], ["row", "at"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32(), mask=np.append(size == 0, False))
+    return pa.record_batch({
+        "symbol": _signed(name[heads]), "words": _signed(words[heads]), "row": pa.array(row[heads]),
+        "at": pa.array(at[heads], pa.int32()), "n": pa.array(n[heads], pa.int32()),
+        "more": pa.ListArray.from_arrays(offsets, rest),
+    })
+
+
 def find_spans(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, words, row, at, n) of all spans; ``row`` is a hash of doc_id and text."""
+    """(symbol, words, row, at, n, more) of all spans; ``row`` is a hash of doc_id and text.
+
+    Equal spans of a block of texts are one row, so a passage, or a word repeated over and over, that a
+    third of all texts share is a row per block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row").to_numpy()
             for start, _, block in blocks(batch, "text"):
                 name, words, document, at, n = spans(block, window)
-                yield pa.record_batch({
-                    "symbol": _signed(name), "words": _signed(words), "row": pa.array(row[start + document]),
-                    "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32()),
-                })
+                yield _combined(name, words, n, row[start + document], at)
 
-    return docs.select("row", "text").mapInArrow(run, "symbol bigint, words bigint, row bigint, at int, n int")
+    return docs.select("row", "text").mapInArrow(
+        run, "symbol bigint, words bigint, row bigint, at int, n int, more array<struct<row:bigint,at:int>>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -144,17 +163,25 @@ def window_hashes(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "symbol bigint, words bigint, often boolean, k int, hash bigint")
 
 
+def _places(spans: DataFrame) -> DataFrame:
+    """(row, at, n, words, some) of every place of spans with ``more``."""
+    first = F.array(F.struct("row", "at"))
+    each = F.explode(F.when(F.col("more").isNull(), first).otherwise(F.concat(first, F.col("more")))).alias("place")
+    return spans.select(each, "n", "words", "some").select("place.row", "place.at", "n", "words", "some")
+
+
 def repeated_spans(docs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """(row, at, n, words, some): spans with repeated windows; ``some`` lists them, null stands for all."""
     found = stored(find_spans(docs, window), "spans")
-    kind = F.struct("words", "n")
-    symbols = (found.groupBy("symbol").agg(F.count("*").alias("times"), F.min(kind).alias("low"), F.max(kind).alias("high"))
+    kind, times = F.struct("words", "n"), F.sum(1 + F.coalesce(F.size("more"), F.lit(0)))
+    symbols = (found.groupBy("symbol").agg(times.alias("times"), F.min(kind).alias("low"), F.max(kind).alias("high"))
                .where("times > 1").select("symbol", (F.col("low") != F.col("high")).alias("various")))
-    shared = stored(found.join(symbols, "symbol"), "shared")
-    alike = shared.where("not various").select("row", "at", "n", "words", F.lit(None).cast("array<int>").alias("some"))
+    # written, so that the join sees the sizes of both sides and can split a common symbol
+    shared = stored(found.join(stored(symbols, "symbols"), "symbol"), "shared")
+    alike = _places(shared.where("not various").withColumn("some", F.lit(None).cast("array<int>")))
     various = shared.where("various")
     kinds = stored(various.groupBy("symbol", "words", "n").agg(
-        (F.count("*") > 1).alias("often"), F.min(F.struct("row", "at")).alias("place")), "kinds")
+        (times > 1).alias("often"), F.min(F.struct("row", "at")).alias("place")), "kinds")
     asked = kinds.groupBy(F.col("place.row").alias("row")).agg(
         F.collect_list(F.struct("symbol", "words", "place.at", "n", "often")).alias("marks"))
     # equal rows answer twice, but their spans are repeated as a whole anyway
@@ -165,8 +192,7 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, window: int) -> DataFrame:
             .groupBy("symbol", "words").agg(F.collect_list("k").alias("some")))
     parts = (kinds.where("not often").join(some, ["symbol", "words"]).select("symbol", "words", "n", "some")
              .union(kinds.where("often").select("symbol", "words", "n", F.lit(None).cast("array<int>"))))
-    mixed = various.join(parts, ["symbol", "words", "n"]).select("row", "at", "n", "words", "some")
-    return alike.union(mixed)
+    return alike.union(_places(various.join(stored(parts, "parts"), ["symbol", "words", "n"])))
 
 
 def _removed(batch: pa.RecordBatch, start: int, end: int, block: Block, window: int) -> np.ndarray:
