@@ -39,3 +39,18 @@ def is_weekend(ts: Column) -> Column:
 def horizon_dates(base: Column, days: int = 3) -> Column:
     """Array of the next ``days`` dates."""
     return F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.date_add(base, d))
+
+
+def utc_time(c: Column) -> Column:
+    """Text to a UTC time without zone: an offset is converted, text without one is UTC already.
+
+    What does not parse becomes null. The result does not depend on the session's time zone.
+    """
+    text = F.trim(c.cast("string"))
+    local = F.regexp_replace(text, r"\s*(Z|[+-]\d{2}(:?\d{2})?)$", "").try_cast("timestamp_ntz")
+    offset = F.regexp_extract(text, r":\d{2}(?:\.\d+)?\s*(Z|[+-]\d{2}(?::?\d{2})?)$", 1)
+    hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.substring(F.regexp_replace(offset, ":", ""), 4, 2).try_cast("int"), F.lit(0))
+    seconds = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (hours * 3600 + minutes * 60)
+    shifted = local - F.make_dt_interval(secs=seconds)
+    return F.when(F.coalesce(offset, F.lit("")) == "", text.try_cast("timestamp_ntz")).otherwise(shifted)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_DIGITS = 4  # decimal digits of a reading that count
-
 
 def finite(c: Column) -> Column:
     """NaN and infinities become null, so that one bad value cannot spoil an aggregate."""
@@ -24,16 +22,20 @@ def clamp(c: Column, lo, hi) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
 
 
-def to_units(c: Column, digits: int = UNIT_DIGITS) -> Column:
-    """Fixed-point integer of a decimal reading.
+def to_units(c: Column, digits: int) -> Column:
+    """Fixed-point integer of a value that has at most ``digits`` decimals.
 
     Integer sums do not depend on the order of the shuffle, so a re-run task or a
-    re-delivered day gives bit-equal results; they also stay in primitive codegen.
+    re-delivered day gives bit-equal results. A value with more decimals, or too large for
+    a long, is an error: nothing is rounded away.
     """
-    return F.rint(c * F.lit(float(10**digits))).cast("bigint")
+    scaled = c * F.lit(float(10**digits))
+    fits = F.abs(scaled - F.rint(scaled)) <= 1e-6 + F.abs(scaled) * F.lit(1e-15)
+    message = F.concat(F.lit(f"more than {digits} decimals: "), c.cast("string"))
+    return F.when(fits | c.isNull(), F.rint(scaled)).otherwise(F.raise_error(message).cast("double")).cast("bigint")
 
 
-def from_units(c: Column, digits: int = UNIT_DIGITS) -> Column:
+def from_units(c: Column, digits: int) -> Column:
     return c / F.lit(float(10**digits))
 
 

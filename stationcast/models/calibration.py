@@ -8,33 +8,35 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp
-from ..schemas import AQI_MAX, AQI_MIN, HORIZONS
+from ..functions.numeric import clamp, finite
+from ..schemas import AQI_MAX, AQI_MIN
 
 
-def isotonic_calibrate(
-    fit: DataFrame, apply: DataFrame, by: str, y: str, p: str, out: str, *, groups=HORIZONS, digits: int = 3
-) -> DataFrame:
+def isotonic_calibrate(fit: DataFrame, apply: DataFrame, by: str, y: str, p: str, out: str, *, groups=None) -> DataFrame:
     """Monotone map from prediction to truth, fitted per group; outside the fitted range it is flat.
 
-    The fit needs its points in order. Predictions lie between the bounds of the index, so
-    rounded to ``digits`` they have a bounded number of distinct values; Spark averages the
-    truth of each and passes the counts as weights. The model sees at most that many points,
-    whatever the number of rows.
+    Groups are those of ``fit`` (a few horizons) unless named. Spark averages the truth of equal
+    predictions and passes the counts as weights, so the model sees distinct predictions, not rows.
+    Results are limited to the index range. All rows of ``apply`` stay: a row without prediction, or
+    of a group that was not fitted, has no calibrated value.
     """
+    given = F.col(p).cast("double")
     points = (
-        fit.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-        .groupBy(by, F.round(clamp(F.col(p), AQI_MIN, AQI_MAX), digits).alias("features"))
+        fit.where(finite(given).isNotNull() & F.col(y).isNotNull())
+        .groupBy(by, given.alias("features"))
         .agg(F.avg(y).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
         .persist()
     )
-    parts = []
+    fitted = sorted(r[0] for r in points.where(F.col(by).isNotNull()).select(by).distinct().collect())
+    groups = [g for g in fitted if groups is None or g in groups]
+    ready = finite(given).isNotNull() & F.coalesce(F.col(by).isin(groups), F.lit(False))
+    parts = [apply.where(~ready).withColumn(out, F.lit(None).cast("double"))]
     for g in groups:
         model = IsotonicRegression(
-            featuresCol="features", labelCol="label", weightCol="weight", predictionCol="_calibrated"
-        ).fit(points.where(F.col(by) == g))
-        rows = apply.where((F.col(by) == g) & F.col(p).isNotNull()).withColumn("features", F.col(p).cast("double"))
-        scored = model.transform(rows).withColumn(out, F.col("_calibrated"))
-        parts.append(scored.drop("_calibrated", "features"))
+            featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_calibrated"
+        ).fit(points.where(F.col(by) == g).withColumnRenamed("features", "_features"))
+        rows = apply.where(ready & (F.col(by) == g)).withColumn("_features", given)
+        scored = model.transform(rows).withColumn(out, clamp(F.col("_calibrated"), AQI_MIN, AQI_MAX))
+        parts.append(scored.drop("_calibrated", "_features"))
     points.unpersist()
     return reduce(DataFrame.unionByName, parts).select(*dict.fromkeys([*apply.columns, out]))

@@ -27,6 +27,8 @@ def training_frame(features: DataFrame, holdout: int, *, impute: str = "train_me
     if impute == "train_mean":
         df = impute_train_mean(df.withColumn("_t", F.col("split") == "train"), KEY, names, "_t").drop("_t")
     df = stored(df, "training-frame")
+    if df.where(F.col("split") == "train").isEmpty():
+        raise ValueError(f"no station has more than the {holdout} rows of the holdout")
     df = drop_all_null(df, names, df.where(F.col("split") == "train"))
     names = [c for c in names if c in df.columns]
     # a station without any value of a feature has no mean either

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import train_val_cut
@@ -54,19 +54,29 @@ def importance(model: PipelineModel, names: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def shuffled(df: DataFrame, names: list[str], key: list[str], *, seed: int = 42, block: int = 2000) -> DataFrame:
-    """Adds ``s_<feature>``: the feature of another row, drawn by a seeded hash order.
+def numbered(df: DataFrame, order: Column, ties: list[str], out: str, parts: int = 1024) -> DataFrame:
+    """Adds the row's position from 0 in the order of a 64-bit hash, without sorting the table in one task.
 
-    Rows are dealt at random into blocks of about ``block`` rows and each takes the values of
-    the next one in hash order, so values are permuted without ordering the whole table.
+    Rows are counted by the hash's range; a row's position is the number of rows in lower ranges and
+    its place in its own.
     """
-    h = F.xxhash64(F.lit(seed), *key)
-    blocks = df.count() // block + 1
-    df = df.withColumn("_h", h).withColumn("_blk", F.pmod(F.xxhash64(F.lit(seed + 1), *key), F.lit(blocks)))
-    w = Window.partitionBy("_blk").orderBy("_h", *key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    taken = {f"s_{c}": F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in names}
-    return df.withColumns(taken).drop("_h", "_blk")
+    width = 2**64 // parts
+    df = df.withColumns({"_h": order, "_r": F.floor(order.cast("decimal(20,0)") / F.lit(width)).cast("bigint")})
+    ranges = df.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_r", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_r").orderBy("_h", *ties)) - 1
+    return df.join(ranges, "_r").withColumn(out, F.col("_before") + within).drop("_h", "_r", "_before")
+
+
+def shuffled(df: DataFrame, names: list[str], key: list[str], *, seed: int = 42) -> DataFrame:
+    """Adds ``s_<feature>``: the feature of another row, by one seeded permutation of all rows.
+
+    The rows in one hash order take the features of the rows in another.
+    """
+    own = numbered(df, F.xxhash64(F.lit(seed), *key), key, "_at")
+    other = numbered(df.select(*key, *names), F.xxhash64(F.lit(seed + 1), *key), key, "_at")
+    return own.join(other.select("_at", *[F.col(c).alias(f"s_{c}") for c in names]), "_at").drop("_at")
 
 
 def permutation_importance(
@@ -84,7 +94,7 @@ def permutation_importance(
     )
     err = F.col(target) - F.col("prediction")
     scores = model.transform(swapped).groupBy("feature").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
-    base = scores.where(F.col("feature") == "").first()["rmse"]
-    return scores.where(F.col("feature") != "").select(
-        "feature", (F.col("rmse") - F.lit(base)).alias("rmse_increase")
-    ).orderBy(F.desc("rmse_increase"), "feature")
+    # one row per feature: a window over all of them scores nothing again
+    base = F.max(F.when(F.col("feature") == "", F.col("rmse"))).over(Window.partitionBy())
+    return scores.withColumn("rmse_increase", F.col("rmse") - base).where(F.col("feature") != "").select(
+        "feature", "rmse_increase").orderBy(F.desc("rmse_increase"), "feature")

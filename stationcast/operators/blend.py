@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, nz_div
-from ..schemas import AQI_MAX, AQI_MIN, FAMILIES, HORIZONS
+from ..schemas import AQI_MAX, AQI_MIN, FAMILIES
 
 ENOUGH_COVERAGE = 0.95
 
@@ -118,16 +118,28 @@ def blend_weights(
     return constrain(solve(df, by, y, models, names), by, nonneg=nonneg, sum_to_one=sum_to_one)
 
 
+MAX_HORIZONS = 1000
+
+
 def weights_by_horizon(weights: DataFrame, horizon: str = "horizon") -> DataFrame:
-    """One map model -> weight per horizon.
+    """One map model -> weight per horizon, of all models and horizons that have a weight.
 
-    Only known horizons and families are kept, at most 3 rows of 4 entries, which is what
-    makes it safe to broadcast.
+    Two different weights of one model and horizon are an error, not a choice, and so are more than
+    ``MAX_HORIZONS`` horizons: the rows may be broadcast.
     """
-    known = weights.where(F.col(horizon).isin(HORIZONS) & F.col("model").isin(FAMILIES))
-    return known.groupBy(horizon).agg(
-        F.map_from_entries(F.collect_set(F.struct("model", "weight"))).alias("_w")
-    )
+    single = weights.groupBy(horizon, "model").agg(F.min("weight").alias("weight"), F.max("weight").alias("_most"))
+    checked = F.when(F.col("weight") == F.col("_most"), F.col("weight")).when(F.col("_most").isNull(), F.col("_most")).otherwise(
+        F.raise_error(F.concat(F.lit("several weights of "), F.col("model"))).cast("double"))
+    maps = single.groupBy(horizon).agg(F.map_from_entries(F.collect_list(F.struct("model", checked.alias("weight")))).alias("_w"))
+    few = F.count(F.lit(1)).over(Window.partitionBy()) <= MAX_HORIZONS
+    return maps.withColumn("_w", F.when(few, F.col("_w")).otherwise(
+        F.raise_error(F.lit("too many horizons")).cast("map<string,double>")))
+
+
+def families_of(preds: DataFrame) -> list[str]:
+    """Families with a column ``p_<family>``: the known ones in fallback order, then the others by name."""
+    found = [c.removeprefix("p_") for c in preds.columns if c.startswith("p_")]
+    return [f for f in FAMILIES if f in found] + sorted(f for f in found if f not in FAMILIES)
 
 
 def blend_apply(
@@ -136,21 +148,22 @@ def blend_apply(
     """Weighted mean of the available predictions, limited to the index range, with coverage.
 
     ``preds`` has one column ``p_<family>`` per family. ``weights`` has rows (horizon, model,
-    weight); they are folded into one map per horizon (at most a handful of rows) and joined
-    on the horizon, so the predictions are neither shuffled nor exploded. Where a horizon has
-    no weights, the first available family in fallback order is used.
+    weight); they are folded into one map per horizon and joined on the horizon, so the predictions are
+    neither shuffled nor exploded. Coverage is the
+    share of a horizon's whole weight whose models have a prediction, so a weighted model that
+    ``preds`` does not hold lowers it. Where a horizon has no weights, the first available family
+    in fallback order is used.
     """
+    families = families_of(preds)
     df = preds.join(F.broadcast(weights_by_horizon(weights, horizon)), horizon, "left")
     value = total = F.lit(0.0)
-    for f in FAMILIES:
-        if f"p_{f}" not in preds.columns:
-            continue
+    for f in families:
         p, w = F.col(f"p_{f}"), F.coalesce(F.col("_w")[f], F.lit(0.0))
         have = p.isNotNull()
         value = value + F.when(have, w * p).otherwise(0.0)
         total = total + F.when(have, w).otherwise(0.0)
-    expected = F.aggregate(F.map_values("_w"), F.lit(0.0), lambda s, x: s + x)
-    fallback = F.coalesce(*[F.col(f"p_{f}") for f in FAMILIES if f"p_{f}" in preds.columns])
+    expected = F.aggregate(F.map_values("_w"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    fallback = F.coalesce(*[F.col(f"p_{f}") for f in families])
     blended = clamp(value / F.when(total > 0, total), AQI_MIN, AQI_MAX)
     coverage = F.when(F.col("_w").isNotNull(), F.when(expected > 0, total / expected).otherwise(0.0))
     return df.select(

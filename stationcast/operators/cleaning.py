@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import utc_time
 from ..functions.numeric import clamp, to_number
 from ..schemas import NOT_FEATURES, TIME
 
@@ -26,8 +27,8 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def normalize_time(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Text to timestamp; what does not parse becomes null."""
-    return df.withColumn(out or col, F.col(col).try_cast("timestamp_ntz"))
+    """Text to UTC timestamp; what does not parse becomes null."""
+    return df.withColumn(out or col, utc_time(F.col(col)))
 
 
 def legacy_time(df: DataFrame, legacy: str = "date", time: str = TIME) -> DataFrame:
@@ -35,7 +36,7 @@ def legacy_time(df: DataFrame, legacy: str = "date", time: str = TIME) -> DataFr
     if time not in df.columns:
         if legacy not in df.columns:
             raise ValueError("no timestamp column")
-        df = df.withColumn(time, F.col(legacy).try_cast("timestamp_ntz"))
+        df = df.withColumn(time, utc_time(F.col(legacy)))
     return df.drop(legacy)
 
 
@@ -67,14 +68,16 @@ def drop_all_null(df: DataFrame, cols: list[str], fitted_on: DataFrame | None =
     return df.drop(*all_null_columns(df if fitted_on is None else fitted_on, cols))
 
 
-def iqr_cap(df: DataFrame, key: str, cols: list[str], k: float = 1.5) -> DataFrame:
+def iqr_cap(df: DataFrame, key: str, cols: list[str], k: float = 1.5, is_train: str | None = None) -> DataFrame:
     """Limit each column to [Q1 - k IQR, Q3 + k IQR] of its station.
 
-    The quartiles are window aggregates over the key, so capping shares the shuffle of
+    ``is_train`` names a flag of the rows that the quartiles are taken from, so that later rows do
+    not change earlier ones; without it all rows count. The quartiles are window aggregates over the key, so capping shares the shuffle of
     the other series features and needs no join.
     """
     w = Window.partitionBy(key)
-    df = df.withColumns({f"_q_{c}": F.percentile(c, [0.25, 0.75]).over(w) for c in cols})
+    fitted = lambda c: F.when(F.col(is_train), F.col(c)) if is_train else F.col(c)
+    df = df.withColumns({f"_q_{c}": F.percentile(fitted(c), [0.25, 0.75]).over(w) for c in cols})
     capped = {}
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]

@@ -24,15 +24,13 @@ def number_rows(df: DataFrame, key: str, time: str, pos: str = "_pos", n: str =
 def holdout_split(df: DataFrame, key: str, time: str, days: int, out: str = "split") -> DataFrame:
     """Newest ``days`` rows of each key are ``test``, the others ``train``.
 
-    A key with too few rows fails the job, as a split without training rows is no split.
+    A key with too few rows for both, such as a new station, is ``short`` as a whole: it is
+    neither trained on nor tested, and stays visible.
     """
     if days < 1:
         raise ValueError("holdout must be at least 1 row")
     numbered = number_rows(df, key, time)
-    cut = F.when(F.col("_n") > days, F.col("_n") - days).otherwise(
-        F.raise_error(F.lit(f"holdout of {days} rows leaves no training rows")).cast("bigint")
-    )
-    role = F.when(F.col("_pos") < cut, "train").otherwise("test")
+    role = F.when(F.col("_n") <= days, "short").when(F.col("_pos") < F.col("_n") - days, "train").otherwise("test")
     return numbered.withColumn(out, role).drop("_pos", "_n")
 
 

@@ -23,19 +23,25 @@ def missing_dates(present: DataFrame, key: str, day: str, start: Column, end: Co
 
 
 def align_predictions(
-    preds: DataFrame, keys: list[str], family: str, families: list[str], y_true: str, y_pred: str
+    preds: DataFrame, keys: list[str], family: str, families: list[str], y_true: str, y_pred: str,
+    created: str | None = None,
 ) -> DataFrame:
     """Rows for which every family has a prediction, one column per family.
 
-    A conditional aggregate over the long table: one shuffle instead of a chain of joins.
+    A conditional aggregate over the long table: one shuffle instead of a chain of joins. Of
+    repeated predictions the newest by ``created`` counts; without that column, different
+    predictions of one family and row are an error.
     """
     cols = []
     for f in families:
         is_f = F.col(family) == f
-        cols += [
-            F.max(F.when(is_f, F.col(y_pred))).alias(f"p_{f}"),
-            F.max(F.when(is_f, F.col(y_true))).alias(f"y_{f}"),
-        ]
+        p, y = F.when(is_f, F.col(y_pred)), F.when(is_f, F.col(y_true))
+        if created:
+            newest = F.max_by(F.when(is_f, F.struct(p.alias("p"), y.alias("y"))), F.when(is_f, F.col(created)))
+            cols += [newest["p"].alias(f"p_{f}"), newest["y"].alias(f"y_{f}")]
+        else:
+            several = F.raise_error(F.lit(f"several predictions of {f} for one row")).cast("double")
+            cols += [F.when(F.min(p) != F.max(p), several).otherwise(F.max(p)).alias(f"p_{f}"), F.max(y).alias(f"y_{f}")]
     wide = preds.where(F.col(y_pred).isNotNull() & F.col(y_true).isNotNull()).groupBy(*keys).agg(*cols)
     return wide.dropna(subset=[f"p_{f}" for f in families])
 

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import FEATURE_GROUPS, in_group
-from ..functions.numeric import from_units, nz_div, to_units
+from ..functions.numeric import finite, from_units, to_units
 from .quantiles import exact_quantiles, unpivot
-from .small import checked_small
 
 
-def describe(df: DataFrame, cols: list[str], *, digits: int) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column."""
-    long = unpivot(df, [], cols)
+def describe(df: DataFrame, cols: list[str], *, digits: int | None = None) -> DataFrame:
+    """count, mean, std, min, quartiles and max of the finite values, one row per column.
+
+    ``digits`` states that values have at most so many decimals; means and quartiles are then
+    computed in integers.
+    """
+    long = unpivot(df.select(*[finite(F.col(c).cast("double")).alias(c) for c in cols]), [], cols)
+    mean = F.avg("value")
+    if digits is not None:
+        mean = from_units(F.sum(to_units(F.col("value"), digits)), digits) / F.count("value")
     basic = long.groupBy("measure").agg(
         F.count("value").alias("count"),
-        (from_units(F.sum(to_units(F.col("value"), digits)), digits) / F.count("value")).alias("mean"),
+        mean.alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -64,63 +69,29 @@ def column_means(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def correlation_matrix(df: DataFrame, cols: list[str], *, max_cols: int = 50) -> DataFrame:
-    """Pearson correlation of each pair, over the rows where both are present.
+def _corr(x: Column, y: Column) -> Column:
+    """``corr`` without its error on constant columns; all three sums are centred."""
+    own, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(own) * F.var_pop(other)))
+
 
-    One pass: each partition reduces to a row per pair, by matrix products instead of one
-    aggregate expression per pair, and these rows are combined about the overall means. The
-    first ``max_cols`` columns are used, as in a plotted matrix. Rows (a, b) and (b, a) both
-    appear; a constant column has no correlation.
+def correlation_matrix(df: DataFrame, cols: list[str], *, pairs_at_once: int = 150) -> DataFrame:
+    """Pearson correlation of each pair, over the rows where both are present and finite.
+
+    One aggregate per pair of the upper triangle; wide tables take a pass per ``pairs_at_once``
+    pairs. Rows (a, b) and (b, a) both appear; a constant column has no correlation.
     """
-    cols = cols[:max_cols]
-    names = ["n", "mx", "my", "xx", "yy", "xy"]
-
-    # nested, so that they travel with the task and workers need not have this package
-    def pair_moments(x):
-        """Count, means and centred products of all column pairs over their complete rows."""
-        have = ~np.isnan(x)
-        centre = np.where(have.any(0), np.where(have, x, 0.0).sum(0) / np.maximum(have.sum(0), 1), 0.0)
-        x, have = np.where(have, x - centre, 0.0), have.astype(float)
-        n = have.T @ have
-        some = np.maximum(n, 1)
-        mx, my = x.T @ have / some, (x.T @ have).T / some
-        sq = (x * x).T @ have
-        return np.stack([
-            n, mx + centre[:, None], my + centre[None, :], sq - n * mx * mx, sq.T - n * my * my, x.T @ x - n * mx * my,
-        ])
-
-    def merge(p, q):
-        n = p[0] + q[0]
-        share = q[0] / np.maximum(n, 1)
-        dx, dy, both = q[1] - p[1], q[2] - p[2], p[0] * share
-        return np.stack([
-            n, p[1] + dx * share, p[2] + dy * share,
-            p[3] + q[3] + dx * dx * both, p[4] + q[4] + dy * dy * both, p[5] + q[5] + dx * dy * both,
-        ])
-
-    def partial(batches):
-        total = None
-        for pdf in batches:
-            part = pair_moments(pdf[cols].to_numpy(float))
-            total = part if total is None else merge(total, part)
-        if total is not None:
-            i, j = np.indices(total.shape[1:])
-            pairs = {"a": np.array(cols)[i.ravel()], "b": np.array(cols)[j.ravel()]}
-            yield pd.DataFrame({**pairs, **{s: total[k].ravel() for k, s in enumerate(names)}})
-
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    parts = doubles.mapInPandas(partial, "a string, b string, " + ", ".join(f"{s} double" for s in names))
-    pair = Window.partitionBy("a", "b")  # a row per input partition
-    n = F.col("n")
-    dx = F.col("mx") - nz_div(F.sum(n * F.col("mx")).over(pair), F.sum(n).over(pair))
-    dy = F.col("my") - nz_div(F.sum(n * F.col("my")).over(pair), F.sum(n).over(pair))
-    total = parts.withColumns({"_dx": dx, "_dy": dy}).groupBy("a", "b").agg(
-        F.sum(F.col("xx") + n * F.col("_dx") * F.col("_dx")).alias("xx"),
-        F.sum(F.col("yy") + n * F.col("_dy") * F.col("_dy")).alias("yy"),
-        F.sum(F.col("xy") + n * F.col("_dx") * F.col("_dy")).alias("xy"),
-    )
-    corr = F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))
-    return total.select("a", "b", F.when((F.col("xx") > 0) & (F.col("yy") > 0), corr).alias("corr"))
+    values = df.select(*[finite(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    parts = []
+    for at in range(0, len(pairs), pairs_at_once):
+        some = pairs[at:at + pairs_at_once]
+        row = values.agg(*[_corr(F.col(f"_{i}"), F.col(f"_{j}")).alias(f"_{i}_{j}") for i, j in some])
+        corr = {(i, j): F.col(f"_{i}_{j}").alias("corr") for i, j in some}
+        both = [(i, j, c) for (i, j), c in corr.items()] + [(j, i, c) for (i, j), c in corr.items() if i != j]
+        parts.append(row.select(F.inline(F.array(*[
+            F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), c) for i, j, c in both]))))
+    return reduce(DataFrame.union, parts)
 
 
 def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
@@ -129,8 +100,8 @@ def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFram
     The bounds come from a first pass and are a row per group; the second pass bins and
     counts where the rows are. The last bin includes the maximum; empty bins are not listed.
     """
-    rows = long.where(F.col(value).isNotNull()).select(*by, value)
-    bounds = checked_small(rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    rows = long.select(*by, finite(F.col(value).cast("double")).alias(value)).where(F.col(value).isNotNull())
+    bounds = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     at = F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width))
     # a constant group has no width and one bin
@@ -145,16 +116,16 @@ def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFram
     )
 
 
-def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int, k: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int | None = None, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest values within k IQR) and number of outliers per group."""
     quartiles = exact_quantiles(
         df, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"], digits=digits
     )
     v, reach = F.col(value), (F.col("q3") - F.col("q1")) * F.lit(k)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
-    rows = df.where(v.isNotNull()).select(*by, value)
+    rows = df.select(*by, finite(v.cast("double")).alias(value)).where(v.isNotNull())
     return (
-        rows.join(checked_small(quartiles), by)
+        rows.join(quartiles, by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_lo"),
@@ -168,27 +139,23 @@ def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int, k: f
 def kde_grid(long: DataFrame, by: list[str], value: str, grid: int = 200) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from minimum to maximum, Scott bandwidth.
 
-    Equal values are counted first (readings are fixed-point numbers in a bounded range);
-    each distinct value then adds to every grid point, and the map side sums these before
-    the shuffle, which carries ``grid`` rows per group.
+    Rows stay where they are: the map side sums their kernels at all points of the grid and
+    shuffles one row of ``grid`` sums per group. Equal values are counted first.
     """
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    v, c = F.col(value), F.col("_c")
-    stats = long.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.stddev_samp(value).alias("_sd"),
+    rows = long.select(*by, finite(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    stats = rows.groupBy(*by).agg(
+        F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd"),
     )
     n = F.col("_n")
     stats = stats.select(*by, "_n", "_lo", "_hi", (F.col("_sd") * F.pow(n, F.lit(-0.2))).alias("_h"))
-    points = (
-        counts.join(checked_small(stats), by)
-        .where(F.col("_h") > 0)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / F.lit(grid - 1))
-    )
-    z = (F.col("x") - v) / F.col("_h")
-    kernel = c * F.exp(z * z * F.lit(-0.5)) / (n * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi)))
-    return points.groupBy(*by, "i", "x").agg(F.sum(kernel).alias("density"))
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).join(stats, by).where(F.col("_h") > 0)
+    x = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i) / F.lit(grid - 1) for i in range(grid)]
+    z = [(at - F.col("_v")) / F.col("_h") for at in x]
+    sums = counts.groupBy(*by, "_n", "_lo", "_hi", "_h").agg(
+        F.array(*[F.sum(F.col("_c") * F.exp(d * d * F.lit(-0.5))) for d in z]).alias("_k"))
+    points = sums.select(*by, "_n", "_h", F.posexplode(F.arrays_zip(F.array(*x).alias("x"), F.col("_k").alias("k"))).alias("i", "_p"))
+    density = F.col("_p.k") / (n * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi)))
+    return points.select(*by, "i", F.col("_p.x").alias("x"), density.alias("density"))
 
 
 def feature_catalog(spark, columns: list[str]) -> DataFrame:

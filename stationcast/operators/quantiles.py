@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import UNIT_DIGITS, from_units, to_units
-from .small import checked_small
+from ..functions.numeric import finite, from_units, to_units
 
 
 def unpivot(df: DataFrame, by: list[str], cols: list[str], name: str = "measure", value: str = "value") -> DataFrame:
@@ -20,26 +19,34 @@ def exact_quantiles(
     probs: list[float],
     names: list[str],
     *,
-    digits: int = UNIT_DIGITS,
-    bucket: int = 4096,
+    digits: int | None = None,
+    buckets: int = 65_536,
 ) -> DataFrame:
-    """Linear-interpolated quantiles, exact for values with ``digits`` decimals.
+    """Linear-interpolated quantiles of the finite values, exact to the double.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a first pass
-    counts the values per bucket of ``bucket`` neighbouring values; a running total tells
-    which bucket holds each wanted rank. A second pass counts the values of those buckets
-    only. Both passes combine on the map side and shuffle counts, not rows; no task sees
-    more than ``bucket`` values or (value range / ``bucket``) totals of a group, so one
-    group may hold all rows.
+    ``percentile`` keeps every distinct value of a group in one task. Here a first pass finds
+    the bounds of each group, a second counts the values in ``buckets`` equal parts between
+    them; a running total tells which part holds each wanted rank. A third pass counts the
+    values of those parts only. All passes combine on the map side and shuffle counts, not
+    rows; no task sees more than ``buckets`` totals or the distinct values of one part, so
+    one group may hold all rows. ``digits`` states that values have at most so many decimals:
+    ranks are then interpolated between integers.
     """
-    rows = long.where(F.col(value).isNotNull()).select(*by, to_units(F.col(value), digits).alias("_v"))
-    rows = rows.withColumn("_b", F.floor(F.col("_v") / F.lit(bucket)))
-    w = Window.partitionBy(*by).orderBy("_b")
+    number = finite(F.col(value).cast("double"))
+    number = number if digits is None else to_units(number, digits)
+    # as a struct, a group with a null in its key joins like any other
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    rows = long.select(group.alias("_g"), number.alias("_v")).where(F.col("_v").isNotNull())
+    bounds = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(buckets))
+    at_part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(part), F.lit(buckets - 1))).otherwise(F.lit(0))
+    rows = rows.join(bounds, "_g").withColumn("_b", at_part.cast("bigint")).drop("_lo", "_hi")
+    w = Window.partitionBy("_g").orderBy("_b")
     totals = (
-        rows.groupBy(*by, "_b")
+        rows.groupBy("_g", "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+        .withColumn("_n", F.sum("_c").over(Window.partitionBy("_g")))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )
     wanted = []
@@ -55,26 +62,25 @@ def exact_quantiles(
     targets = (
         totals.withColumn("_want", inside)
         .where(F.size("_want") > 0)
-        .select(*by, "_b", "_start", "_n", "_want")
+        .select("_g", "_b", "_start", "_n", "_want")
     )
-    targets = checked_small(targets)
     counts = (
-        rows.join(targets, [*by, "_b"])
-        .groupBy(*by, "_b", "_v")
+        rows.join(targets, ["_g", "_b"])
+        .groupBy("_g", "_b", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        counts.join(targets, [*by, "_b"])
+        counts.join(targets, ["_g", "_b"])
         .withColumn("_to", F.col("_start") + F.sum("_c").over(inner))
         .withColumn("_from", F.col("_to") - F.col("_c"))
         .withColumn(
             "_hit",
             F.filter("_want", lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to"))),
         )
-        .select(*by, "_n", "_v", F.explode("_hit.id").alias("_id"))
+        .select("_g", "_n", "_v", F.explode("_hit.id").alias("_id"))
     )
-    at_rank = found.groupBy(*by).agg(
+    at_rank = found.groupBy("_g").agg(
         F.first("_n").alias("_n"),
         *[F.max(F.when(F.col("_id") == i, F.col("_v"))).alias(f"_r{i}") for i in range(2 * len(probs))],
     )
@@ -82,5 +88,6 @@ def exact_quantiles(
     for i, (p, name) in enumerate(zip(probs, names)):
         at = (F.col("_n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        out.append(from_units(lo + (hi - lo) * (at - F.floor(at)), digits).alias(name))
-    return at_rank.select(*by, *out)
+        at_value = lo + (hi - lo) * (at - F.floor(at))
+        out.append((at_value if digits is None else from_units(at_value, digits)).alias(name))
+    return at_rank.select(*[F.col("_g")[c].alias(c) for c in by], *out)

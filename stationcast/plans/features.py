@@ -14,9 +14,9 @@ from ..schemas import (
 )
 
 
-def daily_frame(readings: DataFrame, time: str = "time") -> DataFrame:
-    """One row per station and day with the ten measures."""
-    daily = resample_daily(readings, KEY, time, AVERAGED, SUMMED, day=TIME)
+def daily_frame(readings: DataFrame, time: str = "time", digits: int | None = None, zone: str | None = None) -> DataFrame:
+    """One row per station and day (of the time zone, else UTC) with the ten measures."""
+    daily = resample_daily(readings, KEY, time, AVERAGED, SUMMED, day=TIME, digits=digits, zone=zone)
     return daily.withColumn(TIME, F.col(TIME).cast("timestamp_ntz"))
 
 
@@ -43,17 +43,19 @@ def add_features(daily: DataFrame, measures=tuple(MEASURES), capped=tuple(CAPPED
     return df.select(KEY, TIME, *measures, "month", *stats, *TARGETS, *hots)
 
 
-def daily_features(readings: DataFrame, time: str = "time") -> DataFrame:
-    return add_features(daily_frame(readings, time))
+def daily_features(readings: DataFrame, time: str = "time", digits: int | None = None, zone: str | None = None) -> DataFrame:
+    return add_features(daily_frame(readings, time, digits, zone))
 
 
-def update_features(daily: DataFrame, readings: DataFrame, time: str = "time") -> tuple[DataFrame, DataFrame]:
+def update_features(
+    daily: DataFrame, readings: DataFrame, time: str = "time", digits: int | None = None, zone: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(daily table, feature table) after new readings.
 
     The days of the new readings replace the stored ones. Features are computed over history
     and new days together, so that lags and targets reach across the seam.
     """
-    merged = upsert(daily, daily_frame(readings, time), [KEY, TIME])
+    merged = upsert(daily, daily_frame(readings, time, digits, zone), [KEY, TIME])
     return merged, add_features(merged)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import FEATURE_GROUPS
 from ..operators import metrics, profile
 from ..operators.attribution import mean_abs_attribution
 from ..operators.blend import gram_long
@@ -18,7 +17,7 @@ from ..session import stored
 from ..sources.artifacts import artifact_matrix as matrix
 from . import inputs as src
 from . import query
-from .features import FEATURES, SEASON_SQL
+from .features import SEASON_SQL
 from .ordered import NUMBERED
 
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -301,22 +300,3 @@ def registry(spark, sf_dir):
 )
 def artifact_matrix(spark, sf_dir):
     return matrix(registry(spark, sf_dir), FAMILIES, HORIZONS)
-
-
-def _count_names(group: str) -> str:
-    wanted, unwanted = FEATURE_GROUPS[group]
-    not_like = f" AND NOT regexp_matches(name, '{unwanted}')" if unwanted else ""
-    return (
-        f"SELECT '{group}' AS feature_group, sum(CASE WHEN regexp_matches(name, '{wanted}'){not_like} THEN 1 ELSE 0 END)"
-        "::BIGINT AS columns FROM names"
-    )
-
-
-@query(
-    "feature_catalog",
-    f"WITH {FEATURES}, one AS (SELECT * FROM features LIMIT 1), "
-    "names AS (SELECT DISTINCT unnest(json_keys(to_json(one))) AS name FROM one) "
-    + " UNION ALL ".join(_count_names(g) for g in FEATURE_GROUPS),
-)
-def feature_catalog(spark, sf_dir):
-    return profile.feature_catalog(spark, src.features(spark, sf_dir).columns)

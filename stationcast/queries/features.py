@@ -78,8 +78,8 @@ def update_features(spark, sf_dir):
     """History up to the 20th, then the remaining readings as an update."""
     readings = src.readings(spark, sf_dir)
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
-    history = plans.daily_frame(readings.where(F.col("time") < cut))
-    _, features = plans.update_features(history, readings.where(F.col("time") >= cut))
+    history = plans.daily_frame(readings.where(F.col("time") < cut), digits=src.DIGITS)
+    _, features = plans.update_features(history, readings.where(F.col("time") >= cut), digits=src.DIGITS)
     return features.withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
@@ -97,7 +97,7 @@ def daily_resample(spark, sf_dir):
     "count(*) AS n_readings FROM readings GROUP BY 1, 2",
 )
 def daily_counts(spark, sf_dir):
-    return resample_daily(src.readings(spark, sf_dir), KEY, "time", ["aqi"], count="n_readings")
+    return resample_daily(src.readings(spark, sf_dir), KEY, "time", ["aqi"], count="n_readings", digits=src.DIGITS)
 
 
 @query(
@@ -243,7 +243,7 @@ def multi_window_features(spark, sf_dir):
     "FROM m GROUP BY 1, 2",
 )
 def ozone_8h_daily_max(spark, sf_dir):
-    return daily_max_of_moving_mean(src.readings(spark, sf_dir), KEY, "time", "o3", 8, out="o3_8h_max")
+    return daily_max_of_moving_mean(src.readings(spark, sf_dir), KEY, "time", "o3", 8, out="o3_8h_max", digits=src.DIGITS)
 
 
 def _index_sql(p: str) -> str:

@@ -17,6 +17,8 @@ from ..operators.resample import widen
 from ..plans import features as plans
 from ..schemas import AVERAGED, FAMILIES, HORIZONS, KEY, MEASURES, SUMMED, TIME
 
+DIGITS = 2  # decimals that the given numbers have at most
+
 # measure -> (event type, column)
 SOURCES = {
     "aqi": ("view", "value"),
@@ -48,7 +50,7 @@ def readings(spark, sf_dir) -> DataFrame:
 
 
 def daily(spark, sf_dir) -> DataFrame:
-    return plans.daily_frame(readings(spark, sf_dir))
+    return plans.daily_frame(readings(spark, sf_dir), digits=DIGITS)
 
 
 def daily_m(spark, sf_dir) -> DataFrame:

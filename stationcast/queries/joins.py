@@ -27,7 +27,7 @@ def _hour_sql(cols: list[str], name: str) -> str:
 def hourly(df, cols):
     """Mean per station and hour of the readings that have any of the measures."""
     present = df.where(F.coalesce(*[F.col(c) for c in cols]).isNotNull())
-    return resample_hourly(present, KEY, "time", cols)
+    return resample_hourly(present, KEY, "time", cols, digits=src.DIGITS)
 
 
 HOURLY = f"{src.READINGS}, {_hour_sql(AIR, 'air')}, {_hour_sql(WEATHER, 'weather')}"
@@ -193,4 +193,4 @@ def distinct_dates(spark, sf_dir):
 )
 def daily_from_orders(spark, sf_dir):
     orders = src.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", KEY)
-    return resample_daily(orders, KEY, "o_orderdate", ["o_totalprice"])
+    return resample_daily(orders, KEY, "o_orderdate", ["o_totalprice"], digits=src.DIGITS)

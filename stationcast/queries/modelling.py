@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..models import linear, training, trees, tuning
 from ..models.calibration import isotonic_calibrate
 from ..models.frame import training_frame
-from ..operators.small import checked_small
 from ..plans.features import add_features
 from ..schemas import FAMILIES, KEY, TARGETS, TIME
 from ..session import stored, work_path
@@ -48,7 +47,7 @@ def linear_select(spark, sf_dir):
 
 def _fit_and_score(spark, sf_dir, families, **kw):
     models, df, _ = training.train_families(series_features(spark, sf_dir), HOLDOUT, families, **kw)
-    scores = checked_small(training.holdout_metrics(training.score_holdout(models, df), families))
+    scores = stored(training.holdout_metrics(training.score_holdout(models, df), families), "metrics")
     df.unpersist()
     return scores
 
@@ -102,7 +101,7 @@ def model_roundtrip(spark, sf_dir):
     same = before.join(after, [KEY, TIME, "horizon"]).groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("before") - F.col("p_linear"))).alias("max_difference")
     )
-    same = checked_small(same)
+    same = stored(same, "differences")
     df.unpersist()
     return same
 
@@ -135,9 +134,7 @@ def tree_importance(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     df, names = frame(spark, sf_dir)
     model = trees.fit_rows(trees.forest(names, TARGETS[0], trees=TREES), train_rows(df), TARGETS[0])
-    out = checked_small(
-        trees.permutation_importance(model, df.where(F.col("split") == "test"), names, TARGETS[0])
-    )
+    out = stored(trees.permutation_importance(model, df.where(F.col("split") == "test"), names, TARGETS[0]), "importance")
     df.unpersist()
     return out
 

@@ -59,7 +59,7 @@ def csv_to_parquet(spark, sf_dir):
     + ", ".join(f"{src.mean3(c)} AS {c}" for c in AIR) + " FROM readings GROUP BY 1, 2",
 )
 def json_arrays_to_rows(spark, sf_dir):
-    hourly = resample_hourly(src.readings(spark, sf_dir), KEY, "time", AIR).withColumn("day", F.to_date("hour"))
+    hourly = resample_hourly(src.readings(spark, sf_dir), KEY, "time", AIR, digits=src.DIGITS).withColumn("day", F.to_date("hour"))
     path = work_path(spark, "payloads")
     payloads.build_payloads(hourly, [KEY, "day"], "hour", AIR_PAYLOAD).write.parquet(path)
     rows, _ = payloads.parse_payloads(files.read_parquet(spark, path), [KEY], "payload", AIR_PAYLOAD)

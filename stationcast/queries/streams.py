@@ -40,7 +40,8 @@ def stream_daily(spark, sf_dir):
     path = work_path(spark, "stream-daily")
     run(
         deliveries(spark, sf_dir), f"{path}/landing",
-        lambda s: ingest.daily_updates(s, KEY, "time", AVERAGED, SUMMED, LATE), f"{path}/checkpoint",
+        lambda s: ingest.daily_updates(s, KEY, "time", AVERAGED, SUMMED, LATE, digits=src.DIGITS, unique=[KEY, "event_id"]),
+        f"{path}/checkpoint",
         lambda b, i: ingest.append_changes(b, i, f"{path}/daily"),
     )
     return ingest.current(spark, f"{path}/daily", [KEY, "day"])
@@ -54,7 +55,7 @@ def stream_dedup(spark, sf_dir):
         [df, df], f"{path}/landing", lambda s: ingest.deduplicate(s, [KEY, "event_id"], "time", LATE),
         f"{path}/checkpoint", lambda b, i: ingest.append_changes(b, i, f"{path}/clean"), mode="append",
     )
-    return spark.read.parquet(f"{path}/clean").drop("batch_id", "time")
+    return spark.read.parquet(f"{path}/clean").drop(*ingest.VERSION, "time")
 
 
 @query(
@@ -65,13 +66,15 @@ def stream_dedup(spark, sf_dir):
 )
 def stream_upsert(spark, sf_dir):
     path = work_path(spark, "stream-upsert")
-    df = src.readings(spark, sf_dir).select(KEY, "time", "aqi")
+    df = src.readings(spark, sf_dir).select(KEY, "time", "event_id", "aqi").withColumn("delivery", F.lit(1))
     again = df.where(F.col("time") >= F.lit(CUT).cast("timestamp_ntz")).withColumn("aqi", F.col("aqi") + 1.0)
-    run(
-        [df, again], f"{path}/landing", lambda s: s, f"{path}/checkpoint",
-        ingest.replace_days(f"{path}/daily", KEY, "time", ["aqi"], []),
-    )
-    return ingest.current(spark, f"{path}/daily", [KEY, "day"])
+    again = again.withColumn("delivery", F.lit(2))
+    # the second delivery comes in two parts
+    even = F.col("event_id") % 2 == 0
+    parts = [df, again.where(even), again.where(~even)]
+    sink = ingest.delivery_sink(f"{path}/daily", KEY, "time", ["aqi"], [], "delivery", digits=src.DIGITS)
+    run(parts, f"{path}/landing", lambda s: s, f"{path}/checkpoint", sink)
+    return ingest.newest_deliveries(spark, f"{path}/daily", KEY, ["aqi"], [], "delivery", digits=src.DIGITS)
 
 
 STREAM_FEATURES = (
@@ -85,7 +88,7 @@ STREAM_FEATURES = (
 
 def feature_log(spark, sf_dir, path):
     def stream(s):
-        return ingest.daily_updates(s, KEY, "time", ["aqi"], [], LATE)
+        return ingest.daily_updates(s, KEY, "time", ["aqi"], [], LATE, digits=src.DIGITS)
 
     sink = sf.feature_sink(f"{path}/daily", f"{path}/features", KEY, "day", "aqi")
     run(deliveries(spark, sf_dir), f"{path}/landing", stream, f"{path}/checkpoint", sink)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,13 +35,15 @@ def build_session(app: str = "stationcast", master: str | None = None, **conf: s
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a session in a single local process, such as a test, gets a folder of its own without
+    the setting; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="stationcast-")
         spark.sparkContext.setCheckpointDir(root)
@@ -51,7 +52,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder; nothing is created or overwritten."""
-    return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -64,8 +64,14 @@ def load_predictions(spark: SparkSession, path: str, keys: dict[str, str]) -> Da
 
 
 def artifact_matrix(registry: DataFrame, families: list[str], horizons: list[str]) -> DataFrame:
-    """Whether an artifact exists, per family (row) and horizon (column)."""
+    """Whether an artifact exists, per family (row) and horizon (column).
+
+    Every named family has a row, also without any artifact, and so has every other family of
+    the registry.
+    """
     flags = [
         F.coalesce(F.bool_or(F.col("horizon") == h), F.lit(False)).alias(h) for h in horizons
     ]
-    return registry.where(F.col("family").isin(families)).groupBy("family").agg(*flags)
+    named = registry.sparkSession.createDataFrame([(f,) for f in families], "family string")
+    listed = named.withColumn("horizon", F.lit(None).cast("string")).union(registry.select("family", "horizon"))
+    return listed.groupBy("family").agg(*flags)

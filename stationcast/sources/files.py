@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.calendar import utc_time
+
 
 # csv keeps microseconds; the default format would cut them to milliseconds
 CSV = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
@@ -54,7 +56,7 @@ def write_partitioned(df: DataFrame, path: str, partition: str, order: list[str]
 def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str, schema: T.StructType, times: list[str]) -> None:
     """Convert once: text times become timestamps; an existing target is left as it is."""
     df = read_csv(spark, csv_path, schema)
-    typed = df.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in times})
+    typed = df.withColumns({c: utc_time(F.col(c)) for c in times})
     typed.write.mode("ignore").parquet(parquet_path)
 
 

@@ -16,18 +16,20 @@ def payload_schema(fields: list[str]) -> str:
 def parse_payloads(df: DataFrame, keep: list[str], text: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected payloads).
 
-    A payload is rejected when it is empty, no JSON, or its arrays differ in length.
+    A payload is rejected when it is empty, no JSON, its arrays differ in length, or one of its
+    times does not parse.
     """
+    parse = lambda t: F.try_to_timestamp(t, F.lit(TIME_FORMAT)).cast("timestamp_ntz")
     parsed = df.withColumn("_p", F.from_json(text, payload_schema(list(fields))).getField("hourly"))
     n = F.size("_p.time")
     ok = F.col("_p").isNotNull() & (n > 0)
     for f in fields:
         ok = ok & (F.size(f"_p.{f}") == n)
-    ok = F.coalesce(ok, F.lit(False))
+    ok = F.coalesce(ok & F.forall("_p.time", lambda t: parse(t).isNotNull()), F.lit(False))
     arrays = F.arrays_zip(F.col("_p.time").alias("time"), *[F.col(f"_p.{f}").alias(f) for f in fields])
     rows = parsed.where(ok).select(*keep, F.inline(arrays)).select(
         *keep,
-        F.to_timestamp_ntz("time", F.lit(TIME_FORMAT)).alias("time"),
+        parse(F.col("time")).alias("time"),
         *[F.col(f).alias(name) for f, name in fields.items()],
     )
     return rows, parsed.where(~ok).select(*keep, text)

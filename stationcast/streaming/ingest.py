@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.resample import fixed_point_sums, from_sums, resample_daily
+from ..operators.resample import from_sums, measure_sums
 
 
 def read_landing(spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int | None = None) -> DataFrame:
@@ -31,29 +31,39 @@ def deduplicate(readings: DataFrame, keys: list[str], time: str, late: str) -> D
 
 
 def daily_updates(
-    readings: DataFrame, key: str, time: str, means: list[str], sums: list[str], late: str, *, day: str = "day"
+    readings: DataFrame, key: str, time: str, means: list[str], sums: list[str], late: str, *, day: str = "day",
+    digits: int | None = None, unique: list[str] | None = None,
 ) -> DataFrame:
     """Running daily aggregate per station, to be written in update mode.
 
-    State is one row of integer sums per station and open day; a day closes when the
-    watermark passes it.
+    State is one row of sums per station and open day; a day closes when the watermark passes
+    it. ``unique`` names the columns that identify a reading: each then counts once, however
+    often it is delivered within ``late``.
     """
-    windowed = event_time(readings, time).withWatermark(time, late).groupBy(key, F.window(time, "1 day").alias("_w"))
-    daily = windowed.agg(*fixed_point_sums(means, sums))
-    return daily.select(key, F.to_date("_w.start").alias(day), *from_sums(means, sums))
+    if unique:
+        readings = deduplicate(readings, unique, time, late)
+    if not unique:
+        readings = event_time(readings, time).withWatermark(time, late)
+    daily = readings.groupBy(key, F.window(time, "1 day").alias("_w")).agg(*measure_sums(means, sums, digits))
+    return daily.select(key, F.to_date("_w.start").alias(day), *from_sums(means, sums, digits))
 
 
-def append_changes(batch: DataFrame, batch_id: int, path: str) -> None:
+VERSION = ["run", "batch_id"]
+COMPACTED = -1  # version below those of all batches
+
+
+def append_changes(batch: DataFrame, batch_id: int, path: str, run: int = 0) -> None:
     """Write a micro-batch as its own partition of a change log.
 
     A replayed batch replaces its own partition and nothing else, so a lost driver or
-    executor can neither lose nor double rows.
+    executor can neither lose nor double rows. Batch ids start again at 0 with a new
+    checkpoint: such a stream writes with a higher ``run``.
     """
     (
-        batch.withColumn("batch_id", F.lit(batch_id))
+        batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(*VERSION)
         .parquet(path)
     )
 
@@ -61,15 +71,18 @@ def append_changes(batch: DataFrame, batch_id: int, path: str) -> None:
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest version of each key in a change log."""
     log = spark.read.parquet(path)
-    rest = [c for c in log.columns if c not in keys and c != "batch_id"]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_r"))
+    rest = [c for c in log.columns if c not in keys and c not in VERSION]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*VERSION)).alias("_r"))
     return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
-    """Write the newest versions as the first partition of a new change log."""
-    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    append_changes(current(spark, path, keys), last, target)
+    """Write the newest versions as the first partition of a new change log.
+
+    Its version lies below those of all batches, so a batch that is replayed after it, the
+    last one too, adds its partition and replaces nothing.
+    """
+    append_changes(current(spark, path, keys), COMPACTED, target, run=COMPACTED)
 
 
 def run_available(
@@ -106,10 +119,29 @@ def start(
         conf.set("spark.sql.shuffle.partitions", usual)
 
 
-def replace_days(path: str, key: str, time: str, means: list[str], sums: list[str], *, day: str = "day"):
-    """Sink for complete days: the days of a delivery replace the stored ones."""
+def delivery_sink(
+    path: str, key: str, time: str, means: list[str], sums: list[str], delivery: str, *, day: str = "day",
+    digits: int | None = None, run: int = 0,
+):
+    """Sink for deliveries of complete days: stores the sums of each day and delivery in a batch.
+
+    A delivery may come in several batches; ``newest_deliveries`` adds its parts up.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        append_changes(resample_daily(batch, key, time, means, sums, day=day), batch_id, path)
+        parts = batch.groupBy(key, F.to_date(time).alias(day), delivery).agg(*measure_sums(means, sums, digits))
+        append_changes(parts, batch_id, path, run)
 
     return sink
+
+
+def newest_deliveries(
+    spark: SparkSession, path: str, key: str, means: list[str], sums: list[str], delivery: str, *, day: str = "day",
+    digits: int | None = None,
+) -> DataFrame:
+    """Daily rows of the newest delivery of each day; it replaces older ones as a whole."""
+    log = spark.read.parquet(path)
+    parts = [c for c in log.columns if c.startswith(("_s_", "_n_"))]
+    whole = log.groupBy(key, day, delivery).agg(*[F.sum(c).alias(c) for c in parts])
+    newest = whole.groupBy(key, day).agg(F.max_by(F.struct(*parts), F.col(delivery)).alias("_r"))
+    return newest.select(key, day, "_r.*").select(key, day, *from_sums(means, sums, digits))

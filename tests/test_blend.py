@@ -89,6 +89,15 @@ def test_predictions_are_not_shuffled_by_the_blend(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_weighted_family_without_predictions_lowers_the_coverage(spark):
+    w = spark.createDataFrame([("hd1", "linear", 0.4), ("hd1", "prophet", 0.6)], "horizon string, model string, weight double")
+    df = spark.createDataFrame([("a", "hd1", 100.0)], "station_id string, horizon string, p_linear double")
+    r = blend.blend_apply(df, w, ["station_id"]).first()
+    assert np.isclose(r["coverage"], 0.4) and r["low_coverage"] and r["blend"] == 100.0
+    more = df.withColumn("p_prophet", F.lit(200.0))
+    assert np.isclose(blend.blend_apply(more, w, ["station_id"]).first()["blend"], 160.0)
+
+
 def test_stack_fits_before_the_holdout(spark):
     rng = np.random.default_rng(2)
     rows = []

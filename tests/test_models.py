@@ -186,3 +186,17 @@ def test_calibration_matches_brute_force(spark):
     k = len(points)
     want = [max(min(mean(i, j) for j in range(m, k)) for i in range(m + 1)) for m in range(k)]
     assert np.allclose([got[v] for v in points], want)
+
+
+def test_calibration_keeps_every_row_and_the_range(spark):
+    fit = spark.createDataFrame([("hd9", float(p), float(p) * 12) for p in range(10, 60)], "horizon string, p double, y double")
+    ask = spark.createDataFrame([("hd9", 59.0), ("hd9", None), ("other", 20.0), (None, 20.0), ("hd9", float("nan"))], "horizon string, p double")
+    got = calibration.isotonic_calibrate(fit, ask, "horizon", "y", "p", "c").collect()
+    assert len(got) == 5 and [r["c"] for r in got if r["c"] is not None] == [500.0]
+
+
+def test_permutation_is_one_of_all_rows(spark):
+    df = spark.range(5000).select((F.col("id") % 7).cast("string").alias("station_id"), F.col("id").alias("event_timestamp"), F.col("id").cast("double").alias("x"))
+    out = trees.shuffled(df, ["x"], ["station_id", "event_timestamp"]).toPandas()
+    assert len(out) == 5000 and sorted(out["s_x"]) == sorted(out["x"]) and (out["s_x"] != out["x"]).mean() > 0.99
+    assert abs(np.corrcoef(out["x"], out["s_x"])[0, 1]) < 0.1

@@ -4,20 +4,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationcast.operators import metrics, profile, small
+from stationcast.operators import metrics, profile
 from stationcast.operators.quantiles import exact_quantiles
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 997])
-@pytest.mark.parametrize("bucket, limit", [(4096, 20000), (8, 20000), (64, 1)])
-def test_quantiles_match_numpy(spark, n, bucket, limit, monkeypatch):
-    monkeypatch.setattr(small.checked_small, "__defaults__", (limit,))
+@pytest.mark.parametrize("buckets, digits", [(65536, None), (8, None), (64, 2)])
+def test_quantiles_match_numpy(spark, n, buckets, digits):
     rng = random.Random(n)
     data = [(g, round(rng.choice([rng.uniform(-50, 50), 7.25]), 2)) for g in "ab" for _ in range(n)] + [("a", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = exact_quantiles(df, ["g"], "v", probs, names, digits=2, bucket=bucket).collect()
+    got = exact_quantiles(df, ["g"], "v", probs, names, digits=digits, buckets=buckets).collect()
     assert len(got) == 2
     for r in got:
         want = np.quantile([v for g, v in data if g == r["g"] and v is not None], probs)
@@ -48,7 +47,30 @@ def test_correlation_uses_complete_pairs(spark):
         for j, q in enumerate("abc"):
             ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
             assert np.isclose(got[p, q], np.corrcoef(x[ok, i], x[ok, j])[0, 1])
-    assert {r["a"] for r in profile.correlation_matrix(df, df.columns, max_cols=2).collect()} == {"a", "b"}
+
+
+def test_correlation_of_wide_tables(spark):
+    df = spark.range(50).select(*[((F.col("id") * (i + 3) * 7919) % (11 + i)).cast("double").alias(f"c{i}") for i in range(60)])
+    got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, df.columns).collect()}
+    want = np.corrcoef(np.array(df.collect()).T)
+    assert len(got) == 3600 and all(np.isclose(got[f"c{i}", f"c{j}"], want[i, j]) for i in range(60) for j in range(60))
+
+
+def test_profiles_round_nothing_and_skip_nan(spark):
+    df = spark.createDataFrame([(0.001,), (0.002,), (0.004,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    r = profile.describe(df, ["v"]).first()
+    assert np.isclose(r["mean"], 0.007 / 3) and r["p50"] == 0.002 and r["count"] == 3 and r["max"] == 0.004
+    wide = spark.createDataFrame([(1e16,), (1e-9,), (2e-9,)], "v double")
+    q = exact_quantiles(wide, [], "v", [0.0, 0.5, 1.0], ["a", "b", "c"]).first()
+    assert (q["a"], q["b"], q["c"]) == (1e-9, 2e-9, 1e16)
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        profile.describe(df, ["v"], digits=2).collect()
+
+
+def test_quantiles_of_a_group_without_name(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", [0.5], ["m"]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
 
 
 def test_kde_integrates_to_one(spark):
@@ -79,10 +101,3 @@ def test_missing_counts(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "a int, `b.c` double")
     got = {r["column"]: (r["type"], r["rows"], r["missing"]) for r in profile.missing_per_column(df).collect()}
     assert got == {"a": ("int", 2, 0), "b.c": ("double", 2, 1)}
-
-
-def test_checked_small_falls_back(spark):
-    df = spark.range(50)
-    assert small.checked_small(df, 49) is df
-    assert small.checked_small(df, 50).count() == 50
-    assert small.checked_small(df.where(F.col("id") < 0), 5).count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationcast.operators import folds, sampling, upsert, windows
+from stationcast.operators.cleaning import iqr_cap
 from stationcast.operators.joins import missing_dates, truth_mismatch
 from stationcast.operators.resample import daily_max_of_moving_mean, resample_daily
 from stationcast.plans.features import add_features, daily_features
@@ -94,8 +95,8 @@ def test_holdout_split(spark, rows):
     assert got == ["train"] * 3 + ["test"] * 2
     with pytest.raises(ValueError):
         folds.holdout_split(df, KEY, TIME, 0)
-    with pytest.raises(Exception, match="leaves no training rows"):
-        folds.holdout_split(df, KEY, TIME, 5).collect()
+    # a new station does not fail the others
+    assert {r["split"] for r in folds.holdout_split(df, KEY, TIME, 5).collect()} == {"short"}
 
 
 def spans(df):
@@ -183,3 +184,28 @@ def test_last_n_is_limited_before_the_shuffle(spark):
     plan = windows.last_n(df, "k", ["t"], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Exchange")[1]
     assert np.sort([r["t"] for r in windows.last_n(df, "k", ["t"], 2).collect()]).tolist() == [94, 95, 96, 97, 98, 99]
+
+
+def test_readings_are_not_rounded(spark):
+    data = [("a", dt.datetime(2024, 1, 1, 0, i % 60), 0.00004) for i in range(4800)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, v double")
+    r = resample_daily(df, "k", "t", ["v"], places=None).first()
+    assert abs(r["v"] - 0.00004) < 1e-12
+    assert abs(resample_daily(df, "k", "t", [], ["v"]).first()["v"] - 0.192) < 1e-9
+    huge = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), 1e16)], "k string, t timestamp_ntz, v double")
+    assert resample_daily(huge, "k", "t", ["v"]).first()["v"] == 1e16
+
+
+def test_days_of_a_time_zone(spark):
+    data = [("a", dt.datetime(2024, 1, 1, 20), 1.0), ("a", dt.datetime(2024, 1, 1, 18), 3.0)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, v double")
+    got = {str(r["day"]): r["v"] for r in resample_daily(df, "k", "t", ["v"], zone="Asia/Karachi").collect()}
+    assert got == {"2024-01-02": 1.0, "2024-01-01": 3.0}
+
+
+def test_caps_fitted_on_training_rows_ignore_later_days(spark):
+    rows = [("a", i, float(v), i < 8) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 30, 500, 600, 700, 800])]
+    df = spark.createDataFrame(rows, "k string, t int, v double, early boolean")
+    full = {r["t"]: r["v"] for r in iqr_cap(df, "k", ["v"], is_train="early").collect()}
+    early = {r["t"]: r["v"] for r in iqr_cap(df.where("early"), "k", ["v"], is_train="early").collect()}
+    assert all(full[t] == v for t, v in early.items()) and full[11] < 20

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stationcast.operators import cleaning
 from stationcast.schemas import KEY, TIME
 from stationcast.session import shared_root, work_path
 from stationcast.sources import artifacts, files, payloads
@@ -70,6 +71,20 @@ def test_artifact_matrix(spark):
     df = spark.createDataFrame([("linear", "hd1"), ("hgbr", "hd3"), ("linear", "hd1")], "family string, horizon string")
     got = {r["family"]: (r["hd1"], r["hd3"]) for r in artifacts.artifact_matrix(df, ["linear", "hgbr"], ["hd1", "hd3"]).collect()}
     assert got == {"linear": (True, False), "hgbr": (False, True)}
+    none = artifacts.artifact_matrix(df, ["linear", "lightgbm"], ["hd1"]).collect()
+    assert {r["family"]: r["hd1"] for r in none} == {"linear": True, "lightgbm": False, "hgbr": False}
+
+
+def test_times_with_offsets_and_bad_times(spark):
+    texts = ["2024-01-01T00:00:00+05:00", "2024-01-01 00:00:00Z", "2024-01-01T00:00:00", "2024-01-01", "2024-01-01T10:00:00.5-0330", "no", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [str(r["t"]) for r in cleaning.normalize_time(df, "t").collect()]
+    assert got == ["2023-12-31 19:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00",
+                   "2024-01-01 13:30:00.500000", "None", "None"]
+    bad = '{"hourly": {"time": ["2024-01-01T00:00", "soon"], "x": [1.0, 2.0]}}'
+    good = '{"hourly": {"time": ["2024-01-01T00:00"], "x": [1.0]}}'
+    rows, rejected = payloads.parse_payloads(spark.createDataFrame([(1, bad), (2, good)], "id int, p string"), ["id"], "p", {"x": "x"})
+    assert [r["id"] for r in rows.collect()] == [2] and [r["id"] for r in rejected.collect()] == [1]
 
 
 def test_latest_artifact(spark):

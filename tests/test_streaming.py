@@ -51,11 +51,15 @@ def test_duplicates_are_dropped_across_batches(spark, tmp_path):
 
 def test_redelivered_day_replaces_the_stored_one(spark, tmp_path):
     landing, log = str(tmp_path / "in"), str(tmp_path / "log")
-    sink = ingest.replace_days(log, "k", "t", ["v"], [])
-    for data in ([("a", at(1), 1, 1.0), ("a", at(2), 2, 2.0)], [("a", at(1), 3, 50.0)]):
+    sink = ingest.delivery_sink(log, "k", "t", ["v"], [], "delivery")
+    # the second delivery of day 1 comes in three batches
+    parts = [[("a", at(1), 1, 1.0), ("a", at(2), 2, 2.0)], [("a", at(1), 3, 10.0)], [("a", at(1, 1), 4, 20.0)], [("a", at(1, 2), 5, 90.0)]]
+    for i, data in enumerate(parts):
         schema = land(spark, landing, data)
-        ingest.run_available(ingest.read_landing(spark, landing, schema), str(tmp_path / "cp"), sink)
-    assert days(spark, log) == {("a", 1): 50.0, ("a", 2): 2.0}
+        stream = ingest.read_landing(spark, landing, schema).withColumn("delivery", F.when(F.col("id") < 3, 1).otherwise(2))
+        ingest.run_available(stream, str(tmp_path / "cp"), sink)
+    got = ingest.newest_deliveries(spark, log, "k", ["v"], [], "delivery").collect()
+    assert {(r["day"] - D0.date()).days: r["v"] for r in got} == {1: 40.0, 2: 2.0}
 
 
 def test_replayed_batch_changes_nothing_and_logs_compact(spark, tmp_path):
@@ -68,6 +72,11 @@ def test_replayed_batch_changes_nothing_and_logs_compact(spark, tmp_path):
     ingest.compact(spark, log, str(tmp_path / "log2"), ["k", "day"])
     assert days(spark, str(tmp_path / "log2")) == days(spark, log)
     assert spark.read.parquet(str(tmp_path / "log2")).count() == 2
+    # the last batch is replayed after the compaction, and a new checkpoint starts again at 0
+    ingest.append_changes(second, 1, str(tmp_path / "log2"))
+    assert days(spark, str(tmp_path / "log2")) == {("a", 0): 9.0, ("b", 0): 2.0}
+    ingest.append_changes(first, 0, str(tmp_path / "log2"), run=1)
+    assert days(spark, str(tmp_path / "log2")) == {("a", 0): 1.0, ("b", 0): 2.0}
 
 
 @pytest.mark.parametrize("gap", [1, 45])
