@@ -45,6 +45,8 @@ DROPPED_NAMES = {
     "respond", "reply", "replies", "disqus", "discussion", "widget", "widgets", "pagination", "pager", "toolbar", "skip", "hidden",
     "copyright", "legal", "disclaimer", "contentinfo", "complementary", "form", "tags", "byline",
 }
+# names that a layout may bear for one of its parts, as in "with-sidebar"
+LAYOUT_NAMES = {"sidebar", "side", "rail", "aside", "menu", "nav", "navbar", "footer", "foot", "widget", "widgets", "banner", "search"}
 HEADER_NAMES = {"header", "head", "banner"}
 NAME = re.compile(r"[a-z]+")
 LINKS, LINK_SHARE = 3, 0.6
@@ -70,7 +72,7 @@ def _size(node: Node) -> int:
     return len(inner_text(node))
 
 
-def boilerplate(node: Node, in_article: bool, page_size: int) -> bool:
+def boilerplate(node: Node, in_article: bool) -> bool:
     """Whether tag, names or links show that the node is no main text."""
     if node.tag in DROPPED_TAGS:
         return True
@@ -82,9 +84,7 @@ def boilerplate(node: Node, in_article: bool, page_size: int) -> bool:
         if not in_article and not any(_landmark(x) for x in _walk(node)):
             return True
     elif names & DROPPED_NAMES:
-        # names of a layout ("with sidebar") may stand on what holds the article
-        inside = max((_size(x) for x in _walk(node) if x is not node and _landmark(x)), default=0)
-        return 2 * inside < page_size
+        return bool(names & DROPPED_NAMES - LAYOUT_NAMES) or not any(x is not node and _landmark(x) for x in _walk(node))
     if node.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "span") and not any(_landmark(x) for x in _walk(node)):
         links = [x for x in _walk(node) if x.tag == "a"]
         if len(links) >= LINKS:
@@ -104,14 +104,13 @@ def _kept_size(node: Node, dropped: set[int]) -> int:
 
 
 def _find_dropped(root: Node, constant: set[int]) -> set[int]:
-    page_size = max((_size(x) for x in root.nodes()), default=0)
     dropped = set(constant)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         if id(node) in dropped:
             continue
-        if boilerplate(node, inside, page_size):
+        if boilerplate(node, inside):
             dropped.add(id(node))
         else:
             inside = inside or _landmark(node)
