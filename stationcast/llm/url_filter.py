@@ -9,8 +9,9 @@ with the rule's; the longest fitting rule decides. For the rest:
   is looked up by a join with the counts, a known word scores the logarithm of its share, an unknown
   one of n characters log(10 / (total * 10^n)); ties go to the longer last word.
 * Multinomial naive Bayes learns from all distinct urls with a host. A url counts as blocked if a word
-  of its host is one of ``SEEDS``; the score of a url sums the log odds of its host and path words,
-  smoothed by 1, and the prior log odds. A positive score blocks.
+  of its host is one of ``SEEDS``; the score of a url sums the log odds of its host and path words and
+  the prior log odds. Shares of words are smoothed by ``PRIOR`` words dealt as in all urls, so a word
+  that was rarely seen says little. A positive score blocks.
 
 A null url or one without ``://`` has empty host and path, fits no rule and is allowed. Repeated urls
 are judged alike, page_id may be null or repeat. Without any blocked url everything is allowed.
@@ -36,6 +37,7 @@ SEEDS = [
 ]
 # host names of the web that titles do not hold, counted beside the corpus
 COMMON = ["www", "blog", "com", "net", "org", "cheap", "farm", "free", "shop", "news", "online", "mail"]
+PRIOR = 50
 EXTRA_COUNT = 50  # occurrences that seeds and common names get besides those of the corpus
 LONGEST = 24
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -137,12 +139,13 @@ def bayes_scores(tokens: DataFrame) -> DataFrame:
     counted = tokens.join(blocked, key).groupBy("token").agg(
         F.sum(F.col("blocked").cast("int")).alias("bad"), F.sum((~F.col("blocked")).cast("int")).alias("good"))
     counted = stored(counted, "tokens")
-    sums = counted.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count("*").alias("kinds"))
-    bad, good, kinds = (x or 0 for x in sums.first())
+    bad, good = (x or 0 for x in counted.agg(F.sum("bad"), F.sum("good")).first())
     n_bad, n = (x or 0 for x in blocked.agg(F.sum(F.col("blocked").cast("int")), F.count("*")).first())
     if not n_bad or n_bad == n:
         return blocked.select(*key, F.when(F.col("blocked"), 1.0).otherwise(-1.0).alias("score"))
-    odds = counted.select("token", (F.log((F.col("bad") + 1) / F.lit(bad + kinds)) - F.log((F.col("good") + 1) / F.lit(good + kinds))).alias("odds"))
+    usual = F.lit(PRIOR / (bad + good)) * (F.col("bad") + F.col("good"))
+    share_bad, share_good = (F.col("bad") + usual) / F.lit(bad + PRIOR), (F.col("good") + usual) / F.lit(good + PRIOR)
+    odds = counted.select("token", (F.log(share_bad) - F.log(share_good)).alias("odds"))
     scored = tokens.join(odds, "token").groupBy(*key).agg(F.sum("odds").alias("odds"))
     return scored.select(*key, (F.col("odds") + F.lit(math.log(n_bad / (n - n_bad)))).alias("score"))
 
