@@ -53,6 +53,8 @@ def spans(block: Block, window: int) -> tuple[np.ndarray, ...]:
     """Symbol with its context, words' hash, document, first window and number of windows of each span."""
     hashes = block.hashes()
     starts, _ = block.windows(hashes, window)
+    if not len(starts):
+        return tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     found = levels(hashes, block.bounds)
     level, index = anchors(found, starts, window, len(hashes))
     new = np.ones(len(starts), bool)
