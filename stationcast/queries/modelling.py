@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from ..models import linear, training, trees, tuning
 from ..models.calibration import isotonic_calibrate
 from ..models.frame import training_frame
+from ..functions.airquality import alert_level
+from ..functions.numeric import clamp
+from ..operators.blend import weights_by_horizon
+from ..plans.evaluation import stack
 from ..plans.features import add_features
-from ..schemas import FAMILIES, KEY, TARGETS, TIME
+from ..plans.scoring import forecast_records
+from ..schemas import AQI_MAX, AQI_MIN, FAMILIES, HORIZONS, KEY, TARGETS, TIME
 from ..session import stored, work_path
 from ..sources.artifacts import latest_artifacts
 from . import inputs as src
@@ -144,3 +149,46 @@ def isotonic(spark, sf_dir):
     preds = src.preds(spark, sf_dir).dropna(subset=["y_true"])
     out = isotonic_calibrate(preds, preds, "horizon", "y_true", "p_linear", "calibrated_p")
     return out.select(KEY, "day", "horizon", "y_true", "p_linear", "calibrated_p")
+
+
+@query(
+    "train_stack_forecast",
+    f"WITH {src.SERIES} SELECT station_id, 3 AS n_horizons, CAST({3 * (HOLDOUT // 2)} AS BIGINT) AS n_calibrated, "
+    "CAST(max(day) + 1 AS DATE) AS first_day, true AS in_range, true AS blend_matches, true AS alert_matches, "
+    "true AS weights_sum_to_one FROM series GROUP BY 1",
+)
+def train_stack_forecast(spark, sf_dir):
+    """From features to forecast records, with all families: the exact properties of the result.
+
+    The older half of the holdout's predictions gives weights and calibration, which are applied
+    to the newer half; the weights then blend the forecasts of the newest rows.
+    """
+    models, df, _ = training.train_families(
+        series_features(spark, sf_dir), HOLDOUT, FAMILIES, rounds=ROUNDS, n_trees=TREES, huber=False
+    )
+    preds = stored(training.score_holdout(models, df), "holdout")
+    latest = stored(training.score_latest(models, df), "latest")
+    df.unpersist()
+    blended, weights = stack(preds, KEY, TIME, holdout=HOLDOUT // 2, nonneg=True, sum_to_one=True, calibrate=True)
+    weights = stored(weights, "weights")
+    calibrated = blended.where(F.col("blend").between(AQI_MIN, AQI_MAX)).groupBy(KEY).agg(F.count(F.lit(1)).alias("n_calibrated"))
+    records = forecast_records(latest, weights, F.to_date("latest_feature_timestamp"))
+    maps = weights_by_horizon(weights).select("horizon", "_w")
+    rows = records.select(
+        KEY, "forecast_dates", "alert", F.explode("blend").alias("horizon", "blend"), *FAMILIES
+    ).join(maps, "horizon")
+    w = [F.col("_w")[f] for f in FAMILIES]
+    total = sum(w[1:], w[0])
+    value = sum((F.col(f)[F.col("horizon")] * x for f, x in zip(FAMILIES, w)), F.lit(0.0)) / total
+    close = lambda a, b: F.abs(a - b) < 1e-6
+    checked = rows.groupBy(KEY).agg(
+        F.count(F.lit(1)).cast("int").alias("n_horizons"),
+        F.first(F.col("forecast_dates")[0]).alias("first_day"),
+        F.bool_and(F.col("blend").between(AQI_MIN, AQI_MAX)).alias("in_range"),
+        F.bool_and(close(F.col("blend"), clamp(value, AQI_MIN, AQI_MAX))).alias("blend_matches"),
+        F.bool_and((F.col("horizon") != HORIZONS[0]) | F.col("alert").eqNullSafe(alert_level(F.col("blend")))).alias("alert_matches"),
+        F.bool_and(close(total, F.lit(1.0))).alias("weights_sum_to_one"),
+    )
+    return checked.join(calibrated, KEY).select(
+        KEY, "n_horizons", "n_calibrated", "first_day", "in_range", "blend_matches", "alert_matches", "weights_sum_to_one"
+    )
