@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
     pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     last = None
     for _ in range(MAX_ROUNDS):
-        pairs = stored(_small_star(_large_star(pairs).distinct()).distinct(), name)
+        pairs = stored(_small_star(_large_star(pairs)).distinct(), name)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -10,10 +10,12 @@ no candidates, those near to it are done, as what links with them is not far fro
 of the bucket goes on with a head of its own. A bucket that still has members after ``HEADS`` heads takes
 them all as candidates. So a passage that very many texts share does not make them one group.
 
+From the agreement s of heads with their near texts and the chance 1 - (1 - s^k)^trees of meeting at
+length k, the recall is estimated; while it is below the target, the prefixes are shortened, which only
+adds candidates.
+
 The candidates' components are dealt to blocks of bounded size and compared exactly, block against
-block, so a group of any size is neither gathered in a task nor written out as pairs. From the verified
-similarities s and the chance 1 - (1 - s^k)^trees of meeting at length k, the recall is estimated; while
-it is below the target, the prefixes are shortened. Shorter prefixes only add candidates.
+block, so a group of any size is neither gathered in a task nor written out as pairs.
 
 Result, a row per document: ``class_id`` (smallest doc_id with the same words), ``n_links`` (other
 rows linked directly, copies included), ``component_id`` (smallest doc_id reachable by links) and
@@ -38,11 +40,11 @@ from .words import ODD, Block, blocks, mix, powers
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the threshold 0.8 as a fraction, so that comparisons are exact
-TREES, DEPTHS = 32, (8, 6)
+TREES, DEPTHS = 32, (6, 5, 4)
 TARGET_RECALL = 0.9995
 COMPARED = 96  # hashes of a signature that are compared; TREES * max(DEPTHS) make the prefixes
 FAR, NEAR = 0.5, 0.85  # agreement below and above: 0.8 for a link, less 0.2 for a near text's link and 0.1 for chance
-HEADS = 6
+HEADS = 4
 BLOCK = 1024  # texts of one side of a comparison
 
 SECOND = 0x9FB21C651E98DF25
@@ -126,11 +128,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, key binary, n_words bigint, hashes array<int>, {columns}")
 
 
-def candidate_edges(classes: DataFrame, depth: int) -> DataFrame:
-    """(id, head): classes with the heads of their buckets that they may link with or near to."""
+def candidate_edges(classes: DataFrame, depth: int) -> tuple[DataFrame, float]:
+    """(id, head): classes with the heads of their buckets that they may link with or near to; estimated recall."""
     leaves = classes.select("id", F.posexplode(f"p{depth}").alias("tree", "prefix"))
     hashes = classes.select("id", "hashes")
-    bucket, edges = ["tree", "prefix"], None
+    bucket, edges, found, expected = ["tree", "prefix"], None, 0, 0.0
+    meet = 1 - F.pow(1 - F.pow(F.col("same") / COMPARED, F.lit(depth)), F.lit(TREES))
     for turn in range(HEADS):
         heads = leaves.groupBy(*bucket).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
         members = stored(leaves.join(heads, bucket).where("id != head"), "members")
@@ -138,18 +141,18 @@ def candidate_edges(classes: DataFrame, depth: int) -> DataFrame:
         pairs = pairs.join(hashes, "id").join(hashes.toDF("head", "other"), "head")
         same = F.aggregate(F.zip_with("hashes", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
         scored = stored(pairs.select("id", "head", same.alias("same")), "scored")
-        found = scored.where(F.col("same") >= FAR * COMPARED).select("id", "head")
-        edges = edges.union(found) if edges else found
+        linked = F.when(F.col("same") * DEN >= NUM * COMPARED, 1 / meet)
+        counted = scored.agg(F.count(linked), F.sum(linked), F.count(F.when(F.col("same") < NEAR * COMPARED, True))).first()
+        found, expected = found + counted[0], expected + (counted[1] or 0.0)
+        near = scored.where(F.col("same") >= FAR * COMPARED).select("id", "head")
+        edges = edges.union(near) if edges else near
+        if not counted[2]:
+            break
         leaves = members.join(scored, ["id", "head"]).where(F.col("same") < NEAR * COMPARED)
         if turn == HEADS - 1:
-            return edges.union(leaves.select("id", "head")).distinct()
-        leaves = stored(leaves.select("tree", "prefix", "id"), "leaves")
-        if leaves.isEmpty():
-            return edges.distinct()
-
-
-def _meet(depth: int, similarity: np.ndarray) -> np.ndarray:
-    return 1 - (1 - similarity**depth) ** TREES
+            edges = edges.union(leaves.select("id", "head"))
+        leaves = leaves.select("tree", "prefix", "id")
+    return edges, found / expected if expected else 1.0
 
 
 def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -200,11 +203,11 @@ def _roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare(side: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, cross: bool, depth: int):
-    """Root, links, pairs and expected pairs of each set: all with all, or side 0 with side 1."""
+def compare(side: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Root, linked rows and whether there is a link, of each set: all with all, or side 0 with side 1."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    links, chance = np.zeros((n, n), bool), np.zeros((n, n))
+    links = np.zeros((n, n), bool)
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(n), np.arange(n))
     if len(a) and len(b):
         both = common_elements([sets[i] for i in a], [sets[i] for i in b] if cross else None)
@@ -212,18 +215,14 @@ def compare(side: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, cross:
         close = (DEN * both >= NUM * union) & (both > 0)
         if not cross:
             np.fill_diagonal(close, False)
-        expected = np.zeros(close.shape)
-        expected[close] = 1 / _meet(depth, both[close] / union[close])
         links[np.ix_(a, b)] = close
-        chance[np.ix_(a, b)] = expected
         if cross:
             links[np.ix_(b, a)] = close.T
-            chance[np.ix_(b, a)] = expected.T
-    return _roots(links), links @ weight, links.sum(1), chance.sum(1)
+    return _roots(links), links @ weight, links.any(1)
 
 
-def verified(members: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-    """(id, root, links, pairs, expected) of the members of candidate groups that have a link.
+def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, root, links, parts) of the members of candidate groups that have a link.
 
     members: id, key, doc_id, n_rows, component, parts, part. A group goes in ``parts`` blocks; every pair
     of blocks is compared once. Texts are fetched by doc_id and told apart by their key.
@@ -231,37 +230,37 @@ def verified(members: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     texts = members.join(docs.select("doc_id", "text"), "doc_id")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        (F.col("part") > F.col("other")).cast("int").alias("side"), "id", "key", "n_rows", "text")
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "id", "key", "n_rows", "parts", "text")
     group = ["component", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in groupby(_members(batches), key=lambda r: r[0]):
             found = {}
-            for _, side, own, n_rows, keys in rows:
-                found.setdefault(own, (side, n_rows, keys))
+            for _, side, own, n_rows, parts, keys in rows:
+                found.setdefault(own, (side, n_rows, parts, keys))
             names = sorted(found)
             if len(names) < 2:
                 continue
             side = np.array([found[k][0] for k in names])
             weight = np.array([found[k][1] for k in names], np.int64)
-            root, links, pairs, expected = compare(side, [found[k][2] for k in names], weight, i != j, depth)
-            some = np.flatnonzero(pairs)
+            root, links, some = compare(side, [found[k][3] for k in names], weight, i != j)
+            some = np.flatnonzero(some)
             if len(some):
                 yield pa.record_batch({
                     "id": pa.array([names[k] for k in some], pa.int64()),
                     "root": pa.array([names[root[k]] for k in some], pa.int64()),
-                    "links": links[some], "pairs": pairs[some].astype(np.int64), "expected": expected[some],
+                    "links": links[some], "parts": pa.array([found[names[k]][2] for k in some], pa.int32()),
                 })
 
     return (dealt.repartition(*group).sortWithinPartitions(*group)
-            .mapInArrow(run, "id bigint, root bigint, links bigint, pairs bigint, expected double"))
+            .mapInArrow(run, "id bigint, root bigint, links bigint, parts int"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(group, side, id, rows, shingle set) of each row whose text has the key it stands for."""
+    """(group, side, id, rows, parts, shingle set) of each row whose text has the key it stands for."""
     for batch in batches:
         group = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))))
-        side, ids, key, n_rows = (batch.column(c).to_pylist() for c in ("side", "id", "key", "n_rows"))
+        side, ids, key, n_rows, parts = (batch.column(c).to_pylist() for c in ("side", "id", "key", "n_rows", "parts"))
         for start, _, block in blocks(batch, "text"):
             hashes = block.hashes()
             own = word_keys(block, hashes)
@@ -269,18 +268,26 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for k in range(len(own)):
                 r = start + k
                 if own[k].tobytes() == key[r]:
-                    yield group[r], side[r], ids[r], n_rows[r], np.unique(keys[bounds[k]:bounds[k + 1]])
+                    yield group[r], side[r], ids[r], n_rows[r], parts[r], np.unique(keys[bounds[k]:bounds[k + 1]])
 
 
-def candidate_members(classes: DataFrame, depth: int) -> DataFrame:
-    groups = connected_components(candidate_edges(classes, depth), "id", "head", "candidates")
-    groups = stored(groups, "candidates")
+def candidate_members(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    groups = stored(connected_components(edges, "id", "head", "candidates"), "candidates")
     parts = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     return (groups.join(parts, "component").withColumnRenamed("node", "id")
             .join(classes.select("id", "key", "doc_id", "n_rows"), "id")
             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
 
 
+def linked_groups(found: DataFrame) -> DataFrame:
+    """(id, component) from verified links; a group compared as one block has its components already."""
+    whole = found.where("parts = 1").select("id", F.col("root").alias("component"))
+    dealt = found.where("parts > 1")
+    if dealt.isEmpty():
+        return whole
+    return stored(whole.union(connected_components(dealt, "id", "root", "linked")), "linked")
+
+
 def similarity_join(docs: DataFrame) -> DataFrame:
     """Classes, links and components of all documents (needs doc_id and text)."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
@@ -291,13 +298,12 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     classes = linkable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"), *signed)
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     for depth in DEPTHS:
-        found = stored(verified(candidate_members(classes, depth), docs, depth), "verified")
-        pairs, expected = found.agg(F.sum("pairs"), F.sum("expected")).first()
-        if not pairs or pairs >= TARGET_RECALL * expected:
+        edges, recall = candidate_edges(classes, depth)
+        if recall >= TARGET_RECALL:
             break
+    found = stored(verified(candidate_members(classes, edges), docs), "verified")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found, "id", "root", "linked").withColumnRenamed("node", "id")
-    groups = stored(groups, "linked")
+    groups = linked_groups(found)
     ids = groups.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = (classes.select("id", "key", F.col("doc_id").alias("class_id"), "n_rows").join(links, "id", "left")
                 .join(groups.join(ids, "component").select("id", "component_id"), "id", "left"))
@@ -309,6 +315,24 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     return joined.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-@query("op5_ngram_jaccard_join")
+_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS class_id,
+  coalesce(n_links, 0)::BIGINT AS n_links, component_id, doc_id = component_id AS kept
+FROM d JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id
+"""
+
+
+@query("op5_ngram_jaccard_join", _SQL)
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
