@@ -151,7 +151,7 @@ def test_importance_finds_the_signal(spark, frame):
 
 def test_shuffle_is_a_permutation(frame):
     df, names = frame
-    out = trees.shuffled(df, ["noise"], [KEY, TIME], block=100).select("noise", "s_noise").toPandas()
+    out = trees.shuffled(df, ["noise"], [KEY, TIME]).select("noise", "s_noise").toPandas()
     assert np.allclose(np.sort(out["noise"]), np.sort(out["s_noise"]))
     assert (out["noise"] != out["s_noise"]).mean() > 0.95
 
@@ -185,7 +185,7 @@ def test_calibration_matches_brute_force(spark):
     mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
     k = len(points)
     want = [max(min(mean(i, j) for j in range(m, k)) for i in range(m + 1)) for m in range(k)]
-    assert np.allclose([got[v] for v in points], want)
+    assert np.allclose([got[v] for v in points], np.clip(want, 0, 500))
 
 
 def test_calibration_keeps_every_row_and_the_range(spark):
