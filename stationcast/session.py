@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,18 @@ def build_session(app: str = "stationcast", master: str | None = None, **conf: s
     return spark
 
 
+def workers_import_package(spark: SparkSession) -> None:
+    """Lets Python workers on hosts that have this folder import the package.
+
+    Elsewhere it has to be installed or passed with ``--py-files``.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (*known, root) if p)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
