@@ -15,6 +15,7 @@ from stationcast.llm.sentencepiece_codec import encode_documents, public_model
 from stationcast.llm.source_mix import take_mix
 from stationcast.llm.store import stored
 from stationcast.llm.substring_dedup import dedup_substrings
+from stationcast.session import workers_import_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,6 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
