@@ -59,9 +59,12 @@ def _separator_hashes() -> np.ndarray:
 
 
 def _between(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return np.diff(sums[edges])
+    """Flags set between consecutive edges, of which the first is 0 and the last the end."""
+    out = np.zeros(len(edges) - 1, np.int64)
+    full = edges[1:] > edges[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(flags, edges[:-1][full], dtype=np.int64)
+    return out
 
 
 def line_edges(block: Block) -> np.ndarray:
