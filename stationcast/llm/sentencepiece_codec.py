@@ -93,10 +93,11 @@ class ChunkTable:
                 yield np.array(ids, "<u4").tobytes(), self.model.decode(ids)
             return
         cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        lacking = {c for chunks in cut for c in chunks if len(c) <= LONG_CHUNK} - self.ids.keys()
+        short = {c for chunks in cut for c in chunks if len(c) <= LONG_CHUNK}
+        lacking = {c for c in short if c not in self.ids}
         if lacking and self.chars + sum(map(len, lacking)) > TABLE_CHARS:
             self.clear()
-            lacking = {c for chunks in cut for c in chunks if len(c) <= LONG_CHUNK}
+            lacking = short
         if lacking:
             self.add(lacking)
         for text, chunks in zip(texts, cut):
