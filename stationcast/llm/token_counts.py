@@ -34,6 +34,7 @@ UNKNOWN_PENALTY = 10.0
 PLACEHOLDER = -1e8  # scores below are no scores
 TABLE_CHARS = 12_000_000
 LONG_CHUNK = 4096
+WORST = float("-inf")
 
 
 class PieceCounter:
@@ -63,32 +64,35 @@ class PieceCounter:
 
     def viterbi(self, chunk: str) -> int:
         """Number of tokens on the best path through the chunk."""
-        best, count = [0.0], [0]
-        ends = len(chunk)
+        n = len(chunk)
+        best, count = [0.0] + [WORST] * n, [0] * (n + 1)
+        if self.singles.issuperset(chunk):
+            for end, (back, score) in self.trie.iter(chunk):
+                start = end - back
+                path = best[start] + score
+                if path > best[end + 1]:
+                    best[end + 1], count[end + 1] = path, count[start] + 1
+            return count[n]
         matches = self.trie.iter(chunk)
-        end, match = next(matches, (ends, None))
-        for at in range(ends):
-            score, tokens = None, 0
+        end, match = next(matches, (n, None))
+        for at in range(n):
             while end == at:
                 start = at - match[0]
                 path = best[start] + match[1]
-                if score is None or path > score:
-                    score, tokens = path, count[start] + 1
-                end, match = next(matches, (ends, None))
-            if chunk[at] not in self.singles:
-                path = best[at] + self.unknown
-                if score is None or path > score:
-                    score, tokens = path, count[at] + (len(chunk[at].encode()) if self.bytes_fallback else 1)
-            best.append(score)
-            count.append(tokens)
-        return count[-1]
+                if path > best[at + 1]:
+                    best[at + 1], count[at + 1] = path, count[start] + 1
+                end, match = next(matches, (n, None))
+            if chunk[at] not in self.singles and best[at] + self.unknown > best[at + 1]:
+                best[at + 1] = best[at] + self.unknown
+                count[at + 1] = count[at] + (len(chunk[at].encode()) if self.bytes_fallback else 1)
+        return count[n]
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         chunks, table = self.cut(MARK + text.replace(" ", MARK)), self.table
-        for chunk in set(chunks) - table.keys():
-            if len(chunk) <= LONG_CHUNK:
+        for chunk in set(chunks):
+            if chunk not in table and len(chunk) <= LONG_CHUNK:
                 if self.chars > TABLE_CHARS:
                     table.clear()
                     self.chars = 0
