@@ -3,8 +3,10 @@
 Equal vectors form a class and only one of them goes on. The classes are dealt to shards by hash; each
 shard's graph is built once and written. Every class queries every shard, in blocks of queries, so a
 task holds one shard and one block. Per shard the beam and the reach of the search are widened until an
-audit passes: the results of ``AUDITED`` of its vectors are compared with brute force. Found pairs are
-verified by their cosine in double precision. A task returns the number of links of each query and a
+audit passes: brute force in blocks tells the links of about ``AUDITED`` vectors chosen by hash from all
+shards, and of ``PROBES`` turned copies of the shard's own vectors, as links may be rare; the mean share
+found per query must reach ``RECALL`` for few and for many links alike. A shard that no beam up to
+``WIDEST`` serves is queried by brute force. Found pairs are verified by their cosine in double precision. A task returns the number of links of each query and a
 spanning forest of the pairs, not the pairs; the forests' components are united.
 
 Shards have at most about ``SHARD`` vectors; there are ``SHARDS`` of them unless more are needed.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ from .store import stored
 THRESHOLD = 0.95
 SHARDS, SHARD, QUERIES = 8, 100_000, 16_384
 BEAM, SLACK = 24, 0.02
-AUDITED, RECALL = 128, 0.995
+WIDEST = 8 * BEAM  # a wider search costs more than brute force
+AUDITED, PROBES, RECALL = 2048, 256, 0.995
 SINGLE = 1e-5  # error of similarities in single precision
 
 
@@ -42,17 +46,41 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _audit(graph: Graph, threshold: float, sample: np.ndarray) -> tuple[int, float]:
-    """Beam and slack at which the sample's links in the shard are found."""
-    own = graph.vectors[sample]
-    true = (own @ graph.vectors.T) >= threshold
+def _turned(vectors: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """Copies of unit vectors, turned by up to the threshold's angle."""
+    aside = rng.normal(size=vectors.shape)
+    aside -= np.einsum("nd,nd->n", aside, vectors)[:, None] * vectors
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    angle = np.arccos(np.clip(threshold, -1, 1)) * rng.random((len(vectors), 1)) * (size > SINGLE)
+    return (np.cos(angle) * vectors + np.sin(angle) * aside / np.maximum(size, SINGLE)).astype(np.float32)
+
+
+def _audit(graph: Graph, threshold: float, ids: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[int, float]:
+    """Beam and slack at which the links of the queries (ids ``own``) in the shard are found; beam 0 is brute force."""
+    rng = np.random.default_rng(1)
+    probes = _turned(graph.vectors[rng.permutation(len(ids))[:PROBES]], threshold, rng)
+    kind = np.repeat([0, 1], [len(queries), len(probes)])
+    queries, own = np.concatenate([queries, probes]), np.concatenate([own, np.full(len(probes), -1)])
+
+    def links(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        n = np.zeros(len(queries), np.int64)
+        for q, node in found:
+            n += np.bincount(q[own[q] != ids[node]], minlength=len(n))
+        return n
+
+    true = links(graph.brute(queries, threshold))
+    some = np.flatnonzero(true)
+    if not len(some):
+        return BEAM, SLACK
+    _, group = np.unique(64 * kind[some] + np.log2(true[some]).astype(int), return_inverse=True)
+    queries, own, true = queries[some], own[some], true[some]
     beam, slack = BEAM, SLACK
-    while beam < len(graph.vectors):
-        q, node = graph.within(own, threshold, beam, slack)
-        if true[q, node].sum() >= RECALL * true.sum():
-            break
+    while beam <= WIDEST:
+        share = np.minimum(links(iter([graph.within(queries, threshold, beam, slack)])) / true, 1)
+        if (np.bincount(group, share) >= RECALL * np.bincount(group)).all():
+            return beam, slack
         beam, slack = 2 * beam, 2 * slack
-    return beam, slack
+    return 0, 0.0
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -83,16 +111,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def shard_graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame:
     """(dims, shard, graph, ids, weights, vectors, beam, slack): one row per shard."""
     by = ["dims", "shard"]
+    counts = classes.groupBy("dims").agg(F.count("*").alias("n"))
+    audited = (classes.join(F.broadcast(counts), "dims").where(F.pmod(F.xxhash64("id", F.lit("audit")), F.col("n")) < AUDITED)
+               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, by):
+        for both in _groups(batches, by):
+            sampled = both.column("audit")
+            table, sample = both.filter(pc.invert(sampled)), both.filter(sampled)
+            if not len(table):
+                continue  # no vectors of this length in the shard
             vectors = _matrix(table.column("vector"))
             ids = table.column("id").to_numpy()
             order = np.argsort(ids)  # the same graph whatever order the shuffle gave
             vectors, ids = vectors[order], ids[order]
             graph = Graph.build(unit(vectors))
-            sample = np.random.default_rng(1).permutation(len(ids))[:AUDITED]
-            beam, slack = _audit(graph, threshold - SINGLE, sample)
+            queries = unit(_matrix(sample.column("vector"))) if len(sample) else np.zeros((0, vectors.shape[1]))
+            beam, slack = _audit(graph, threshold - SINGLE, ids, queries.astype(np.float32), sample.column("id").to_numpy())
             yield pa.record_batch({
                 "dims": table.column("dims")[:1].combine_chunks(), "shard": table.column("shard")[:1].combine_chunks(),
                 "graph": pa.array([graph.dump()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()),
@@ -101,7 +136,8 @@ def shard_graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame
                 "beam": pa.array([beam], pa.int32()), "slack": pa.array([slack]),
             })
 
-    given = classes.select(*by, "id", "vector", "n_rows")
+    given = (classes.select(*by, "id", "vector", "n_rows", F.lit(False).alias("audit"))
+             .union(audited.select(*by, "id", "vector", "n_rows", F.lit(True))))
     return given.repartition(shards, *by).sortWithinPartitions(*by).mapInArrow(
         run, "dims int, shard int, graph binary, ids binary, weights binary, vectors binary, beam int, slack double")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +13,7 @@ EF_BUILD = 48
 STEP = 4  # nodes that a query expands at once
 BATCH = 256
 FLOOD = 1 << 16  # similarities computed at once
+BLOCK = 1 << 22  # similarities of a block of brute force
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -190,9 +192,12 @@ class Graph:
 
         The beam leads to the region of a query; from its nodes the region is flooded along the links
         of all nodes down to ``least - slack``, in both directions, as in dense regions pruning leaves
-        nodes that no link leads to. A query has as many results as there are.
+        nodes that no link leads to. A query has as many results as there are. Beam 0 is brute force.
         """
         found = []
+        if not ef:
+            found = list(self.brute(queries, least))
+            return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         first, others = self._both_ways()
         for start in range(0, len(queries), BATCH):
             part = queries[start:start + BATCH]
@@ -218,6 +223,13 @@ class Graph:
         pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         return pairs[0], pairs[1]
 
+    def brute(self, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Query and node of all similarities from ``least``, block by block."""
+        rows = max(1, BLOCK // len(self.vectors))
+        for start in range(0, len(queries), rows):
+            q, node = np.nonzero(queries[start:start + rows] @ self.vectors.T >= least)
+            yield start + q, node
+
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, vectors=self.vectors, entries=[x.entry for x in self.layers],

@@ -61,3 +61,24 @@ def test_graph(n):
     q, node = graph.within(graph.vectors, 0.6, 24, 0.05)
     true = (graph.vectors @ graph.vectors.T) >= 0.6
     assert true[q, node].all() and len(set(zip(q, node))) == len(q) and len(q) >= 0.98 * true.sum()
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group():
+    rng = np.random.default_rng(3)
+    x = unit(np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(400, 32)) * 0.02, rng.normal(size=(800, 32))])).astype(np.float32)
+    graph, ids = Graph.build(x), np.arange(len(x))
+    far = unit(x[400:] + rng.normal(size=(800, 32)) * 0.02).astype(np.float32)  # copies in other shards
+    own = np.arange(800) + len(x)
+    assert embedding_dedup._audit(graph, 0.95, ids, far, own)[0] == embedding_dedup.BEAM
+    for layer in graph.layers:  # 40 of the single vectors cannot be reached
+        lost = (layer.links >= 400) & (layer.links < 440)
+        layer.links[lost] = -1
+        layer.links[400:440] = -1
+    graph.layers[0].entry = 0
+    sample = np.random.default_rng(1).permutation(len(x))[:128]
+    pairs = (x[sample] @ x.T) >= 0.95
+    q, node = graph.within(x[sample], 0.95, embedding_dedup.BEAM, embedding_dedup.SLACK)
+    assert pairs[q, node].sum() >= 0.995 * pairs.sum()  # a sum over pairs is blind to them
+    assert embedding_dedup._audit(graph, 0.95, ids, far, own)[0] == 0
+    q, node = graph.within(far, 0.95, 0, 0.0)
+    assert (np.bincount(q, minlength=800) > 0).all()
