@@ -6,8 +6,9 @@ task holds one shard and one block. Per shard the beam and the reach of the sear
 audit passes: brute force in blocks tells the links of about ``AUDITED`` vectors chosen by hash from all
 shards, and of ``PROBES`` turned copies of the shard's own vectors, as links may be rare; the mean share
 found per query must reach ``RECALL`` for few and for many links alike. A shard that no beam up to
-``WIDEST`` serves is queried by brute force. Found pairs are verified by their cosine in double precision. A task returns the number of links of each query and a
-spanning forest of the pairs, not the pairs; the forests' components are united.
+``WIDEST`` serves is queried by brute force. Found pairs are verified by their cosine in double precision. A task neither holds nor returns the
+pairs: part by part they go into the number of links of each query and a spanning forest, which it
+returns; the forests' components are united.
 
 Shards have at most about ``SHARD`` vectors; there are ``SHARDS`` of them unless more are needed.
 
@@ -39,6 +40,7 @@ BEAM, SLACK = 24, 0.02
 WIDEST = 8 * BEAM  # a wider search costs more than brute force
 AUDITED, PROBES, RECALL = 2048, 256, 0.995
 SINGLE = 1e-5  # error of similarities in single precision
+CHECKED = 16384  # cosines computed at once in double precision
 
 
 def usable(vector: Column) -> Column:
@@ -62,9 +64,9 @@ def _audit(graph: Graph, threshold: float, ids: np.ndarray, queries: np.ndarray,
     kind = np.repeat([0, 1], [len(queries), len(probes)])
     queries, own = np.concatenate([queries, probes]), np.concatenate([own, np.full(len(probes), -1)])
 
-    def links(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def links(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         n = np.zeros(len(queries), np.int64)
-        for q, node in found:
+        for q, node, _ in found:
             n += np.bincount(q[own[q] != ids[node]], minlength=len(n))
         return n
 
@@ -76,7 +78,7 @@ def _audit(graph: Graph, threshold: float, ids: np.ndarray, queries: np.ndarray,
     queries, own, true = queries[some], own[some], true[some]
     beam, slack = BEAM, SLACK
     while beam <= WIDEST:
-        share = np.minimum(links(iter([graph.within(queries, threshold, beam, slack)])) / true, 1)
+        share = np.minimum(links(graph.hits(queries, threshold, beam, slack)) / true, 1)
         if (np.bincount(group, share) >= RECALL * np.bincount(group)).all():
             return beam, slack
         beam, slack = 2 * beam, 2 * slack
@@ -142,20 +144,33 @@ def shard_graphs(classes: DataFrame, shards: int, threshold: float) -> DataFrame
         run, "dims int, shard int, graph binary, ids binary, weights binary, vectors binary, beam int, slack double")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the pairs and the smallest node each reaches."""
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = index[:len(a)], index[len(a):]
-    root = np.arange(len(nodes))
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of the pairs' nodes; ``root`` holds the smallest node of each node's tree."""
     while True:
-        least = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _reduced(graph: Graph, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, weights: np.ndarray,
+             threshold: float, beam: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each query, and the root of each query and then each node in the forest of the pairs."""
+    links, root = np.zeros(len(own)), np.arange(len(own) + len(ids))
+    for q, node, sim in graph.hits(queries.astype(np.float32), threshold - SINGLE, beam, slack):
+        good = own[q] != ids[node]
+        near = np.flatnonzero(good & (sim < threshold + SINGLE))  # others are sure
+        for i in range(0, len(near), CHECKED):
+            at = near[i:i + CHECKED]
+            good[at] = np.einsum("nd,nd->n", queries[q[at]], vectors[node[at]]) >= threshold
+        q, node = q[good], node[good]
+        links += np.bincount(q, weights[node], len(own))
+        _unite(root, q, len(own) + node)
+    return links.astype(np.int64), root
 
 
 def shard_links(graphs: DataFrame, classes: DataFrame, shards: int, blocks: int, threshold: float) -> DataFrame:
@@ -178,18 +193,12 @@ def shard_links(graphs: DataFrame, classes: DataFrame, shards: int, blocks: int,
             ids, weights = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["weights"], np.int64)
             vectors = unit(np.frombuffer(head["vectors"], np.float64).reshape(len(ids), -1))
             own, queries = rest.column("id").to_numpy(), unit(_matrix(rest.column("vector")))
-            q, node = graph.within(queries.astype(np.float32), threshold - SINGLE, head["beam"], head["slack"])
-            cosine = np.concatenate([np.einsum("nd,nd->n", queries[q[i:i + 65536]], vectors[node[i:i + 65536]])
-                                     for i in range(0, len(q), 65536)] or [np.zeros(0)])
-            good = (cosine >= threshold) & (own[q] != ids[node])
-            q, node = q[good], node[good]
-            if not len(q):
-                continue
-            links = np.bincount(q, weights[node], len(own)).astype(np.int64)
-            nodes, root = _forest(own[q], ids[node])
-            some = np.flatnonzero(links)
-            yield pa.record_batch({"id": np.concatenate([own[some], nodes]), "links": np.concatenate([links[some], np.zeros(len(nodes), np.int64)]),
-                                   "root": np.concatenate([own[some], root])})
+            links, root = _reduced(graph, queries, own, vectors, ids, weights, threshold, head["beam"], head["slack"])
+            nodes = np.concatenate([own, ids])
+            some = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            if len(some):
+                yield pa.record_batch({"id": nodes[some], "links": np.concatenate([links, np.zeros(len(ids), np.int64)])[some],
+                                       "root": nodes[root[some]]})
 
     return asked.unionByName(kept).repartition(shards * blocks, *by).sortWithinPartitions(*by, "kind").mapInArrow(
         run, "id bigint, links bigint, root bigint")

@@ -12,7 +12,8 @@ M = 12  # links of a node on upper layers; twice as many on the lowest
 EF_BUILD = 48
 STEP = 4  # nodes that a query expands at once
 BATCH = 256
-FLOOD = 1 << 16  # similarities computed at once
+FLOOD = 1 << 16  # links followed at once
+DENSE = 256  # nodes, and share of a shard, that a query floods before brute force is cheaper
 BLOCK = 1 << 22  # similarities of a block of brute force
 
 
@@ -187,48 +188,71 @@ class Graph:
         order = np.argsort(a, kind="stable")
         return np.searchsorted(a[order], np.arange(len(links) + 1)), b[order]
 
-    def within(self, queries: np.ndarray, least: float, ef: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """Query and node of all found similarities from ``least``.
+    def hits(self, queries: np.ndarray, least: float, ef: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query, node and similarity of all found similarities from ``least``, in parts of bounded size.
 
         The beam leads to the region of a query; from its nodes the region is flooded along the links
         of all nodes down to ``least - slack``, in both directions, as in dense regions pruning leaves
-        nodes that no link leads to. A query has as many results as there are. Beam 0 is brute force.
+        nodes that no link leads to. A query has as many results as there are. A query whose region is
+        so dense that flooding costs more than brute force goes to brute force. Beam 0 is brute force.
         """
-        found = []
         if not ef:
-            found = list(self.brute(queries, least))
-            return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            yield from self.brute(queries, least)
+            return
+        n = len(self.vectors)
+        dense = max(DENSE, n // DENSE)
         first, others = self._both_ways()
         for start in range(0, len(queries), BATCH):
             part = queries[start:start + BATCH]
             ids, sims = self.search(part, ef)
-            seen = np.zeros((len(part), len(self.vectors)), bool)
+            seen = np.zeros((len(part), n), bool)
             row, col = np.nonzero(ids >= 0)
             node, sim = ids[row, col], sims[row, col]
             seen[row, node] = True
-            while len(row):
+            size = np.zeros(len(part), np.int64)  # nodes that each query's flood went through
+            found = []
+            todo = [(row, node, sim)]
+            while todo:
+                row, node, sim = todo.pop()
+                go = (sim >= least - slack) & (size[row] <= dense)
+                row, node, sim = row[go], node[go], sim[go]
+                size += np.bincount(row, minlength=len(part))
                 hit = sim >= least
-                found.append(np.stack([start + row[hit], node[hit]]))
-                go = sim >= least - slack
+                found.append((row[hit], node[hit], sim[hit]))
+                go = size[row] <= dense
                 row, node = row[go], node[go]
-                at, size = first[node], first[node + 1] - first[node]
-                near = others[np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-                row = np.repeat(row, size)
-                new = ~seen[row, near]
-                both = np.unique(row[new] * len(self.vectors) + near[new])
-                row, node = both // len(self.vectors), both % len(self.vectors)
-                seen[row, node] = True
-                sim = np.concatenate([np.einsum("nd,nd->n", self.vectors[node[i:i + FLOOD]], part[row[i:i + FLOOD]])
-                                      for i in range(0, len(row), FLOOD)] or [np.zeros(0, np.float32)])
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pairs[0], pairs[1]
-
-    def brute(self, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Query and node of all similarities from ``least``, block by block."""
+                ends = np.cumsum(first[node + 1] - first[node])
+                cuts = np.searchsorted(ends, np.arange(FLOOD, ends[-1] + FLOOD, FLOOD)) + 1 if len(ends) else []
+                for r, x in zip(np.split(row, cuts), np.split(node, cuts)):
+                    at, width = first[x], first[x + 1] - first[x]
+                    near = others[np.repeat(at, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+                    r = np.repeat(r, width)
+                    new = ~seen[r, near]
+                    both = np.unique(r[new] * n + near[new])
+                    r, x = both // n, both % n
+                    seen[r, x] = True
+                    if len(r):
+                        todo.append((r, x, np.einsum("nd,nd->n", self.vectors[x], part[r])))
+            row, node, sim = (np.concatenate(f) for f in zip(*found))
+            flooded = size[row] <= dense
+            yield start + row[flooded], node[flooded], sim[flooded]
+            rest = np.flatnonzero(size > dense)
+            for q, node, sim in self.brute(part[rest], least):
+                yield start + rest[q], node, sim
+
+    def within(self, queries: np.ndarray, least: float, ef: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Query and node of all hits at once."""
+        found = [(q, node) for q, node, _ in self.hits(queries, least, ef, slack)]
+        q, node = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return q, node
+
+    def brute(self, queries: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query, node and similarity of all similarities from ``least``, block by block."""
         rows = max(1, BLOCK // len(self.vectors))
         for start in range(0, len(queries), rows):
-            q, node = np.nonzero(queries[start:start + rows] @ self.vectors.T >= least)
-            yield start + q, node
+            sims = queries[start:start + rows] @ self.vectors.T
+            q, node = np.nonzero(sims >= least)
+            yield start + q, node, sims[q, node]
 
     def dump(self) -> bytes:
         out = io.BytesIO()

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -82,3 +84,19 @@ def test_audit_sees_lost_pairs_beside_a_large_group():
     assert embedding_dedup._audit(graph, 0.95, ids, far, own)[0] == 0
     q, node = graph.within(far, 0.95, 0, 0.0)
     assert (np.bincount(q, minlength=800) > 0).all()
+
+
+def test_pairs_of_a_dense_group_are_not_held():
+    rng = np.random.default_rng(4)
+    n = 8000
+    x = unit(np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(n // 2, 8)) * 0.02, rng.normal(size=(n // 2, 8))]))
+    graph, ids, weights = Graph.build(x), np.arange(n), np.ones(n, np.int64)
+    queries = x[:n // 2]
+    tracemalloc.start()
+    links, root = embedding_dedup._reduced(graph, queries, ids[:n // 2], x, ids, weights, 0.95, 24, 0.02)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = (queries @ x.T) >= 0.95
+    assert (links == near.sum(1) - 1).all()
+    assert len(np.unique(root[:n])) == 1
+    assert peak < 16 * near.sum()  # the pairs alone would take that
