@@ -2,7 +2,8 @@
 
 The DOM trees of a host's pages are aligned by simple tree matching into one template (``wrapper``):
 every task folds its pages into a small template per host, and these are folded per host. A page is
-then aligned with its host's template. What is constant there, on ``LEAST`` pages or more, is template;
+then aligned with its host's template. A text that stands in one place on ``LEAST`` distinct pages or
+more, and on ``SHARE`` of those that have the place, is template; copies of a page count as one page;
 of the varying slots those go that by tag or class name are menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments, or that consist of links. The text of the
 article is what is left of the largest ``article`` or ``main``, or of the densest part of the body.
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from .registry import query
 from .store import stored
 from .url_filter import url_parts
-from .wrapper import BLOCKS, Node, Slot, constant_nodes, inner_text, merge, parse, slots
+from .wrapper import BLOCKS, Node, Slot, constant_nodes, inner_text, merge, parse, slots, weighted
 
 LEAST = 4
-HOSTS = 2000  # templates that a task holds before it passes them on
+HOSTS = 500  # templates that a task holds before it passes them on
 
 DROPPED_TAGS = {
     "head", "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "nav", "footer", "aside",
@@ -190,14 +191,14 @@ def main_text(page: str | None, template: str | None) -> str:
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from (host, html)."""
+    """(host, template) from (host, html, n_copies)."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Slot] = {}
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            for host, page, n in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "n_copies"))):
                 if page:
-                    slot = slots(parse(page))
+                    slot = weighted(slots(parse(page)), 1 / n)
                     held[host] = merge(held[host], slot) if host in held else slot
                 if len(held) >= HOSTS:
                     yield _rows(held)
@@ -214,10 +215,10 @@ def induce_templates(pages: DataFrame) -> DataFrame:
                     whole = merge(whole, slot)
                     continue
                 if whole:
-                    yield _rows({host: whole})
+                    yield _rows({host: whole.prune(LEAST)})
                 host, whole = own, slot
         if whole:
-            yield _rows({host: whole})
+            yield _rows({host: whole.prune(LEAST)})
 
     parts = pages.mapInArrow(fold, "host string, template string")
     return parts.repartition("host").sortWithinPartitions("host", "template").mapInArrow(unite, "host string, template string")
@@ -230,7 +231,11 @@ def _rows(held: dict[str, Slot]) -> pa.RecordBatch:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """The rows with ``text`` and ``n_chars`` in place of ``html`` (needs url and html)."""
     host = url_parts(F.col("url"))[0]
-    templates = stored(induce_templates(pages.select(host.alias("host"), "html")), "templates")
+    keyed = pages.select(host.alias("host"), "html").withColumns(
+        {"h": F.xxhash64("host", "html"), "g": F.xxhash64(F.lit("second"), F.col("host"), F.col("html"))})
+    copies = stored(keyed.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    distinct = keyed.join(copies, ["h", "g"], "left").select("host", "html", F.coalesce("n", F.lit(1)).alias("n_copies"))
+    templates = stored(induce_templates(distinct), "templates")
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars", "host", "template")]
     given = pages.select(*[F.col(f"`{c}`") for c in rest], "html", host.alias("host")).join(templates, "host", "left").drop("host")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in rest)

@@ -1,8 +1,9 @@
 """Wrapper induction: DOM trees of a host's pages, aligned by simple tree matching, give its template.
 
 A template is a tree of node kinds (tag and class names); equal neighbours are one repeated node. Each
-node counts the pages that have it and keeps a hash of what stands in it while that is the same on all
-pages; a node with one and the same text on two or more pages is constant.
+node counts the distinct pages that have it (a page with n copies counts 1/n each time) and the pages of
+the commonest texts that stand in it, by hash. A text on enough pages and on ``SHARE`` of the node's
+pages is constant.
 """
 
 from __future__ import annotations
@@ -143,20 +144,51 @@ def _digest(parts: list[str]) -> str:
 
 @dataclass(slots=True)
 class Slot:
-    """Template node: pages that have it, the text hash they share ("*" once they differ)."""
+    """Template node: pages that have it, the text hash they share ("*" once they differ), pages by text."""
 
     kind: str
-    pages: int
+    pages: float
     text: str
     children: list[Slot] = field(default_factory=list)
     nodes: list[Node] = field(default_factory=list)  # of a single page only
+    texts: dict[str, float] | None = None  # None: all pages have ``text``
 
     def dump(self) -> list:
-        return [self.kind, self.pages, self.text, [c.dump() for c in self.children]]
+        return [self.kind, self.pages, self.text, [c.dump() for c in self.children], self.texts]
 
     @classmethod
     def load(cls, data: list) -> Slot:
-        return cls(data[0], data[1], data[2], [cls.load(c) for c in data[3]])
+        return cls(data[0], data[1], data[2], [cls.load(c) for c in data[3]], texts=data[4])
+
+    def counts(self) -> dict[str, float]:
+        return {self.text: self.pages} if self.texts is None else self.texts
+
+    def constant(self, text: str, least: int) -> bool:
+        n = self.counts().get(text, 0)
+        return text not in ("*", "") and n >= least - ROUNDING and n >= SHARE * self.pages - ROUNDING
+
+    def prune(self, least: int) -> Slot:
+        """Forgets the texts that are not constant."""
+        self.texts = {t: n for t, n in self.counts().items() if self.constant(t, least)}
+        for child in self.children:
+            child.prune(least)
+        return self
+
+
+SHARE = 0.5  # of the distinct pages with a node, those that must have one text in it
+TEXTS = 16  # texts counted per node; a count is short by at most 1/17 of the node's pages
+ROUNDING = 1e-6  # of sums of 1/n
+
+
+def _counted(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
+    """Sums of the commonest texts (Misra-Gries)."""
+    out = dict(a)
+    for text, n in b.items():
+        out[text] = out.get(text, 0) + n
+    if len(out) > TEXTS:
+        less = sorted(out.values(), reverse=True)[TEXTS]
+        out = {t: n - less for t, n in out.items() if n > less}
+    return out
 
 
 MAX_DEPTH = 24  # deeper nodes belong to the node at this depth
@@ -188,13 +220,18 @@ def _repeated(a: Slot, b: Slot) -> Slot:
     return _set_pages(merge(a, b), 1)
 
 
-def _set_pages(slot: Slot, n: int) -> Slot:
-    slot.pages = n
+def _set_pages(slot: Slot, n: float) -> Slot:
+    slot.pages, slot.texts = n, None
     for child in slot.children:
         _set_pages(child, n)
     return slot
 
 
+def weighted(slot: Slot, pages: float) -> Slot:
+    """Template of one page that counts as a part of a page."""
+    return slot if pages == 1 else _set_pages(slot, pages)
+
+
 def matching(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the largest order-keeping match of two forests, and its top pairs."""
     if not a or not b:
@@ -223,6 +260,8 @@ def matching(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
 def merge(a: Slot, b: Slot) -> Slot:
     """Union of two templates of one kind, aligned by tree matching."""
     out = Slot(a.kind, a.pages + b.pages, a.text if a.text == b.text else "*", nodes=a.nodes + b.nodes)
+    if out.text == "*":
+        out.texts = _counted(a.counts(), b.counts())
     _, pairs = matching(a.children, b.children)
     i = j = 0
     for x, y in [*pairs, (len(a.children), len(b.children))]:
@@ -252,12 +291,12 @@ def _bounded(slot: Slot) -> Slot:
 
 
 def constant_nodes(page: Slot, template: Slot, least: int) -> set[int]:
-    """ids of the page's nodes whose place holds the same text on all its pages, at least ``least``."""
+    """ids of the page's nodes whose text is constant in their place, on at least ``least`` pages."""
     out: set[int] = set()
     todo = [(page, template)]
     while todo:
         own, slot = todo.pop()
-        if slot.pages >= least and slot.text not in ("*", "") and own.text == slot.text:
+        if slot.constant(own.text, least):
             out.update(map(id, own.nodes))
             continue
         todo += [(own.children[i], slot.children[j]) for i, j in matching(own.children, slot.children)[1]]

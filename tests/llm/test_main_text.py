@@ -51,3 +51,17 @@ def test_tree_matching():
     assert both.pages == 2 and [(c.kind, c.pages, c.text == "*") for c in both.children[0].children] == [
         ("p", 2, True), ("ul", 1, False), ("h1", 2, False), ("b", 1, False)]
     assert Slot.load(both.dump()).dump() == both.dump()
+
+
+def test_constancy_bears_odd_pages_and_counts_distinct_ones(spark):
+    box = "<div><p>Read our letter every week</p></div>"
+    page = "<body><div class=x>{}<p>own text {}</p></div></body>"
+    pages = [(i, f"http://h.com/{i}", page.format(box, i)) for i in range(8)]
+    pages += [(8, "http://h.com/8", page.format("<div><p>Read our letter of 1999</p></div>", 8))]
+    table = "<article><p>the article</p><table><tr><td>its table</td></tr></table></article>"
+    pages += [(20 + i, "http://copy.com/", table) for i in range(6)]
+    pages += [(30 + i, f"http://copy.com/{i}", f"<article><p>other {i}</p></article>") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    assert all(text[i] == f"own text {i}" for i in range(8)) and text[8].endswith("own text 8")
+    assert all(text[20 + i] == "the article\n\nits table" for i in range(6))
