@@ -7,6 +7,8 @@ more, and on ``SHARE`` of those that have the place, is template; copies of a pa
 of the varying slots those go that by tag or class name are menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments, or that consist of links. The text of the
 article is what is left of the largest ``article`` or ``main``, or of the densest part of the body.
+Class names and the like are evidence only: what holds most of the page's varying text, or a landmark
+outside of others, stays whatever its name, and names are not used if they would leave nothing.
 
 Blocks are cut at block-level tags. Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by two ``\\n``. If constancy would leave nothing (a host
@@ -57,8 +59,12 @@ def _names(node: Node) -> set[str]:
     return set(NAME.findall(node.marks)) if node.marks else set()
 
 
-def _landmark(node: Node) -> bool:
-    return node.tag in ("article", "main") and not _names(node) & DROPPED_NAMES
+def _landmark(node: Node, large: set[int]) -> bool:
+    return node.tag in ("article", "main") and (id(node) in large or not _names(node) & DROPPED_NAMES)
+
+
+def _hidden(node: Node) -> bool:
+    return node.marks.endswith(" hidden")
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -73,20 +79,38 @@ def _size(node: Node) -> int:
     return len(inner_text(node))
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether tag, names or links show that the node is no main text."""
-    if node.tag in DROPPED_TAGS:
-        return True
+def _large(root: Node, constant: set[int]) -> set[int]:
+    """ids of the nodes that hold most of the text that neither constancy nor tags exclude."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(c for c in x.nodes() if id(c) not in constant and c.tag not in DROPPED_TAGS and not _hidden(c))
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        size[id(x)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in x.children)
+    return {i for i, n in size.items() if 2 * n > size[id(root)]}
+
+
+def named(node: Node, in_article: bool) -> bool:
+    """Whether names show that the node is no main text."""
     if node.tag in ("html", "body", "#root"):
         return False
     names = _names(node)
-    if node.tag == "header" or names & HEADER_NAMES:
-        # the header of an article holds its title
-        if not in_article and not any(_landmark(x) for x in _walk(node)):
-            return True
-    elif names & DROPPED_NAMES:
-        return bool(names & DROPPED_NAMES - LAYOUT_NAMES) or not any(x is not node and _landmark(x) for x in _walk(node))
-    if node.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "span") and not any(_landmark(x) for x in _walk(node)):
+    if names & HEADER_NAMES:
+        return not in_article  # the header of an article holds its title
+    return bool(names & DROPPED_NAMES)
+
+
+def boilerplate(node: Node, in_article: bool, large: set[int]) -> bool:
+    """Whether tag or links show that the node is no main text."""
+    if node.tag in DROPPED_TAGS or _hidden(node):
+        return True
+    if node.tag in ("html", "body", "#root"):
+        return False
+    if node.tag == "header":
+        return not in_article and not any(_landmark(x, large) for x in _walk(node))
+    if node.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "span") and not any(_landmark(x, large) for x in _walk(node)):
         links = [x for x in _walk(node) if x.tag == "a"]
         if len(links) >= LINKS:
             return sum(map(_size, links)) > LINK_SHARE * len(inner_text(node).strip())
@@ -104,22 +128,32 @@ def _kept_size(node: Node, dropped: set[int]) -> int:
     return out
 
 
-def _find_dropped(root: Node, constant: set[int]) -> set[int]:
-    dropped = set(constant)
-    todo = [(root, False)]
+def _find_dropped(root: Node, constant: set[int], names: bool, large: set[int]) -> tuple[set[int], set[int]]:
+    """ids of the dropped nodes, and of landmarks that stand in a part with a suspicious name."""
+    dropped, suspect = set(constant), set()
+    todo = [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, doubt = todo.pop()
         if id(node) in dropped:
             continue
-        if boilerplate(node, inside):
+        if boilerplate(node, inside, large):
             dropped.add(id(node))
-        else:
-            inside = inside or _landmark(node)
-            todo.extend((c, inside) for c in node.nodes())
-    return dropped
-
-
-def content_root(root: Node, dropped: set[int]) -> Node:
+            continue
+        if names and id(node) not in large and named(node, inside):
+            only_layout = not _names(node) & DROPPED_NAMES - LAYOUT_NAMES
+            if inside and not only_layout or not any(x is not node and _landmark(x, large) for x in _walk(node)):
+                dropped.add(id(node))
+                continue
+            doubt = doubt or not only_layout
+        landmark = _landmark(node, large)
+        if landmark and doubt and id(node) not in large:
+            suspect.add(id(node))
+        inside = inside or landmark
+        todo.extend((c, inside, doubt) for c in node.nodes())
+    return dropped, suspect
+
+
+def content_root(root: Node, dropped: set[int], suspect: set[int], large: set[int]) -> Node:
     """The largest article, else the largest main part, else the densest part of the page."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [root]
@@ -127,13 +161,15 @@ def content_root(root: Node, dropped: set[int]) -> Node:
         node = todo.pop()
         if id(node) in dropped:
             continue
-        if _landmark(node):
+        if _landmark(node, large):
             found[node.tag].append(node)
         todo.extend(reversed(node.nodes()))
-    for tag in ("article", "main"):
-        best = max(found[tag], key=lambda n: _kept_size(n, dropped), default=None)
-        if best and _kept_size(best, dropped):
-            return best
+    for doubt in (False, True):
+        for tag in ("article", "main"):
+            given = [n for n in found[tag] if (id(n) in suspect) == doubt]
+            best = max(given, key=lambda n: _kept_size(n, dropped), default=None)
+            if best and _kept_size(best, dropped):
+                return best
     node = root
     while True:
         size = _kept_size(node, dropped)
@@ -182,11 +218,13 @@ def main_text(page: str | None, template: str | None) -> str:
         return ""
     root = parse(page)
     constant = constant_nodes(slots(root, keep=True), _template(template), LEAST) if template else set()
-    for drop in (constant, set()) if constant else (set(),):
-        dropped = _find_dropped(root, drop)
-        found = blocks_of(content_root(root, dropped), dropped)
-        if found:
-            return "\n\n".join(found)
+    for names in (True, False):
+        for drop in (constant, set()) if constant else (set(),):
+            large = _large(root, drop)
+            dropped, suspect = _find_dropped(root, drop, names, large)
+            found = blocks_of(content_root(root, dropped, suspect, large), dropped)
+            if found:
+                return "\n\n".join(found)
     return ""
 
 

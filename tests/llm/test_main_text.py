@@ -65,3 +65,18 @@ def test_constancy_bears_odd_pages_and_counts_distinct_ones(spark):
     text = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
     assert all(text[i] == f"own text {i}" for i in range(8)) and text[8].endswith("own text 8")
     assert all(text[20 + i] == "the article\n\nits table" for i in range(6))
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<body><h1>T</h1><div class='post has-comments'><p>the long text of the post</p><div class=comments><p>a reader</p></div></div>",
+     "the long text of the post"),
+    ("<div class='page cookie-consent'><article><p>the text</p></article></div>", "the text"),
+    ("<body><div class=bar>x</div><article class='category-legal'><p>the text of the law</p></article>", "the text of the law"),
+    ("<body><p>short</p><div id='discussion-of-results'><p>what the results say</p></div>", "what the results say"),
+    ("<article><p>short</p></article><div class=comments><article><p>a longer comment</p></article><p>ab</p></div><p>some more text of the page</p>",
+     "short"),
+    ("<div class=comments><p>one</p></div><div class=related><p>two</p></div>", "one\n\ntwo"),
+    ("<div class='overflow-hidden'><p>seen</p></div><div class=x hidden><p>not to be seen</p></div>", "seen"),
+])
+def test_names_are_only_evidence(html, text):
+    assert main_text(html, None) == text
