@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .registry import query
 from .store import stored
 from .url_filter import url_parts
-from .wrapper import BLOCKS, Node, Slot, constant_nodes, inner_text, merge, parse, slots, weighted
+from .wrapper import BLOCKS, ROUNDING, SHARE, Node, Slot, constant_nodes, inner_text, merge, parse, placed, slots, weighted
 
 LEAST = 4
 HOSTS = 500  # templates that a task holds before it passes them on
@@ -213,11 +213,14 @@ def _template(text: str) -> Slot:
     return Slot.load(json.loads(text))
 
 
-def main_text(page: str | None, template: str | None) -> str:
+def main_text(page: str | None, template: str | None, host: str | None = None, repeated: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """Text of a page, given its host's template and its constant (path, text hash) pairs."""
     if not page:
         return ""
     root = parse(page)
     constant = constant_nodes(slots(root, keep=True), _template(template), LEAST) if template else set()
+    if repeated:
+        constant |= {id(node) for path, text, node in placed(root, host) if (path, text) in repeated}
     for names in (True, False):
         for drop in (constant, set()) if constant else (set(),):
             large = _large(root, drop)
@@ -262,6 +265,31 @@ def induce_templates(pages: DataFrame) -> DataFrame:
     return parts.repartition("host").sortWithinPartitions("host", "template").mapInArrow(unite, "host string, template string")
 
 
+def constant_paths(pages: DataFrame) -> DataFrame:
+    """(host_key, paths, texts) from (host, html, n_copies): what stands on ``LEAST`` pages and ``SHARE`` of a path's pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, paths, texts, parts = [], [], [], []
+            for key, host, page, n in zip(*(batch.column(c).to_pylist() for c in ("host_key", "host", "html", "n_copies"))):
+                found = {(path, text) for path, text, _ in placed(parse(page), host)} if page else set()
+                found |= {(path, None) for path, _ in found}  # the pages of the path
+                for path, text in found:
+                    keys.append(key)
+                    paths.append(path)
+                    texts.append(text)
+                    parts.append(1 / n)
+            yield pa.record_batch({"host_key": pa.array(keys, pa.int64()), "path": pa.array(paths, pa.int64()),
+                                   "text": pa.array(texts, pa.int64()), "n": pa.array(parts, pa.float64())})
+
+    given = pages.select(F.xxhash64("host").alias("host_key"), "host", "html", "n_copies").mapInArrow(
+        run, "host_key bigint, path bigint, text bigint, n double")
+    counts = stored(given.groupBy("host_key", "path", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST - ROUNDING), "paths")
+    whole = counts.where("text is null").select("host_key", "path", F.col("n").alias("whole"))
+    often = counts.where("text is not null").join(whole, ["host_key", "path"]).where(F.col("n") >= SHARE * F.col("whole") - ROUNDING)
+    return often.groupBy("host_key").agg(F.collect_list("path").alias("paths"), F.collect_list("text").alias("texts"))
+
+
 def _rows(held: dict[str, Slot]) -> pa.RecordBatch:
     return pa.record_batch({"host": pa.array(held, pa.string()), "template": pa.array([json.dumps(s.dump()) for s in held.values()], pa.string())})
 
@@ -275,12 +303,19 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     distinct = keyed.join(copies, ["h", "g"], "left").select("host", "html", F.coalesce("n", F.lit(1)).alias("n_copies"))
     templates = stored(induce_templates(distinct), "templates")
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars", "host", "template")]
-    given = pages.select(*[F.col(f"`{c}`") for c in rest], "html", host.alias("host")).join(templates, "host", "left").drop("host")
+    given = pages.select(*[F.col(f"`{c}`") for c in rest], "html", host.alias("host")).join(templates, "host", "left")
+    given = given.withColumn("host_key", F.xxhash64("host")).join(stored(constant_paths(distinct), "constants"), "host_key", "left").drop("host_key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p, t) for p, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())]
+            texts, last, repeated = [], None, frozenset()
+            hosts, pages_, given_ = (batch.column(c).to_pylist() for c in ("host", "html", "template"))
+            for i, (own, page, template) in enumerate(zip(hosts, pages_, given_)):
+                if not i or own != last:
+                    paths, values = batch.column("paths")[i].as_py(), batch.column("texts")[i].as_py()
+                    last, repeated = own, frozenset(zip(paths or (), values or ()))
+                texts.append(main_text(page, template, own, repeated))
             yield pa.record_batch({c: batch.column(c) for c in rest} | {
                 "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 

@@ -3,7 +3,8 @@
 A template is a tree of node kinds (tag and class names); equal neighbours are one repeated node. Each
 node counts the distinct pages that have it (a page with n copies counts 1/n each time) and the pages of
 the commonest texts that stand in it, by hash. A text on enough pages and on ``SHARE`` of the node's
-pages is constant.
+pages is constant. Repeated neighbours, and nodes beyond ``MAX_DEPTH`` or ``MAX_CHILDREN``, have no slot of
+their own; for them the pages of each path (kinds from the root on) and text are counted (``placed``).
 """
 
 from __future__ import annotations
@@ -303,6 +304,26 @@ def constant_nodes(page: Slot, template: Slot, least: int) -> set[int]:
     return out
 
 
+def placed(root: Node, host: str | None) -> list[tuple[int, int, Node]]:
+    """Path (kinds from the root on, hashed with the host) and text hash of all nodes with text, at any depth and place."""
+    order: list[tuple[Node, bytes]] = []
+    todo = [(root, repr(host).encode(errors="replace"))]
+    while todo:
+        node, above = todo.pop()
+        path = hashlib.blake2b(above + b"\0" + node.kind.encode(errors="replace"), digest_size=8).digest()
+        order.append((node, path))
+        todo.extend((c, path) for c in node.children if not isinstance(c, str))
+    text: dict[int, bytes] = {}
+    out = []
+    for node, path in reversed(order):
+        parts = [" ".join(c.split()).encode(errors="replace") if isinstance(c, str) else text[id(c)] for c in node.children]
+        parts = [p for p in parts if p]
+        own = text[id(node)] = hashlib.blake2b(b"\0".join(parts), digest_size=8).digest() if parts else b""
+        if own:
+            out.append((int.from_bytes(path, "little", signed=True), int.from_bytes(own, "little", signed=True), node))
+    return out
+
+
 def merged(found: Iterable[Slot]) -> Slot | None:
     out = None
     for slot in found:

@@ -80,3 +80,16 @@ def test_constancy_bears_odd_pages_and_counts_distinct_ones(spark):
 ])
 def test_names_are_only_evidence(html, text):
     assert main_text(html, None) == text
+
+
+def test_constant_siblings_deep_and_wide_parts_go(spark):
+    letter, deep = "<p>Read our letter</p>", "<div>" * 40 + "<p>{}</p><b>deep notice</b>" + "</div>" * 40
+    pages = [(i, f"http://s.com/{i}", f"<article><p>body {i}</p>{letter}<p>more {i}</p></article>") for i in range(6)]
+    pages += [(10 + i, f"http://d.com/{i}", f"<body>{deep.format(f'text {i}')}</body>") for i in range(6)]
+    wide = lambda i: "".join(f"<x{j}>part {j} of {i} </x{j}>" for j in range(80))
+    pages += [(20 + i, f"http://w.com/{i}", f"<body>{wide(i)}<p>the same</p><p>own {i}</p></body>") for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    assert all(text[i] == f"body {i}\n\nmore {i}" for i in range(6))
+    assert all(text[10 + i] == f"text {i}" for i in range(6))
+    assert all("the same" not in text[20 + i] and text[20 + i].endswith(f"own {i}") for i in range(6))
