@@ -8,9 +8,10 @@ and the index of each shard is built over the rest and written. Then every index
 the phrases that are frequent everywhere, to the left and to the right, and the counts of the phrases
 that result are summed by prefix and suffix. No phrase text is moved before the frequent ones are known.
 
-A phrase is named by the shard and first row of the smallest interval it has anywhere, one number. Per
-phrase a shard gives one row, so no group of the sums is larger than the number of shards. The intervals
-that stay frequent go back to their shard, whose index reads them one after the other.
+A shard packs its phrases by hash of prefix and suffix into buckets, a row for each; the number of buckets
+follows the number of words, so that a bucket of all shards fits a task, and as a shard has a phrase once,
+a frequent phrase adds no more to its bucket than there are shards. The intervals that stay frequent go
+back to their shard, whose index reads them one after the other.
 
 A candidate of m words carries the counts of its first 1 ... m - 1 and last 1 ... m - 1 words, so that cuts
 need no further counting. Of what lies in a longer candidate, only the next length has to be looked at: a
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 from .fm_index import DEPTH, FmIndex, ring, transform
 from .registry import query
 from .store import stored
-from .words import text_buffers
+from .words import mix, text_buffers
 
 LEAST = 30  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVER_NUM, COVER_DEN = 80, 100  # share of a phrase's occurrences inside a longer one that drops it
 SHARD_WORDS = 1 << 22
+BUCKET_PHRASES = 1 << 20  # phrases of all shards that are summed at once, at most on average
 BLOCK_BYTES = 1 << 20
 ROWS = 1 << 16  # rows of a batch
 SEQ_BITS, ROW_BITS = 10, 32  # shards of a task, rows of a shard
@@ -49,14 +51,18 @@ IS_GAP = IS_BREAK.copy()
 IS_GAP[[0x20, 0x09]] = True
 
 
-def _pack(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers in little room: by bytes of equal weight, compressed; ``rising`` ones as differences."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(payload: bytes, dtype: type) -> np.ndarray:
-    size = int.from_bytes(payload[:8], "little")
-    return np.frombuffer(pa.decompress(payload[8:], size, codec="zstd", asbytes=True), dtype)
+def _unpack(payload: bytes, dtype: type, rising: bool = False) -> np.ndarray:
+    size, item = int.from_bytes(payload[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(payload[8:], size, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(item, size // item).T).view(dtype).ravel()
+    return np.cumsum(values) if rising else values
 
 
 def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
@@ -154,7 +160,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
 
 def _batch(shard: int, size: int, **columns) -> pa.RecordBatch:
-    types = {"tokens": pa.binary(), "bwt": pa.binary(), "ids": pa.binary(), "lang": pa.string(), "word": pa.string()}
+    types = {"tokens": pa.binary(), "lang": pa.string(), "word": pa.string()}
     out = {"shard": pa.array(np.full(size, shard, np.int64))}
     for name, values in columns.items():
         kind = types.get(name, pa.int64())
@@ -162,92 +168,148 @@ def _batch(shard: int, size: int, **columns) -> pa.RecordBatch:
     return pa.record_batch(out)
 
 
-def _by_shard(payloads: DataFrame, name: str, intervals: DataFrame) -> DataFrame:
-    """Each shard's payload followed by its intervals (shard, no, n, id), in one partition."""
-    body = payloads.select("shard", F.col(name).alias("payload"), *(F.lit(None).cast("bigint").alias(c) for c in ("no", "n", "id")))
-    rows = body.union(intervals.select("shard", F.lit(None).cast("binary"), "no", "n", "id"))
-    return rows.repartition("shard").sortWithinPartitions("shard", F.col("payload").isNull(), "no")
+def _by_shard(payloads: DataFrame, name: str, rest: DataFrame) -> DataFrame:
+    """Each shard's payload and behind it its rows of ``rest``, in one partition."""
+    rows = payloads.select("shard", F.col(name).alias("payload")).unionByName(rest, allowMissingColumns=True)
+    return rows.repartition("shard").sortWithinPartitions("shard", F.col("payload").isNull())
 
 
-def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(shard, payload, intervals as rows of no, n, id) from rows in the order of ``_by_shard``."""
-    shard, payload, found = None, b"", []
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of each value of ``by``, which stand together."""
+    value, found = None, []
     for batch in batches:
-        own = batch.column("shard").to_numpy()
+        own = batch.column(by).to_numpy()
         cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else []
         for a, b in zip(cuts, [*cuts[1:], len(own)]):
-            part = batch.slice(a, b - a)
-            if own[a] != shard:
-                if shard is not None:
-                    yield shard, payload, np.concatenate(found)
-                shard, payload, found = int(own[a]), part.column("payload")[0].as_py(), []
-                part = part.slice(1)
-            found.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("no", "n", "id")], 1))
-    if shard is not None:
-        yield shard, payload, np.concatenate(found)
+            if own[a] != value and found:
+                yield value, pa.Table.from_batches(found)
+                found = []
+            value = int(own[a])
+            found.append(batch.slice(a, b - a))
+    if found:
+        yield value, pa.Table.from_batches(found)
+
+
+def _packed(table: pa.Table, name: str, rising: bool = False) -> np.ndarray:
+    """A column of packed numbers, one behind the other."""
+    parts = [_unpack(v, np.int64, rising) for v in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def indexes(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """(shard, bwt, ids) of every shard over its frequent words; ids name the words by number."""
+    """(shard, bwt, ids, size) of every shard over its frequent words; ids name the words in order of number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, payload, kept in _each_shard(batches):
-            tokens = _unpack(payload, np.int32)
+        for shard, rows in _groups(batches, "shard"):
+            tokens = _unpack(rows.column("payload")[0].as_py(), np.int32)
+            no, ids = (rows.column(c)[1:].to_numpy().astype(np.int64) for c in ("no", "id"))
+            order = np.argsort(ids)
             number = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
-            number[kept[:, 0] + 1] = np.arange(1, len(kept) + 1)
-            yield _batch(shard, 1, bwt=[_pack(transform(ring(number[tokens])))], ids=[_pack(kept[:, 2])])
+            number[no[order] + 1] = np.arange(1, len(no) + 1)
+            bwt = transform(ring(number[tokens]))
+            yield pa.record_batch({"shard": [shard], "bwt": [_pack(bwt)], "ids": [_pack(ids[order], rising=True)], "size": [len(bwt)]})
 
     tokens = cut.where("tokens is not null")
-    return _by_shard(tokens, "tokens", words).mapInArrow(run, "shard bigint, bwt binary, ids binary")
+    return _by_shard(tokens, "tokens", words.select("shard", "no", "id")).mapInArrow(run, "shard bigint, bwt binary, ids binary, size bigint")
 
 
-_PHRASES = "shard bigint, no bigint, n bigint, pid bigint, sid bigint"
+_PHRASES = "bucket bigint, shard bigint, no binary, n binary, pid binary, sid binary"
 
 
-def _emit(shard: int, index: FmIndex, member: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(shard: int, index: FmIndex, member: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A shard's phrases, packed by bucket of prefix and suffix."""
     starts, counts, prefix, suffix = index.extend(member)
-    for a in range(0, len(starts), ROWS):
-        part = slice(a, a + ROWS)
-        yield _batch(shard, len(starts[part]), no=starts[part], n=counts[part], pid=ids[prefix[part]], sid=ids[suffix[part]])
-
-
-def pairs(index: DataFrame) -> DataFrame:
+    pid, sid = ids[prefix], ids[suffix]
+    bucket = (mix(mix(pid.view(np.uint64)) + sid.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    for at in range(0, len(full), 64):
+        parts = [(b, order[bounds[b]:bounds[b + 1]]) for b in full[at:at + 64]]
+        yield pa.record_batch({
+            "bucket": pa.array([b for b, _ in parts], pa.int64()), "shard": pa.array([shard] * len(parts), pa.int64()),
+            "no": [_pack(starts[p], rising=True) for _, p in parts], "n": [_pack(counts[p]) for _, p in parts],
+            "pid": [_pack(pid[p], rising=True) for _, p in parts], "sid": [_pack(sid[p], rising=True) for _, p in parts]})
+
+
+def pairs(index: DataFrame, buckets: int) -> DataFrame:
     """Phrases of two words of every shard: first row, count, and the names of the first and last word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, bwt, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "bwt", "ids"))):
                 fm = FmIndex(_unpack(bwt, np.int32))
-                yield from _emit(shard, fm, fm.words(), _unpack(ids, np.int64))
+                yield from _emit(shard, fm, fm.words(), _unpack(ids, np.int64, rising=True), buckets)
 
-    return index.mapInArrow(run, _PHRASES)
+    return index.select("shard", "bwt", "ids").mapInArrow(run, _PHRASES)
 
 
-def longer(index: DataFrame, frequent: DataFrame) -> DataFrame:
+def longer(index: DataFrame, frequent: DataFrame, buckets: int) -> DataFrame:
     """Phrases one word longer than the ``frequent`` intervals, whose prefix and suffix are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, payload, kept in _each_shard(batches):
-            if len(kept):
-                fm = FmIndex(_unpack(payload, np.int32))
-                yield from _emit(shard, fm, fm.fill(kept[:, 0], kept[:, 1]), kept[:, 2])
-
-    return _by_shard(index, "bwt", frequent).mapInArrow(run, _PHRASES)
+        for shard, rows in _groups(batches, "shard"):
+            kept = rows.slice(1)
+            if kept.num_rows:
+                fm = FmIndex(_unpack(rows.column("payload")[0].as_py(), np.int32))
+                member = fm.fill(_packed(kept, "no", rising=True), _packed(kept, "n"))
+                yield from _emit(shard, fm, member, _packed(kept, "id", rising=True), buckets)
 
+    intervals = frequent.where("shard is not null").select("shard", "no", "n", "id")
+    return _by_shard(index, "bwt", intervals).mapInArrow(run, _PHRASES)
 
-def summed(phrases: DataFrame, by: list[str], least: int, name: str) -> DataFrame:
-    """The intervals of phrases with ``least`` occurrences in all shards, with the phrase's name ``id``.
 
-    The interval that gives the name also carries the count ``f`` and the columns ``by``; others have nulls.
-    """
-    same = Window.partitionBy(*by)
+def frequent_words(vocabulary: DataFrame, least: int) -> DataFrame:
+    """(shard, no, id) of words with ``least`` occurrences in all shards; where the word has its name from also f, lang, word."""
+    same = Window.partitionBy("lang", "word")
     own = F.shiftleft("shard", ROW_BITS).bitwiseOR(F.col("no"))
-    rows = phrases.select("shard", "no", "n", *by, F.sum("n").over(same).alias("f"), F.min(own).over(same).alias("id")).where(F.col("f") >= least)
+    rows = vocabulary.select("shard", "no", "lang", "word", F.sum("n").over(same).alias("f"), F.min(own).over(same).alias("id")).where(F.col("f") >= least)
     leads = F.col("id") == own
-    return stored(rows.select("shard", "no", "n", "id", *(F.when(leads, F.col(c)).alias(c) for c in ("f", *by))), name)
+    return stored(rows.select("shard", "no", "id", *(F.when(leads, F.col(c)).alias(c) for c in ("f", "lang", "word"))), "words")
+
 
+def summed(phrases: DataFrame, least: int, name: str) -> DataFrame:
+    """Phrases with ``least`` occurrences in all shards: rows (phrase, pid, sid, f), and each shard's intervals of them.
 
-def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    The latter are rows (shard, no, n, id) of packed numbers. A phrase is named by its bucket and its place there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            no, pid, sid = (_packed(rows, c, rising=True) for c in ("no", "pid", "sid"))
+            n = _packed(rows, "n")
+            sizes = [int.from_bytes(v[:8], "little") // 8 for v in rows.column("n").to_pylist()]
+            order = np.lexsort((sid, pid))
+            new = np.ones(len(order), bool)
+            new[1:] = (pid[order[1:]] != pid[order[:-1]]) | (sid[order[1:]] != sid[order[:-1]])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(n[order], first)
+            keep = total >= least
+            names = np.where(keep, (bucket << ROW_BITS) + np.cumsum(keep) - 1, -1)
+            lead = order[first[keep]]
+            if not len(lead):
+                continue
+            for a in range(0, len(lead), ROWS):
+                part = slice(a, a + ROWS)
+                yield pa.record_batch([*[pa.nulls(len(lead[part]), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())],
+                                       pa.array(names[keep][part]), pa.array(pid[lead[part]]), pa.array(sid[lead[part]]), pa.array(total[keep][part])], _COLUMNS)
+            name_of = np.empty(len(order), np.int64)
+            name_of[order] = np.repeat(names, np.diff(np.append(first, len(order))))
+            ends = np.cumsum(sizes)
+            for shard, a, b in zip(rows.column("shard").to_pylist(), ends - sizes, ends):
+                at = a + np.flatnonzero(name_of[a:b] >= 0)
+                if len(at):
+                    yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([_pack(no[at], rising=True)], pa.binary()), pa.array([_pack(n[at])], pa.binary()),
+                                           pa.array([_pack(name_of[at], rising=True)], pa.binary()), *[pa.nulls(1, pa.int64())] * 4], _COLUMNS)
+
+    dealt = phrases.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(dealt.mapInArrow(run, "shard bigint, no binary, n binary, id binary, phrase bigint, pid bigint, sid bigint, f bigint"), name)
+
+
+_COLUMNS = ["shard", "no", "n", "id", "phrase", "pid", "sid", "f"]
+
+
+def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, bucket_phrases: int = BUCKET_PHRASES) -> tuple[DataFrame, DataFrame]:
     """Phrases of 2 to 4 words that no longer candidate covers, with score; and the number of words by language.
 
     The phrases: lang, phrase, a, l, r, score. Needs the columns text and lang.
@@ -255,17 +317,18 @@ def candidates(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WOR
     cut = stored(shards(docs, shard_words), "shards")
     vocabulary = cut.where("tokens is null")
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = summed(vocabulary, ["lang", "word"], least, "words")
+    words = frequent_words(vocabulary, least)
     index = stored(indexes(cut, words), "indexes")
+    buckets = max(1, -(-(index.agg(F.sum("size")).first()[0] or 0) // bucket_phrases))
     lead = words.where("f is not null")
     known = lead.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"),
                         F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels, frequent = [], None
     for length in range(2, DEPTH + 1):
-        frequent = summed(pairs(index) if frequent is None else longer(index, frequent), ["pid", "sid"], least, f"phrases-{length}")
+        frequent = summed(pairs(index, buckets) if frequent is None else longer(index, frequent, buckets), least, f"phrases-{length}")
         before = known.select(F.col("id").alias("pid"), "lang", "phrase", "heads")
         after = known.select(F.col("id").alias("sid"), "last", "tails")
-        lead = frequent.where("f is not null").select("id", "pid", "sid", "f")
+        lead = frequent.where("f is not null").select(F.col("phrase").alias("id"), "pid", "sid", "f")
         known = stored(lead.join(before, "pid").join(after, "sid").select(
             "id", "pid", "sid", "f", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last",
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")), f"known-{length}")
@@ -293,9 +356,9 @@ def _cut(k: int, rest: int):
     return F.struct(score.cast("bigint").alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_words: int = SHARD_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_words: int = SHARD_WORDS, bucket_phrases: int = BUCKET_PHRASES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases."""
-    scored, totals = candidates(docs, least, shard_words)
+    scored, totals = candidates(docs, least, shard_words, bucket_phrases)
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # a language's phrases are cut to the first in parts before they meet
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

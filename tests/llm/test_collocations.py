@@ -69,7 +69,7 @@ def frame(spark, rows, parts=4):
 @pytest.mark.parametrize("shard_words, block, parts", [(1 << 22, 1 << 20, 1), (500, 300, 5), (40, 1 << 20, 3)])
 def test_same_as_counting_everything(spark, corpus, monkeypatch, shard_words, block, parts):
     monkeypatch.setattr(c, "BLOCK_BYTES", block)
-    got = c.collocations(frame(spark, corpus, parts), least=5, top=60, shard_words=shard_words)
+    got = c.collocations(frame(spark, corpus, parts), least=5, top=60, shard_words=shard_words, bucket_phrases=1 << 20 if parts == 1 else 500)
     want = brute_force(corpus, 5, 60)
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
 
@@ -120,3 +120,9 @@ def test_intervals_of_the_index():
         names = [(*names[p], names[s][-1]) for p, s in zip(prefix, suffix)]
         member = index.fill(starts, counts)
     assert len(ring(np.array([0, 1, 0, 2, 0]))) == 0 and len(transform(ring(np.zeros(0, np.int32)))) == 0
+
+
+def test_packing():
+    for values in (np.zeros(0, np.int64), np.array([-5, 7, 7, 2**62, -(2**62)]), np.arange(300) * 7):
+        for rising in (False, True):
+            assert (c._unpack(c._pack(values, rising), np.int64, rising) == values).all()
