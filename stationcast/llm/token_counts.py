@@ -20,6 +20,7 @@ Counts are without begin and end ids. Null and empty texts have 0 tokens.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,16 +91,19 @@ class PieceCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        chunks, table = self.cut(MARK + text.replace(" ", MARK)), self.table
-        for chunk in set(chunks):
-            if chunk not in table and len(chunk) <= LONG_CHUNK:
-                if self.chars > TABLE_CHARS:
-                    table.clear()
-                    self.chars = 0
-                    return self.count(text)
-                table[chunk] = self.viterbi(chunk)
-                self.chars += len(chunk)
-        return sum(table[c] if c in table else self.viterbi(c) for c in chunks)
+        if self.chars > TABLE_CHARS:
+            self.table.clear()
+            self.chars = 0
+        total = 0
+        for chunk, times in Counter(self.cut(MARK + text.replace(" ", MARK))).items():
+            n = self.table.get(chunk)
+            if n is None:
+                n = self.viterbi(chunk)
+                if len(chunk) <= LONG_CHUNK and self.chars <= TABLE_CHARS:
+                    self.table[chunk] = n
+                    self.chars += len(chunk)
+            total += n * times
+        return total
 
 
 @lru_cache(maxsize=4)

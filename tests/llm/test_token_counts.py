@@ -110,3 +110,13 @@ def test_documents(documents, texts, counter, library):
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), public_model()).count() == 0
+
+
+def test_a_text_with_more_chunks_than_the_table_holds(monkeypatch):
+    from stationcast.llm import token_counts
+
+    text = " ".join(f"w{i}x{i * 7919 % 997}" for i in range(4000)) + " again again again"
+    usual = PieceCounter(public_model()).count(text)
+    monkeypatch.setattr(token_counts, "TABLE_CHARS", 500)
+    counter = PieceCounter(public_model())
+    assert counter.count(text) == usual == counter.count(text) and counter.chars < 1000
