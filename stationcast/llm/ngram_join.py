@@ -136,11 +136,12 @@ def candidate_edges(classes: DataFrame, depth: int) -> tuple[DataFrame, float]:
     meet = 1 - F.pow(1 - F.pow(F.col("same") / COMPARED, F.lit(depth)), F.lit(TREES))
     for turn in range(HEADS):
         heads = leaves.groupBy(*bucket).agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = stored(leaves.join(heads, bucket).where("id != head"), "members")
-        pairs = members.select("id", "head").distinct()
+        members = leaves.join(heads, bucket).where("id != head")
+        # a row per text and head, with the at most TREES buckets in which they meet
+        pairs = members.groupBy("id", "head").agg(F.collect_list(F.struct(*bucket)).alias("met"))
         pairs = pairs.join(hashes, "id").join(hashes.toDF("head", "other"), "head")
         same = F.aggregate(F.zip_with("hashes", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-        scored = stored(pairs.select("id", "head", same.alias("same")), "scored")
+        scored = stored(pairs.select("id", "head", "met", same.alias("same")), "scored")
         linked = F.when(F.col("same") * DEN >= NUM * COMPARED, 1 / meet)
         counted = scored.agg(F.count(linked), F.sum(linked), F.count(F.when(F.col("same") < NEAR * COMPARED, True))).first()
         found, expected = found + counted[0], expected + (counted[1] or 0.0)
@@ -148,10 +149,10 @@ def candidate_edges(classes: DataFrame, depth: int) -> tuple[DataFrame, float]:
         edges = edges.union(near) if edges else near
         if not counted[2]:
             break
-        leaves = members.join(scored, ["id", "head"]).where(F.col("same") < NEAR * COMPARED)
+        rest = scored.where(F.col("same") < NEAR * COMPARED)
         if turn == HEADS - 1:
-            edges = edges.union(leaves.select("id", "head"))
-        leaves = leaves.select("tree", "prefix", "id")
+            edges = edges.union(rest.select("id", "head"))
+        leaves = rest.select("id", F.inline("met"))
     return edges, found / expected if expected else 1.0
 
 
