@@ -86,6 +86,28 @@ def iqr_cap(df: DataFrame, key: str, cols: list[str], k: float = 1.5, is_train:
     return df.withColumns(capped).drop(*[f"_q_{c}" for c in cols])
 
 
+def iqr_bounds(df: DataFrame, key: str, cols: list[str], k: float = 1.5) -> DataFrame:
+    """(key, <column>_lo, <column>_hi): [Q1 - k IQR, Q3 + k IQR] of each key's rows, to be stored and reused.
+
+    Taken from training rows, the limits of a day do not depend on later ones.
+    """
+    quartiles = df.groupBy(key).agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in cols])
+    out = []
+    for c in cols:
+        q1, q3 = F.col(c)[0], F.col(c)[1]
+        reach = (q3 - q1) * F.lit(k)
+        out += [(q1 - reach).alias(f"{c}_lo"), (q3 + reach).alias(f"{c}_hi")]
+    return quartiles.select(key, *out)
+
+
+def cap_to(df: DataFrame, bounds: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Limit each column to its key's stored bounds; a key without bounds stays as it is. Also for streams."""
+    names = [f"{c}_{end}" for c in cols for end in ("lo", "hi")]
+    limits = bounds.select(F.col(key).alias("_key"), *[F.col(n).alias(f"_{n}") for n in names])
+    out = df.join(limits, df[key] == limits["_key"], "left")
+    return out.withColumns({c: clamp(F.col(c), F.col(f"_{c}_lo"), F.col(f"_{c}_hi")) for c in cols}).drop("_key", *[f"_{n}" for n in names])
+
+
 def impute_train_mean(df: DataFrame, key: str, cols: list[str], is_train: str) -> DataFrame:
     """Missing values become the station's mean over its training rows."""
     w = Window.partitionBy(key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode, windows
-from ..operators.cleaning import iqr_cap, rename
+from ..operators.cleaning import cap_to, iqr_cap, rename
 from ..operators.resample import resample_daily
 from ..operators.upsert import upsert
 from ..schemas import (
@@ -20,27 +20,39 @@ def daily_frame(readings: DataFrame, time: str = "time", digits: int | None = No
     return daily.withColumn(TIME, F.col(TIME).cast("timestamp_ntz"))
 
 
-def add_features(daily: DataFrame, measures=tuple(MEASURES), capped=tuple(CAPPED)) -> DataFrame:
+def capped_columns(measures=tuple(MEASURES), capped=tuple(CAPPED)) -> list[str]:
+    return [c for c in capped if c in measures]
+
+
+def finished(df: DataFrame, measures=tuple(MEASURES)) -> DataFrame:
+    """Calendar columns, and the feature table's columns in their order."""
+    df = encode.add_calendar(df, TIME)
+    df = encode.one_hot(df, "season", SEASONS)
+    df = encode.one_hot(df, "weekday", WEEKDAYS, drop_first=True)
+    stats = [c for c in STATISTICS if c in df.columns]
+    hots = [c for c in df.columns if c.startswith(("season_", "weekday_"))]
+    return df.select(KEY, TIME, *measures, "month", *stats, *TARGETS, *hots)
+
+
+def add_features(daily: DataFrame, measures=tuple(MEASURES), capped=tuple(CAPPED), bounds: DataFrame | None = None) -> DataFrame:
     """Calendar, lag, rolling, difference and target columns, capping, one-hots and filling.
 
     Everything ordered runs over the same (station, time) window: one shuffle on the
     station and one sort for the whole chain. Targets are never filled, and features look
-    backwards only.
+    backwards only. Outliers are capped by stored ``bounds`` (``iqr_bounds`` of training
+    rows), or by those of all rows if none are given.
     """
-    df = encode.add_calendar(daily, TIME)
-    logged = [c for c in ("pm25", "co") if c in measures]
-    df = encode.add_logs(df, logged)
+    df = encode.add_logs(daily, [c for c in ("pm25", "co") if c in measures])
+    if bounds is not None:
+        df = cap_to(df, bounds, KEY, capped_columns(measures, capped))
     df = windows.add_lags(df, KEY, TIME, "aqi")
     df = windows.add_rolling(df, KEY, TIME, "aqi")
     df = windows.add_diff(df, KEY, TIME, "aqi")
     df = windows.add_targets(df, KEY, TIME, "aqi")
-    df = iqr_cap(df, KEY, [c for c in capped if c in measures])
-    df = encode.one_hot(df, "season", SEASONS)
-    df = encode.one_hot(df, "weekday", WEEKDAYS, drop_first=True)
-    stats = [c for c in STATISTICS if c in df.columns]
-    df = windows.forward_fill(df, KEY, TIME, [*measures, *stats])
-    hots = [c for c in df.columns if c.startswith(("season_", "weekday_"))]
-    return df.select(KEY, TIME, *measures, "month", *stats, *TARGETS, *hots)
+    if bounds is None:
+        df = iqr_cap(df, KEY, capped_columns(measures, capped))
+    df = windows.forward_fill(df, KEY, TIME, [*measures, *[c for c in STATISTICS if c in df.columns]])
+    return finished(df, measures)
 
 
 def daily_features(readings: DataFrame, time: str = "time", digits: int | None = None, zone: str | None = None) -> DataFrame:

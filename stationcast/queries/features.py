@@ -28,8 +28,8 @@ ONE_HOT_SQL = ", ".join(
 )
 
 
-def _cap_sql(c: str) -> str:
-    q1, q3 = (f"quantile_cont({c}, {p}) OVER (PARTITION BY station_id)" for p in (0.25, 0.75))
+def _cap_sql(c: str, rows: str = "") -> str:
+    q1, q3 = (f"quantile_cont({c}, {p}) {rows} OVER (PARTITION BY station_id)" for p in (0.25, 0.75))
     return f"{q1} AS q1_{c}, {q3} AS q3_{c}"
 
 
@@ -45,22 +45,27 @@ def _filled(c: str) -> str:
     return f"round({last}, 6) AS {c}" if c in ROUNDED else f"{last} AS {c}"
 
 
-FEATURES = (
-    f"{src.DAILY}, step AS (SELECT *, CAST(month(event_timestamp) AS INTEGER) AS month, "
-    "ln(1 + pm25) AS log_pm25, ln(1 + co) AS log_co, "
-    f"lag(aqi, 1) OVER {W} AS aqi_lag_1, lag(aqi, 2) OVER {W} AS aqi_lag_2, "
-    f"avg(aqi) OVER {ROLL} AS aqi_roll_mean_3, stddev_samp(aqi) OVER {ROLL} AS aqi_roll_std_3, "
-    f"aqi - lag(aqi, 1) OVER {W} AS aqi_diff, "
-    + ", ".join(f"lead(aqi, {i}) OVER {W} AS aqi_t{i}" for i in (1, 2, 3))
-    + ", " + ", ".join(_cap_sql(c) for c in CAPPED)
-    + f", {ONE_HOT_SQL} FROM daily), "
-    "capped AS (SELECT * REPLACE (" + ", ".join(_capped(c) for c in CAPPED) + ") FROM step), "
-    f"features AS (SELECT station_id, {TIME}, "
-    + ", ".join(_filled(c) for c in MEASURES)
-    + ", month, " + ", ".join(_filled(c) for c in STATISTICS) + ", " + ", ".join(TARGETS)
-    + ", " + ", ".join([f"season_{s}" for s in SEASONS] + [f"weekday_{d}" for d in WEEKDAYS[1:]])
-    + " FROM capped)"
-)
+def features_sql(capped_on: str = "") -> str:
+    """The feature table; ``capped_on`` is a filter of the rows that the bounds are taken from."""
+    return (
+        f"{src.DAILY}, step AS (SELECT *, CAST(month(event_timestamp) AS INTEGER) AS month, "
+        "ln(1 + pm25) AS log_pm25, ln(1 + co) AS log_co, "
+        f"lag(aqi, 1) OVER {W} AS aqi_lag_1, lag(aqi, 2) OVER {W} AS aqi_lag_2, "
+        f"avg(aqi) OVER {ROLL} AS aqi_roll_mean_3, stddev_samp(aqi) OVER {ROLL} AS aqi_roll_std_3, "
+        f"aqi - lag(aqi, 1) OVER {W} AS aqi_diff, "
+        + ", ".join(f"lead(aqi, {i}) OVER {W} AS aqi_t{i}" for i in (1, 2, 3))
+        + ", " + ", ".join(_cap_sql(c, capped_on) for c in CAPPED)
+        + f", {ONE_HOT_SQL} FROM daily), "
+        "capped AS (SELECT * REPLACE (" + ", ".join(_capped(c) for c in CAPPED) + ") FROM step), "
+        f"features AS (SELECT station_id, {TIME}, "
+        + ", ".join(_filled(c) for c in MEASURES)
+        + ", month, " + ", ".join(_filled(c) for c in STATISTICS) + ", " + ", ".join(TARGETS)
+        + ", " + ", ".join([f"season_{s}" for s in SEASONS] + [f"weekday_{d}" for d in WEEKDAYS[1:]])
+        + " FROM capped)"
+    )
+
+
+FEATURES = features_sql()
 
 
 def rounded_features(spark, sf_dir):

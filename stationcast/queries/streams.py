@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..models import training
+from ..models.store import ModelStore, publish, station_means
 from ..operators.blend import project_to_simplex
-from ..plans.features import freshness
-from ..schemas import AVERAGED, FAMILIES, HORIZONS, KEY, MEASURES, SUMMED, TIME
-from ..session import work_path
+from ..operators.cleaning import iqr_bounds
+from ..operators.windows import latest
+from ..plans.features import add_features, freshness
+from ..plans.scoring import forecast_records
+from ..schemas import AQI_MAX, AQI_MIN, AVERAGED, CAPPED, FAMILIES, HORIZONS, KEY, MEASURES, SUMMED, TIME
+from ..session import stored, work_path, workers_import_package
 from ..streaming import features as sf
 from ..streaming import ingest
 from . import inputs as src
 from . import query
-from .features import ROLL, W
+from .features import ROUNDED, features_sql
 from .joins import CUT
-from .ordered import SIMPLEX, raw_weights
+from .ordered import raw_weights
 
-LATE = "60 days"  # longer than the tables reach back, so that every row counts
+MODEL_HOLDOUT, ROUNDS, TREES = 3, 10, 20
+TIME_OF = "latest_feature_timestamp"
+
+LATE, LATE_DAYS = "2 days", 2
 
 
 def deliveries(spark, sf_dir):
-    """Readings in two deliveries, split in time."""
+    """Readings in two deliveries, split in time; a third of the last day before the cut comes with the second one."""
     df = src.readings(spark, sf_dir)
     cut = F.lit(CUT).cast("timestamp_ntz")
-    return df.where(F.col("time") < cut), df.where(F.col("time") >= cut)
+    late = (F.col("time") >= cut - F.expr("interval 1 day")) & (F.col("event_id") % 3 == 0)
+    first = (F.col("time") < cut) & ~late
+    return [df.where(first), df.where(~first)]
+
+
+def too_late(spark, sf_dir):
+    """Readings of days that are closed once the deliveries are in, under new names: none of them counts."""
+    df = src.readings(spark, sf_dir).where(F.col("time") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    return df.withColumn("event_id", -1 - F.col("event_id"))
 
 
 def run(parts, landing, make_stream, checkpoint, sink, mode="update"):
@@ -39,7 +55,7 @@ def run(parts, landing, make_stream, checkpoint, sink, mode="update"):
 def stream_daily(spark, sf_dir):
     path = work_path(spark, "stream-daily")
     run(
-        deliveries(spark, sf_dir), f"{path}/landing",
+        [*deliveries(spark, sf_dir), too_late(spark, sf_dir)], f"{path}/landing",
         lambda s: ingest.daily_updates(s, KEY, "time", AVERAGED, SUMMED, LATE, digits=src.DIGITS, unique=[KEY, "event_id"]),
         f"{path}/checkpoint",
         lambda b, i: ingest.append_changes(b, i, f"{path}/daily"),
@@ -77,69 +93,72 @@ def stream_upsert(spark, sf_dir):
     return ingest.newest_deliveries(spark, f"{path}/daily", KEY, ["aqi"], [], "delivery", digits=src.DIGITS)
 
 
-STREAM_FEATURES = (
-    f"{src.DAILY}, f AS (SELECT station_id, CAST({TIME} AS DATE) AS day, aqi, lag(aqi, 1) OVER {W} AS aqi_lag_1, "
-    f"lag(aqi, 2) OVER {W} AS aqi_lag_2, avg(aqi) OVER {ROLL} AS aqi_roll_mean_3, "
-    f"stddev_samp(aqi) OVER {ROLL} AS aqi_roll_std_3, aqi - lag(aqi, 1) OVER {W} AS aqi_diff, "
-    + ", ".join(f"lead(aqi, {i}) OVER {W} AS aqi_t{i}" for i in (1, 2, 3))
-    + " FROM daily)"
-)
+CAPPED_ON = f"FILTER (WHERE {TIME} < TIMESTAMP '{CUT}')"
 
 
-def feature_log(spark, sf_dir, path):
-    def stream(s):
-        return ingest.daily_updates(s, KEY, "time", ["aqi"], [], LATE, digits=src.DIGITS)
+def bounds_before_cut(daily):
+    """Capping bounds of the days before the cut: what was known when the stream began."""
+    rows = daily.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
+    return stored(iqr_bounds(rows, KEY, CAPPED), "bounds")
 
-    sink = sf.feature_sink(f"{path}/daily", f"{path}/features", KEY, "day", "aqi")
-    run(deliveries(spark, sf_dir), f"{path}/landing", stream, f"{path}/checkpoint", sink)
-    return ingest.current(spark, f"{path}/features", [KEY, "day"])
 
+def run_chained(spark, sf_dir, path, bounds, sink):
+    """Each delivery goes through the daily stream and then, day by day, through the feature stream.
 
-@query(
-    "stream_features",
-    f"WITH {STREAM_FEATURES} SELECT * REPLACE (round(aqi_roll_mean_3, 6) AS aqi_roll_mean_3, "
-    "round(aqi_roll_std_3, 6) AS aqi_roll_std_3, round(aqi_diff, 6) AS aqi_diff) FROM f",
-)
-def stream_features(spark, sf_dir):
-    df = feature_log(spark, sf_dir, work_path(spark, "stream-features"))
-    return df.withColumns({c: F.round(c, 6) for c in ("aqi_roll_mean_3", "aqi_roll_std_3", "aqi_diff")})
-
+    A part of the first delivery arrives once more with the second one: a reading counts once.
+    """
+    workers_import_package(spark)
+    first, second = deliveries(spark, sf_dir)
+    again = first.where(F.col("time") >= F.lit(CUT).cast("timestamp_ntz") - F.expr("interval 1 day"))
+    cores = spark.sparkContext.defaultParallelism
+    for part in (first, second.unionByName(again)):
+        part.write.mode("append").parquet(f"{path}/landing")
+        readings = ingest.read_landing(spark, f"{path}/landing", part.schema)
+        days = sf.daily_stream(readings, LATE, digits=src.DIGITS, unique=[KEY, "event_id"])
+        ingest.run_available(days, f"{path}/checkpoint-daily", sf.daily_sink(f"{path}/daily"), state_partitions=cores)
+        rows = sf.feature_stream(spark, f"{path}/daily", bounds, LATE_DAYS + 1)
+        ingest.run_available(rows, f"{path}/checkpoint-features", sink, mode="append", state_partitions=cores)
 
-def simple_forecast(rows):
-    """Last value and rolling mean as two families, the same for all horizons."""
-    families = {"lightgbm": F.coalesce("aqi", "aqi_lag_1", "aqi_lag_2"), "linear": F.col("aqi_roll_mean_3")}
-    return rows.select(
-        KEY, F.col("day").cast("timestamp_ntz").alias(TIME),
-        F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon"),
-        *[families.get(f, F.lit(None).cast("double")).alias(f"p_{f}") for f in FAMILIES],
-    )
 
-
-_W2 = ", ".join(f"max(CASE WHEN model = '{f}' THEN weight END) AS w_{f}" for f in ("lightgbm", "linear"))
+@query("stream_features", f"WITH {features_sql(CAPPED_ON)} SELECT * FROM features")
+def stream_features(spark, sf_dir):
+    """The complete feature table from state per station: late, repeated and new days included."""
+    path = work_path(spark, "stream-features")
+    bounds = bounds_before_cut(src.daily(spark, sf_dir))
+    run_chained(spark, sf_dir, path, bounds, sf.feature_sink(f"{path}/features"))
+    out = ingest.current(spark, f"{path}/features", [KEY, TIME])
+    return out.withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
 @query(
     "stream_forecast",
-    f"WITH {SIMPLEX}, {STREAM_FEATURES}, w AS (SELECT {_W2} FROM simplex WHERE horizon = 'hd1'), "
-    "n AS (SELECT station_id, coalesce(aqi, aqi_lag_1, aqi_lag_2) AS a, aqi_roll_mean_3 AS b FROM f "
-    "QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY day DESC) = 1), "
-    "t AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE w_lightgbm END + CASE WHEN b IS NULL THEN 0 ELSE w_linear END AS tw "
-    "FROM n CROSS JOIN w), s AS (SELECT station_id, CASE WHEN tw > 0 THEN least(greatest((coalesce(w_lightgbm * a, 0) + "
-    "coalesce(w_linear * b, 0)) / tw, 0), 500) END AS blend FROM t) "
-    "SELECT station_id, round(blend, 5) AS blend, CASE WHEN blend IS NULL THEN NULL WHEN blend >= 200 THEN 'hazardous' "
-    "WHEN blend >= 150 THEN 'unhealthy' ELSE 'ok' END AS alert FROM s",
+    f"WITH {src.DAILY} SELECT station_id, max({TIME}) AS latest_feature_timestamp, 4 AS families, true AS in_range, "
+    "true AS same_as_batch FROM daily GROUP BY 1",
 )
 def stream_forecast(spark, sf_dir):
+    """Forecasts by four fitted families, scored in the stream, beside those of the whole table in a batch."""
     path = work_path(spark, "stream-forecast")
-    weights = project_to_simplex(raw_weights(spark, sf_dir), ["horizon"])
-    features = feature_log(spark, sf_dir, path)
-    sink = sf.forecast_sink(
-        f"{path}/scored", f"{path}/forecast", KEY, "day", simple_forecast, weights, F.lit("2024-01-30").cast("date")
+    daily = stored(src.daily(spark, sf_dir), "daily")
+    bounds = bounds_before_cut(daily)
+    known = add_features(daily.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz")), bounds=bounds)
+    models, frame, names = training.train_families(known, MODEL_HOLDOUT, FAMILIES, rounds=ROUNDS, n_trees=TREES, huber=False)
+    frame.unpersist()
+    store_path = f"{path}/models"
+    publish(models, names, station_means(known, names, MODEL_HOLDOUT), store_path, version=1)
+    store = ModelStore(spark, store_path)
+    weights = stored(project_to_simplex(raw_weights(spark, sf_dir), ["horizon"]), "weights")
+    date = F.to_date("latest_feature_timestamp")
+    run_chained(spark, sf_dir, path, bounds, sf.forecast_sink(f"{path}/features", f"{path}/forecast", store.score, weights, date))
+    streamed = ingest.current(spark, f"{path}/forecast", [KEY])
+    whole = forecast_records(store.score(latest(add_features(daily, bounds=bounds), KEY, [TIME])), weights, date)
+    whole = whole.select(KEY, F.col("blend").alias("_blend"), F.col("alert").alias("_alert"), F.col(TIME_OF).alias("_at"))
+    close = F.forall(F.array(*map(F.lit, HORIZONS)), lambda h: F.abs(F.col("blend")[h] - F.col("_blend")[h]) < 1e-6)
+    values = F.flatten(F.array(F.map_values("blend"), *[F.map_values(f) for f in FAMILIES]))
+    return streamed.join(whole, KEY).select(
+        KEY, TIME_OF, sum(((F.size(f) == len(HORIZONS)).cast("int") for f in FAMILIES), F.lit(0)).alias("families"),
+        F.forall(F.map_values("blend"), lambda v: v.between(AQI_MIN, AQI_MAX)).alias("in_range"),
+        (close & (F.size(values) == 15) & F.col("alert").eqNullSafe(F.col("_alert")) & (F.col(TIME_OF) == F.col("_at"))).alias("same_as_batch"),
     )
-    # the feature rows of both deliveries are the input of a second stream
-    run([features], f"{path}/landing-features", lambda s: s, f"{path}/checkpoint-forecast", sink)
-    out = ingest.current(spark, f"{path}/forecast", [KEY])
-    return out.select(KEY, F.round(F.col("blend")["hd1"], 5).alias("blend"), "alert")
 
 
 @query(

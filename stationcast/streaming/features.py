@@ -1,93 +1,64 @@
-"""Features and forecasts of the days a micro-batch touches."""
+"""Two chained streams: readings to daily rows, daily rows to features and forecasts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import windows
-from ..operators.windows import latest, series
+from ..operators.windows import latest
 from ..plans.scoring import forecast_records
-from .ingest import append_changes, current
+from ..schemas import AVERAGED, KEY, MEASURES, SUMMED, TIME
+from . import ingest
+from .history import feature_rows
 
-LOOK_BACK, LOOK_AHEAD = 2, 3  # rows a lag or rolling value, and a target, reach
-NEEDED = LOOK_BACK + LOOK_AHEAD  # rows before a changed day that its neighbours depend on
+DAILY_SCHEMA = "{key} {kind}, {time} timestamp_ntz, " + ", ".join(f"{m} double" for m in MEASURES) + ", run int, batch_id bigint"
 
 
-def touched_features(daily: DataFrame, touched: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """Lag, rolling, difference and target columns of the rows that changed days reach.
+def daily_stream(readings: DataFrame, late: str, *, digits: int | None = None, unique: list[str] | None = None) -> DataFrame:
+    """Daily rows of all measures, in update mode; ``unique`` names what identifies a reading."""
+    days = ingest.daily_updates(readings, KEY, "time", AVERAGED, SUMMED, late, digits=digits, unique=unique)
+    return days.withColumn(TIME, F.col("day").cast("timestamp_ntz")).select(KEY, TIME, *MEASURES)
 
-    A changed day alters the lags of the rows after it
-    and the targets of the rows before it; distances are counted in rows, since a series may
-    have gaps.
-    """
-    marks = touched.select(key, day).distinct().withColumn("_mark", F.lit(1))
-    stations = marks.select(key).distinct()
-    rows = daily.join(stations, key, "left_semi").join(marks, [key, day], "left")
-    near = series(key, day).rowsBetween(-LOOK_BACK, LOOK_AHEAD)
-    rows = rows.withColumn("_near", F.max("_mark").over(near))
-    rows = windows.add_lags(rows, key, day, value)
-    rows = windows.add_rolling(rows, key, day, value)
-    rows = windows.add_diff(rows, key, day, value)
-    rows = windows.add_targets(rows, key, day, value)
-    return rows.where(F.col("_near") == 1).drop("_mark", "_near")
-
-
-def needed_rows(daily: DataFrame, touched: DataFrame, key: str, day: str, reach_days: int = 30) -> DataFrame:
-    """Rows of the touched stations that can matter for their touched days.
-
-    Usually these lie within ``reach_days`` before the first touched day, and only that part
-    of the table is read. Stations with too few rows in it (gaps, rare readings) also get
-    their last rows from before it.
+
+def daily_sink(path: str, run: int = 0) -> Callable[[DataFrame, int], None]:
+    return lambda batch, batch_id: ingest.append_changes(batch, batch_id, path, run)
+
+
+def feature_stream(spark: SparkSession, daily_path: str, bounds: DataFrame, late_days: int, key_type: str = "bigint") -> DataFrame:
+    """Feature rows from the daily rows that the first stream writes; each of its files is read once.
+
+    ``late_days`` is at least the first stream's lateness in days, and one more for the day itself. A batch
+    that the first stream repeats replaces its files: those that are gone are passed over.
     """
-    first = touched.agg(F.min(day)).first()[0]
-    if first is None:
-        return daily.limit(0)
-    edge = F.date_sub(F.lit(first), reach_days)
-    own = touched.groupBy(key).agg(F.min(day).alias("_first"))
-    recent = daily.where(F.col(day) >= edge).join(own, key)
-    before = F.sum((F.col(day) < F.col("_first")).cast("int"))
-    short = recent.groupBy(key).agg(before.alias("_before")).where(F.col("_before") < NEEDED).select(key)
-    recent = recent.drop("_first")
-    older = daily.where(F.col(day) < edge)
-    if short.isEmpty() or older.isEmpty():
-        return recent
-    return recent.unionByName(windows.last_n(older.join(short, key, "left_semi"), key, [day], NEEDED))
-
-
-def feature_sink(daily_path: str, feature_path: str, key: str, day: str, value: str):
-    """Sink for daily rows: stores them, then the features they reach."""
+    schema = DAILY_SCHEMA.format(key=KEY, kind=key_type, time=TIME)
+    daily = spark.readStream.schema(schema).option("ignoreMissingFiles", "true").parquet(daily_path)
+    return feature_rows(daily, bounds, late_days)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        append_changes(batch, batch_id, daily_path)
-        spark = batch.sparkSession
-        touched = spark.read.parquet(daily_path).where(F.col("batch_id") == batch_id).select(key, day)
-        daily = current(spark, daily_path, [key, day])
-        rows = needed_rows(daily, touched, key, day)
-        append_changes(touched_features(rows, touched, key, day, value), batch_id, feature_path)
 
-    return sink
+def feature_sink(path: str, run: int = 0) -> Callable[[DataFrame, int], None]:
+    return lambda batch, batch_id: ingest.append_changes(batch, batch_id, path, run)
 
 
 def forecast_sink(
-    feature_path: str, forecast_path: str, key: str, day: str, score: Callable[[DataFrame], DataFrame],
-    weights: DataFrame, prediction_date,
-):
-    """Sink for feature rows: stores them, scores the newest row of each touched station.
+    feature_path: str, forecast_path: str, score: Callable[[DataFrame], DataFrame], weights: DataFrame, prediction_date, run: int = 0,
+) -> Callable[[DataFrame, int], None]:
+    """Sink for feature rows: stores them, and the forecast of the newest row of each station in the batch.
 
-    ``score`` maps feature rows to rows (station, time, horizon, p_<family>...), e.g. with
-    trained models; the records carry blend, dates and alert.
+    A batch holds every row behind a changed one, so the newest row of a station it has is the newest there
+    is. ``score`` maps feature rows to rows (station, time, horizon, p_<family>...), e.g. ``ModelStore.score``,
+    which picks up a newer model between batches; the records carry blend, dates and alert.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        append_changes(batch, batch_id, feature_path)
-        spark = batch.sparkSession
-        touched = spark.read.parquet(feature_path).where(F.col("batch_id") == batch_id).select(key).distinct()
-        rows = current(spark, feature_path, [key, day]).join(touched, key, "left_semi")
-        records = forecast_records(score(latest(rows, key, [day])), weights, prediction_date)
-        append_changes(records, batch_id, forecast_path)
+        batch = batch.persist()  # the state is advanced once
+        try:
+            ingest.append_changes(batch, batch_id, feature_path, run)
+            records = forecast_records(score(latest(batch, KEY, [TIME])), weights, prediction_date)
+            ingest.append_changes(records, batch_id, forecast_path, run)
+        finally:
+            batch.unpersist()
 
     return sink
 
@@ -96,3 +67,11 @@ def is_fresh(df: DataFrame, time: str, today) -> bool:
     """Whether the table already reaches ``today``; the gate before an update."""
     newest = df.agg(F.to_date(F.max(time)).alias("d")).first()["d"]
     return newest is not None and newest >= today
+
+
+def refresh(features: DataFrame | None, time: str, today, update: Callable[[], None]) -> bool:
+    """Runs the update unless the feature table (None: there is none yet) reaches ``today``; whether it ran."""
+    if features is not None and is_fresh(features, time, today):
+        return False
+    update()
+    return True

@@ -1,11 +1,15 @@
 import datetime as dt
+from functools import reduce
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationcast.operators import windows
+from stationcast.operators.cleaning import iqr_bounds
+from stationcast.plans.features import add_features
+from stationcast.schemas import CAPPED, HORIZONS, KEY, MEASURES, TIME
 from stationcast.streaming import features as sf
-from stationcast.streaming import ingest
+from stationcast.streaming import history, ingest
 
 D0 = dt.datetime(2024, 1, 1)
 SCHEMA = "k string, t timestamp_ntz, id int, v double"
@@ -79,22 +83,117 @@ def test_replayed_batch_changes_nothing_and_logs_compact(spark, tmp_path):
     assert days(spark, str(tmp_path / "log2")) == {("a", 0): 1.0, ("b", 0): 2.0}
 
 
-@pytest.mark.parametrize("gap", [1, 45])
-def test_features_after_a_late_day_equal_a_full_recompute(spark, tmp_path, gap):
-    """Also when the series has gaps longer than the part of the table that is read at first."""
-    daily_log, feature_log = str(tmp_path / "d"), str(tmp_path / "f")
-    sink = sf.feature_sink(daily_log, feature_log, "k", "day", "v")
-    make = lambda data: spark.createDataFrame([(k, at(d).date(), v) for k, d, v in data], "k string, day date, v double")
-    history = [(k, i * gap, float((i * 7) % 11)) for k in "ab" for i in range(12) if i not in (8, 11)]
-    sink(make(history), 0)
-    sink(make([("a", 11 * gap, 5.0)]), 1)  # next day of one station
-    sink(make([("a", 8 * gap, 100.0), ("c", 3, 1.0)]), 2)  # late day, new station
-    got = ingest.current(spark, feature_log, ["k", "day"])
-    full = ingest.current(spark, daily_log, ["k", "day"])
-    for add in (windows.add_lags, windows.add_rolling, windows.add_diff, windows.add_targets):
-        full = add(full, "k", "day", "v")
-    full = full.select(got.columns)
-    assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
+def daily_rows(data):
+    """Days and cells of (day, value): the series is the value, every other cell a function of it or missing."""
+    days = np.array([d for d, _ in data], np.int64)
+    cells = np.array([[v] + [np.nan if (d + j) % 3 == 0 else v * j for j in range(1, len(history.CELLS))] for d, v in data])
+    return days, cells.reshape(len(data), len(history.CELLS))
+
+
+@pytest.mark.parametrize("late", [0, 1, 4, 9])
+def test_state_gives_what_a_recompute_gives(late):
+    rng = np.random.default_rng(late)
+    for _ in range(40):
+        days = np.sort(rng.choice(90, rng.integers(1, 45), replace=False))
+        days, cells = daily_rows([(int(d), float("nan") if rng.random() < 0.2 else float(rng.integers(0, 99))) for d in days])
+        order = np.argsort(days + rng.integers(0, late + 1, len(days)), kind="stable")  # no row is later than that
+        past, got = history.History.empty(), {}
+        for at in range(0, len(days), 3):
+            part = order[at:at + 3]
+            both = np.append(part, part)  # an older version of each row comes with it
+            stamps = np.append(np.full(len(part), 2 * at + 1), np.full(len(part), 2 * at))
+            past, out, columns = history.advance(past, days[both], stamps, np.vstack([cells[part], cells[part] + 1]), late)
+            got |= dict(zip(out.tolist(), columns))
+            past = history.History.of(past.row())
+        assert len(past.days) <= late + history.BEFORE + history.AHEAD + 1
+        _, out, columns = history.advance(history.History.empty(), days, np.zeros(len(days), np.int64), cells, 10**6)
+        assert sorted(got) == out.tolist() and np.allclose(np.array([got[d] for d in out.tolist()]), columns, equal_nan=True)
+
+
+def test_rows_of_final_days_and_older_versions_change_nothing():
+    days, cells = daily_rows([(d, float(d)) for d in range(20)])
+    past, _, _ = history.advance(history.History.empty(), days, np.full(20, 5), cells, 2)
+    same, out, _ = history.advance(past, days[:3], np.full(3, 9), cells[:3] + 1, 2)
+    assert same is past and not len(out)
+    after, out, columns = history.advance(past, days[-1:], np.array([4]), cells[-1:] + 100, 2)
+    assert out[-1] == 19 and columns[-1][0] == 19.0 and np.array_equal(after.cells, past.cells, equal_nan=True)
+
+
+def land_daily(spark, path, batch_id, rows, run=0):
+    data = [(k, at(d), float(v), None if d % 3 else float(v * 2)) for k, d, v in rows]
+    df = spark.createDataFrame(data, f"{KEY} long, {TIME} timestamp_ntz, aqi double, pm10 double")
+    rest = {m: F.lit(None).cast("double") for m in MEASURES if m not in ("aqi", "pm10")}
+    ingest.append_changes(df.withColumns(rest).select(KEY, TIME, *MEASURES), batch_id, path, run)
+
+
+def test_features_and_forecasts_follow_late_days_and_a_new_model(spark, tmp_path):
+    daily, features, forecasts = (str(tmp_path / n) for n in ("daily", "features", "forecasts"))
+    history_rows = [(k, d, (d * 7 + k) % 50) for k in (1, 2) for d in range(30) if (k, d) != (1, 27)]
+    land_daily(spark, daily, 0, history_rows)
+    bounds = iqr_bounds(spark.read.parquet(daily), KEY, CAPPED)
+    weights = spark.createDataFrame([(h, "linear", 1.0) for h in HORIZONS], "horizon string, model string, weight double")
+    versions = {"now": 10.0}
+
+    def score(rows):  # a model that says one number, read anew for each batch
+        return rows.select(KEY, TIME, F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon"), F.lit(versions["now"]).alias("p_linear"))
+
+    def step():
+        rows = sf.feature_stream(spark, daily, bounds, 5)
+        sink = sf.forecast_sink(features, forecasts, score, weights, F.lit("2024-02-01").cast("date"))
+        ingest.run_available(rows, str(tmp_path / "cp"), sink, mode="append", state_partitions=2)
+        found = {r[KEY]: r["blend"]["hd1"] for r in ingest.current(spark, forecasts, [KEY]).collect()}
+        return found
+
+    def expected():
+        return add_features(ingest.current(spark, daily, [KEY, TIME]), bounds=bounds)
+
+    assert step() == {1: 10.0, 2: 10.0}
+    land_daily(spark, daily, 1, [(1, 30, 3)])  # the next day of one station
+    land_daily(spark, daily, 2, [(1, 27, 44), (3, 30, 1)])  # a late day, a new station
+    land_daily(spark, daily, 3, [(1, 30, 4)])  # and the next day again
+    versions["now"] = 20.0
+    assert step() == {1: 20.0, 2: 10.0, 3: 20.0}
+    land_daily(spark, daily, 3, [(1, 30, 4)])  # a batch that is repeated
+    assert step() == {1: 20.0, 2: 10.0, 3: 20.0}
+    got = ingest.current(spark, features, [KEY, TIME])
+    want = expected().select(got.columns)
+    assert got.count() == want.count() == 62
+    close = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) < 1e-9, F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNull())
+    both = got.alias("a").join(want.alias("b"), (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col(f"a.{TIME}") == F.col(f"b.{TIME}")))
+    names = [c for c in got.columns if c not in (KEY, TIME)]
+    assert len(names) > 25 and both.where(reduce(lambda x, y: x & y, map(close, names))).count() == 62
+
+
+def test_a_store_scores_with_the_newest_version(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    from stationcast.models import store as st
+    from stationcast.models.frame import assembler
+
+    path = str(tmp_path / "models")
+    rows = spark.createDataFrame([(1, at(0), 2.0, 5.0), (2, at(0), None, 7.0)], f"{KEY} long, {TIME} timestamp_ntz, x double, y double")
+    means = spark.createDataFrame([(2, 3.0)], f"{KEY} long, x double")
+
+    def version(n, factor):
+        train = spark.createDataFrame([(float(i), factor * i) for i in range(9)], "x double, t double")
+        fit = Pipeline(stages=[assembler(["x"]), LinearRegression(featuresCol="_features", labelCol="t")]).fit(train)
+        st.publish({("linear", h): fit for h in HORIZONS}, ["x"], means, path, n)
+
+    store = st.ModelStore(spark, path)
+    version(1, 10.0)
+    say = lambda: {r[KEY]: round(r["p_linear"], 6) for r in store.score(rows).where("horizon = 'hd2'").collect()}
+    assert say() == {1: 20.0, 2: 30.0} and store.version == 1  # the missing value is the station's mean
+    version(2, 100.0)
+    assert say() == {1: 200.0, 2: 300.0} and store.version == 2
+    version(0, 1.0)
+    assert say() == {1: 200.0, 2: 300.0} and store.version == 2
+
+
+def test_the_gate_runs_the_update_only_when_it_is_due(spark):
+    df, ran = spark.createDataFrame([(at(3),)], "t timestamp_ntz"), []
+    assert not sf.refresh(df, "t", at(3).date(), lambda: ran.append(1)) and ran == []
+    assert sf.refresh(df, "t", at(4).date(), lambda: ran.append(2)) and sf.refresh(None, "t", at(0).date(), lambda: ran.append(3)) and ran == [2, 3]
 
 
 def test_freshness_gate(spark):
