@@ -39,7 +39,7 @@ from .words import mix, text_buffers
 LEAST = 30  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVER_NUM, COVER_DEN = 80, 100  # share of a phrase's occurrences inside a longer one that drops it
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 BUCKET_PHRASES = 1 << 20  # phrases of all shards that are summed at once, at most on average
 BLOCK_BYTES = 1 << 20
 ROWS = 1 << 16  # rows of a batch
