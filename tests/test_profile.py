@@ -5,18 +5,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationcast.operators import metrics, profile
-from stationcast.operators.quantiles import exact_quantiles
+from stationcast.operators.quantiles import exact_quantiles, order_image
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 997])
-@pytest.mark.parametrize("buckets, digits", [(65536, None), (8, None), (64, 2)])
-def test_quantiles_match_numpy(spark, n, buckets, digits):
+@pytest.mark.parametrize("digits", [None, 2])
+def test_quantiles_match_numpy(spark, n, digits):
     rng = random.Random(n)
     data = [(g, round(rng.choice([rng.uniform(-50, 50), 7.25]), 2)) for g in "ab" for _ in range(n)] + [("a", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = exact_quantiles(df, ["g"], "v", probs, names, digits=digits, buckets=buckets).collect()
+    got = exact_quantiles(df, ["g"], "v", probs, names, digits=digits).collect()
     assert len(got) == 2
     for r in got:
         want = np.quantile([v for g, v in data if g == r["g"] and v is not None], probs)
@@ -101,3 +101,40 @@ def test_missing_counts(spark):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "a int, `b.c` double")
     got = {r["column"]: (r["type"], r["rows"], r["missing"]) for r in profile.missing_per_column(df).collect()}
     assert got == {"a": ("int", 2, 0), "b.c": ("double", 2, 1)}
+
+
+def test_order_image_keeps_the_order_and_tells_doubles_apart(spark):
+    import struct
+
+    rng = np.random.default_rng(0)
+    bits = rng.integers(0, 0x7FF0000000000000, 3000)
+    doubles = [struct.unpack("<d", struct.pack("<q", int(b)))[0] for b in bits]
+    edges = [0.0, -0.0, 5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308, 1e16, 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2)]
+    edges += [f for e in range(-1074, 1024, 7) for p in [2.0**e] for f in (p, float(np.nextafter(p, 0)), float(np.nextafter(p, 1e308)))]
+    values = [float(v) for v in doubles + edges] + [-float(v) for v in doubles + edges]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_image(F.col("v") + F.lit(0.0)).alias("k"))
+    want = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert all(r["k"] == want(r["v"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("digits", [None, 2])
+def test_quantiles_of_any_distribution(spark, digits):
+    rng = np.random.default_rng(1)
+    groups = {
+        "tail": np.append(np.round(rng.random(3000), 2), [1e13, -1e13] if digits else [1e16, 1e300, -1e308]),
+        "close": 1.0 + np.round(rng.integers(0, 9, 700) * 1e-2, 2) if digits else 1.0 + rng.integers(0, 9, 700) * 2.0**-52,
+        "signs": np.round(rng.normal(size=501), 2), "same": np.full(40, 7.25), "one": np.array([3.0]), "zeros": np.array([0.0, -0.0, 0.0, 1.0]),
+    }
+    if not digits:
+        groups["tiny"] = rng.integers(-50, 50, 300) * 5e-324
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("tail", None), ("tail", float("nan")), (None, 2.0), (None, 4.0), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: list(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs, [f"p{i}" for i in range(5)], digits=digits).collect()}
+    assert got.pop(None) == [2.0, 2.5, 3.0, 3.8, 4.0] and got.keys() == groups.keys()
+    for g, vs in groups.items():
+        vs = np.sort(vs)
+        for p, value in zip(probs, got[g]):
+            at = (len(vs) - 1) * p
+            lo, hi = vs[int(np.floor(at))], vs[int(np.ceil(at))]
+            assert value == pytest.approx(lo + (hi - lo) * (at - np.floor(at)), rel=1e-12, abs=1e-300)
