@@ -136,26 +136,32 @@ def boxplot_stats(df: DataFrame, by: list[str], value: str, *, digits: int | Non
     )
 
 
+REACH = 39.0  # bandwidths
+
+
 def kde_grid(long: DataFrame, by: list[str], value: str, grid: int = 200) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from minimum to maximum, Scott bandwidth.
 
-    Rows stay where they are: the map side sums their kernels at all points of the grid and
-    shuffles one row of ``grid`` sums per group. Equal values are counted first.
+    Equal values are counted first. Each then meets the points of the grid near it, and the map side
+    sums kernels by group and point, so a row per group and point is shuffled. Points further than
+    ``REACH`` bandwidths get nothing from a value, as the kernel is 0 there in double precision.
     """
     rows = long.select(*by, finite(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
     stats = rows.groupBy(*by).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd"),
     )
-    n = F.col("_n")
-    stats = stats.select(*by, "_n", "_lo", "_hi", (F.col("_sd") * F.pow(n, F.lit(-0.2))).alias("_h"))
-    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).join(stats, by).where(F.col("_h") > 0)
-    x = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i) / F.lit(grid - 1) for i in range(grid)]
-    z = [(at - F.col("_v")) / F.col("_h") for at in x]
-    sums = counts.groupBy(*by, "_n", "_lo", "_hi", "_h").agg(
-        F.array(*[F.sum(F.col("_c") * F.exp(d * d * F.lit(-0.5))) for d in z]).alias("_k"))
-    points = sums.select(*by, "_n", "_h", F.posexplode(F.arrays_zip(F.array(*x).alias("x"), F.col("_k").alias("k"))).alias("i", "_p"))
-    density = F.col("_p.k") / (n * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi)))
-    return points.select(*by, "i", F.col("_p.x").alias("x"), density.alias("density"))
+    stats = stats.select(*by, "_n", "_lo", "_hi", (F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))).alias("_h")).where(F.col("_h") > 0)
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).join(stats, by)
+    span, last = F.col("_hi") - F.col("_lo"), F.lit(grid - 1)
+    at = lambda offset: (F.col("_v") + offset - F.col("_lo")) / span * last
+    near = F.sequence(F.greatest(F.floor(at(-REACH * F.col("_h"))), F.lit(0)).cast("int"),
+                      F.least(F.ceil(at(REACH * F.col("_h"))), last).cast("int"))
+    x = F.col("_lo") + span * F.col("i") / last
+    z = (x - F.col("_v")) / F.col("_h")
+    sums = counts.withColumn("i", F.explode(near)).groupBy(*by, "i").agg(F.sum(F.col("_c") * F.exp(z * z * F.lit(-0.5))).alias("_k"))
+    points = stats.withColumn("i", F.explode(F.sequence(F.lit(0), last))).join(sums, [*by, "i"], "left")
+    density = F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi)))
+    return points.select(*by, "i", x.alias("x"), density.alias("density"))
 
 
 def feature_catalog(spark, columns: list[str]) -> DataFrame:
