@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import airquality as aq
 from ..functions import calendar, naming
 from ..operators import encode, subindex, windows
+from ..operators.cleaning import iqr_bounds
 from ..operators.resample import daily_max_of_moving_mean, resample_daily
 from ..plans import features as plans
 from ..schemas import AVERAGED, CAPPED, KEY, MEASURES, SEASONS, STATISTICS, SUMMED, TARGETS, TIME, WEEKDAYS
+from ..session import stored
 from . import inputs as src
 from . import query
+from .joins import CUT
 
 ROUNDED = ["log_pm25", "log_co", "aqi_roll_mean_3", "aqi_roll_std_3", "aqi_diff", *CAPPED]
 W = "(PARTITION BY station_id ORDER BY event_timestamp)"
@@ -78,6 +81,23 @@ def daily_features(spark, sf_dir):
     return rounded_features(spark, sf_dir)
 
 
+CAPPED_ON = f"FILTER (WHERE {TIME} < TIMESTAMP '{CUT}')"
+
+
+def bounds_before_cut(daily):
+    """Capping bounds of the days before the cut, stored once: what was known when the later days came."""
+    rows = daily.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
+    return stored(iqr_bounds(rows, KEY, CAPPED), "bounds")
+
+
+@query("train_capped_features", f"WITH {features_sql(CAPPED_ON)} SELECT * FROM features")
+def train_capped_features(spark, sf_dir):
+    """The feature table with outliers capped by bounds of the training rows only."""
+    daily = src.daily(spark, sf_dir)
+    df = plans.add_features(daily, bounds=bounds_before_cut(daily))
+    return df.withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
 @query("update_features", f"WITH {FEATURES} SELECT * FROM features")
 def update_features(spark, sf_dir):
     """History up to the 20th, then the remaining readings as an update."""

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 from ..models import training
 from ..models.store import ModelStore, publish, station_means
 from ..operators.blend import project_to_simplex
-from ..operators.cleaning import iqr_bounds
 from ..operators.windows import latest
 from ..plans.features import add_features, freshness
 from ..plans.scoring import forecast_records
-from ..schemas import AQI_MAX, AQI_MIN, AVERAGED, CAPPED, FAMILIES, HORIZONS, KEY, MEASURES, SUMMED, TIME
+from ..schemas import AQI_MAX, AQI_MIN, AVERAGED, FAMILIES, HORIZONS, KEY, MEASURES, SUMMED, TIME
 from ..session import stored, work_path, workers_import_package
 from ..streaming import features as sf
 from ..streaming import ingest
 from . import inputs as src
 from . import query
-from .features import ROUNDED, features_sql
+from .features import CAPPED_ON, ROUNDED, bounds_before_cut, features_sql
 from .joins import CUT
 from .ordered import raw_weights
 
@@ -93,15 +92,6 @@ def stream_upsert(spark, sf_dir):
     return ingest.newest_deliveries(spark, f"{path}/daily", KEY, ["aqi"], [], "delivery", digits=src.DIGITS)
 
 
-CAPPED_ON = f"FILTER (WHERE {TIME} < TIMESTAMP '{CUT}')"
-
-
-def bounds_before_cut(daily):
-    """Capping bounds of the days before the cut: what was known when the stream began."""
-    rows = daily.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
-    return stored(iqr_bounds(rows, KEY, CAPPED), "bounds")
-
-
 def run_chained(spark, sf_dir, path, bounds, sink):
     """Each delivery goes through the daily stream and then, day by day, through the feature stream.
 
