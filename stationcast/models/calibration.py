@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +27,15 @@ def isotonic_calibrate(fit: DataFrame, apply: DataFrame, by: str, y: str, p: str
     )
     fitted = sorted(r[0] for r in points.where(F.col(by).isNotNull()).select(by).distinct().collect())
     groups = [g for g in fitted if groups is None or g in groups]
-    ready = finite(given).isNotNull() & F.coalesce(F.col(by).isin(groups), F.lit(False))
-    parts = [apply.where(~ready).withColumn(out, F.lit(None).cast("double"))]
-    for g in groups:
+    # one pass over the rows: every group's map is a column, and a row takes its own group's
+    rows = apply.withColumn("_features", F.coalesce(finite(given), F.lit(0.0)))
+    chosen = F.lit(None).cast("double")
+    for i, g in enumerate(groups):
         model = IsotonicRegression(
-            featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_calibrated"
+            featuresCol="_features", labelCol="label", weightCol="weight", predictionCol=f"_calibrated_{i}"
         ).fit(points.where(F.col(by) == g).withColumnRenamed("features", "_features"))
-        rows = apply.where(ready & (F.col(by) == g)).withColumn("_features", given)
-        scored = model.transform(rows).withColumn(out, clamp(F.col("_calibrated"), AQI_MIN, AQI_MAX))
-        parts.append(scored.drop("_calibrated", "_features"))
+        rows = model.transform(rows)
+        chosen = F.when(F.col(by) == g, F.col(f"_calibrated_{i}")).otherwise(chosen)
     points.unpersist()
-    return reduce(DataFrame.unionByName, parts).select(*dict.fromkeys([*apply.columns, out]))
+    value = F.when(finite(given).isNotNull(), clamp(chosen, AQI_MIN, AQI_MAX))
+    return rows.withColumn(out, value).select(*dict.fromkeys([*apply.columns, out]))
