@@ -20,17 +20,18 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .registry import query
 from .store import stored
 from .url_filter import url_parts
-from .wrapper import BLOCKS, ROUNDING, SHARE, Node, Slot, constant_nodes, inner_text, merge, parse, placed, slots, weighted
+from .wrapper import BLOCKS, ROUNDING, SHARE, Node, Slot, constant_nodes, merge, parse, placed, slots, weighted
 
 LEAST = 4
 HOSTS = 500  # templates that a task holds before it passes them on
@@ -67,29 +68,72 @@ def _hidden(node: Node) -> bool:
     return node.marks.endswith(" hidden")
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo.extend(reversed(x.nodes()))
-
-
-def _size(node: Node) -> int:
-    return len(inner_text(node))
-
-
-def _large(root: Node, constant: set[int]) -> set[int]:
+class Measures:
+    """Links of every node (if a page has ``LINKS`` at all), characters in links and of the trimmed text when asked for.
+
+    All are found from the leaves up, in one pass over the page.
+    """
+
+    def __init__(self, root: Node):
+        self.order = [root]  # parents first
+        self.parent: dict[int, Node] = {}
+        self.links: dict[int, int] = {}
+        found = []
+        for x in self.order:
+            if x.tag == "a":
+                found.append(x)
+            for c in x.children:
+                if c.__class__ is Node:
+                    self.parent[id(c)] = x
+                    self.order.append(c)
+        if len(found) >= LINKS:
+            self.links = {id(x): 1 for x in found}
+            for x in reversed(self.order):
+                n = self.links.get(id(x))
+                if n and x is not root:
+                    above = id(self.parent[id(x)])
+                    self.links[above] = self.links.get(above, 0) + n
+        self._sizes: dict[int, tuple[int, int]] | None = None
+
+    def sizes(self, node: Node) -> tuple[int, int]:
+        if self._sizes is None:
+            self._sizes = {}
+            spaces: dict[int, tuple[int, int, int]] = {}  # characters, white space before and behind
+            for x in reversed(self.order):
+                linked = size = lead = trail = 0
+                for child in x.children:
+                    if isinstance(child, str):
+                        n, before, behind = len(child), len(child) - len(child.lstrip()), len(child) - len(child.rstrip())
+                    else:
+                        n, before, behind = spaces[id(child)]
+                        linked += self._sizes[id(child)][0]
+                    lead = size + before if lead == size else lead
+                    trail = trail + n if behind == n else behind
+                    size += n
+                spaces[id(x)] = size, lead, trail
+                self._sizes[id(x)] = linked + size * (x.tag == "a"), 0 if lead == size else size - lead - trail
+        return self._sizes[id(node)]
+
+    def holders(self, large: set[int]) -> set[int]:
+        """ids of the nodes that are or hold a landmark."""
+        out: set[int] = set()
+        for x in self.order:
+            if x.tag in ("article", "main") and _landmark(x, large):
+                while x is not None and id(x) not in out:
+                    out.add(id(x))
+                    x = self.parent.get(id(x))
+        return out
+
+
+def _large(order: list[Node], constant: set[int]) -> set[int]:
     """ids of the nodes that hold most of the text that neither constancy nor tags exclude."""
-    order, todo = [], [root]
+    kept, todo = [], [order[0]]
     while todo:
         x = todo.pop()
-        order.append(x)
+        kept.append(x)
         todo.extend(c for c in x.nodes() if id(c) not in constant and c.tag not in DROPPED_TAGS and not _hidden(c))
-    size: dict[int, int] = {}
-    for x in reversed(order):
-        size[id(x)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in x.children)
-    return {i for i, n in size.items() if 2 * n > size[id(root)]}
+    size = _kept_sizes(kept, ())
+    return {i for i, n in size.items() if 2 * n > size[id(order[0])]}
 
 
 def named(node: Node, in_article: bool) -> bool:
@@ -102,46 +146,45 @@ def named(node: Node, in_article: bool) -> bool:
     return bool(names & DROPPED_NAMES)
 
 
-def boilerplate(node: Node, in_article: bool, large: set[int]) -> bool:
+def boilerplate(node: Node, in_article: bool, holders: set[int], measures: Measures) -> bool:
     """Whether tag or links show that the node is no main text."""
     if node.tag in DROPPED_TAGS or _hidden(node):
         return True
     if node.tag in ("html", "body", "#root"):
         return False
     if node.tag == "header":
-        return not in_article and not any(_landmark(x, large) for x in _walk(node))
-    if node.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "span") and not any(_landmark(x, large) for x in _walk(node)):
-        links = [x for x in _walk(node) if x.tag == "a"]
-        if len(links) >= LINKS:
-            return sum(map(_size, links)) > LINK_SHARE * len(inner_text(node).strip())
+        return not in_article and id(node) not in holders
+    if node.tag in ("ul", "ol", "dl", "div", "section", "table", "p", "span") and id(node) not in holders:
+        if measures.links.get(id(node), 0) >= LINKS:
+            linked, size = measures.sizes(node)
+            return linked > LINK_SHARE * size
     return False
 
 
-def _kept_size(node: Node, dropped: set[int]) -> int:
-    out, todo = 0, [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out += len(x.strip())
-        elif id(x) not in dropped:
-            todo.extend(x.children)
-    return out
+def _kept_sizes(order: list[Node], dropped: Collection[int]) -> dict[int, int]:
+    """Characters in every node outside of dropped ones; nodes that are not in ``order`` count nothing."""
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        if id(x) not in dropped:
+            size[id(x)] = sum([len(c.strip()) if c.__class__ is str else size.get(id(c), 0) for c in x.children])
+    return size
 
 
-def _find_dropped(root: Node, constant: set[int], names: bool, large: set[int]) -> tuple[set[int], set[int]]:
+def _find_dropped(measures: Measures, constant: set[int], names: bool, large: set[int]) -> tuple[set[int], set[int]]:
     """ids of the dropped nodes, and of landmarks that stand in a part with a suspicious name."""
     dropped, suspect = set(constant), set()
-    todo = [(root, False, False)]
+    holders = measures.holders(large)
+    todo = [(measures.order[0], False, False)]
     while todo:
         node, inside, doubt = todo.pop()
         if id(node) in dropped:
             continue
-        if boilerplate(node, inside, large):
+        if boilerplate(node, inside, holders, measures):
             dropped.add(id(node))
             continue
         if names and id(node) not in large and named(node, inside):
             only_layout = not _names(node) & DROPPED_NAMES - LAYOUT_NAMES
-            if inside and not only_layout or not any(x is not node and _landmark(x, large) for x in _walk(node)):
+            if inside and not only_layout or not any(id(c) in holders for c in node.nodes()):
                 dropped.add(id(node))
                 continue
             doubt = doubt or not only_layout
@@ -153,8 +196,9 @@ def _find_dropped(root: Node, constant: set[int], names: bool, large: set[int])
     return dropped, suspect
 
 
-def content_root(root: Node, dropped: set[int], suspect: set[int], large: set[int]) -> Node:
+def content_root(order: list[Node], dropped: set[int], suspect: set[int], large: set[int]) -> Node:
     """The largest article, else the largest main part, else the densest part of the page."""
+    root, kept = order[0], _kept_sizes(order, dropped)
     found: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [root]
     while todo:
@@ -167,15 +211,14 @@ def content_root(root: Node, dropped: set[int], suspect: set[int], large: set[in
     for doubt in (False, True):
         for tag in ("article", "main"):
             given = [n for n in found[tag] if (id(n) in suspect) == doubt]
-            best = max(given, key=lambda n: _kept_size(n, dropped), default=None)
-            if best and _kept_size(best, dropped):
+            best = max(given, key=lambda n: kept.get(id(n), 0), default=None)
+            if best and kept.get(id(best), 0):
                 return best
     node = root
     while True:
-        size = _kept_size(node, dropped)
         inner = [c for c in node.nodes() if id(c) not in dropped and c.tag in BLOCKS and c.tag not in ("p", "li", "td", "pre")]
-        best = max(inner, key=lambda n: _kept_size(n, dropped), default=None)
-        if best is None or _kept_size(best, dropped) < 0.8 * size or best.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        best = max(inner, key=lambda n: kept.get(id(n), 0), default=None)
+        if best is None or kept.get(id(best), 0) < 0.8 * kept.get(id(node), 0) or best.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return node
         node = best
 
@@ -221,70 +264,89 @@ def main_text(page: str | None, template: str | None, host: str | None = None, r
     constant = constant_nodes(slots(root, keep=True), _template(template), LEAST) if template else set()
     if repeated:
         constant |= {id(node) for path, text, node in placed(root, host) if (path, text) in repeated}
+    measures = Measures(root)
+    order = measures.order
     for names in (True, False):
         for drop in (constant, set()) if constant else (set(),):
-            large = _large(root, drop)
-            dropped, suspect = _find_dropped(root, drop, names, large)
-            found = blocks_of(content_root(root, dropped, suspect, large), dropped)
+            large = _large(order, drop)
+            dropped, suspect = _find_dropped(measures, drop, names, large)
+            found = blocks_of(content_root(order, dropped, suspect, large), dropped)
             if found:
                 return "\n\n".join(found)
     return ""
 
 
-def induce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from (host, html, n_copies)."""
+PARTS = "host string, template string, host_key bigint, path bigint, text bigint, n double"
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Slot] = {}
-        for batch in batches:
-            for host, page, n in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "n_copies"))):
-                if page:
-                    slot = weighted(slots(parse(page)), 1 / n)
-                    held[host] = merge(held[host], slot) if host in held else slot
-                if len(held) >= HOSTS:
-                    yield _rows(held)
-                    held = {}
-        if held:
-            yield _rows(held)
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, whole = None, None
-        for batch in batches:
-            for own, text in zip(batch.column("host").to_pylist(), batch.column("template").to_pylist()):
-                slot = Slot.load(json.loads(text))
-                if own == host:
-                    whole = merge(whole, slot)
-                    continue
-                if whole:
-                    yield _rows({host: whole.prune(LEAST)})
-                host, whole = own, slot
-        if whole:
-            yield _rows({host: whole.prune(LEAST)})
+def _part_rows(**columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    types = {"host": pa.string(), "template": pa.string(), "host_key": pa.int64(), "path": pa.int64(), "text": pa.int64(), "n": pa.float64()}
+    return pa.record_batch({c: pa.array(columns.get(c, [None] * n), t) for c, t in types.items()})
 
-    parts = pages.mapInArrow(fold, "host string, template string")
-    return parts.repartition("host").sortWithinPartitions("host", "template").mapInArrow(unite, "host string, template string")
 
+def page_parts(pages: DataFrame) -> DataFrame:
+    """Templates of parts of a host's pages, and the pages of each path and text, from (host, host_key, html, n_copies).
 
-def constant_paths(pages: DataFrame) -> DataFrame:
-    """(host_key, paths, texts) from (host, html, n_copies): what stands on ``LEAST`` pages and ``SHARE`` of a path's pages."""
+    A page is parsed once for both. Equal rows are combined before the shuffle: ``n`` counts equal
+    templates, or sums the shares of the pages with (path, text); a null text stands for all of the path's
+    pages. Pairs on fewer than ``LEAST`` pages prove nothing and are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Slot] = {}
         for batch in batches:
             keys, paths, texts, parts = [], [], [], []
             for key, host, page, n in zip(*(batch.column(c).to_pylist() for c in ("host_key", "host", "html", "n_copies"))):
-                found = {(path, text) for path, text, _ in placed(parse(page), host)} if page else set()
+                if not page:
+                    continue
+                root = parse(page)
+                slot = weighted(slots(root), 1 / n)
+                held[host] = merge(held[host], slot) if host in held else slot
+                found = {(path, text) for path, text, _ in placed(root, host)}
                 found |= {(path, None) for path, _ in found}  # the pages of the path
                 for path, text in found:
                     keys.append(key)
                     paths.append(path)
                     texts.append(text)
                     parts.append(1 / n)
-            yield pa.record_batch({"host_key": pa.array(keys, pa.int64()), "path": pa.array(paths, pa.int64()),
-                                   "text": pa.array(texts, pa.int64()), "n": pa.array(parts, pa.float64())})
+                if len(held) >= HOSTS:
+                    yield _template_rows(held)
+                    held = {}
+            yield _part_rows(host_key=keys, path=paths, text=texts, n=parts)
+        if held:
+            yield _template_rows(held)
+
+    given = pages.select("host_key", "host", "html", "n_copies").mapInArrow(run, PARTS)
+    whole = given.groupBy("host", "template", "host_key", "path", "text").agg(F.sum("n").alias("n"))
+    return whole.where(F.col("template").isNotNull() | (F.col("n") >= LEAST - ROUNDING))
+
+
+def unite_templates(parts: DataFrame) -> DataFrame:
+    """(host, template) of the whole hosts."""
 
-    given = pages.select(F.xxhash64("host").alias("host_key"), "host", "html", "n_copies").mapInArrow(
-        run, "host_key bigint, path bigint, text bigint, n double")
-    counts = stored(given.groupBy("host_key", "path", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST - ROUNDING), "paths")
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, whole = None, None
+        for batch in batches:
+            for own, text, n in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "n"))):
+                for _ in range(round(n)):
+                    slot = Slot.load(json.loads(text))
+                    if whole and own == host:
+                        whole = merge(whole, slot)
+                        continue
+                    if whole:
+                        yield _rows({host: whole.prune(LEAST)})
+                    host, whole = own, slot
+        if whole:
+            yield _rows({host: whole.prune(LEAST)})
+
+    given = parts.where("template is not null").select("host", "template", "n")
+    return given.repartition("host").sortWithinPartitions("host", "template").mapInArrow(unite, "host string, template string")
+
+
+def constant_paths(parts: DataFrame) -> DataFrame:
+    """(host_key, paths, texts): what stands on ``LEAST`` pages and ``SHARE`` of a path's pages."""
+    counts = parts.where("template is null")
     whole = counts.where("text is null").select("host_key", "path", F.col("n").alias("whole"))
     often = counts.where("text is not null").join(whole, ["host_key", "path"]).where(F.col("n") >= SHARE * F.col("whole") - ROUNDING)
     return often.groupBy("host_key").agg(F.collect_list("path").alias("paths"), F.collect_list("text").alias("texts"))
@@ -294,18 +356,25 @@ def _rows(held: dict[str, Slot]) -> pa.RecordBatch:
     return pa.record_batch({"host": pa.array(held, pa.string()), "template": pa.array([json.dumps(s.dump()) for s in held.values()], pa.string())})
 
 
+def _template_rows(held: dict[str, Slot]) -> pa.RecordBatch:
+    return _part_rows(host=list(held), template=[json.dumps(s.dump()) for s in held.values()], n=[1.0] * len(held))
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """The rows with ``text`` and ``n_chars`` in place of ``html`` (needs url and html)."""
+    """The rows with ``text`` and ``n_chars`` in place of ``html`` (needs url and html); columns of any other name pass."""
     host = url_parts(F.col("url"))[0]
     keyed = pages.select(host.alias("host"), "html").withColumns(
         {"h": F.xxhash64("host", "html"), "g": F.xxhash64(F.lit("second"), F.col("host"), F.col("html"))})
     copies = stored(keyed.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    distinct = keyed.join(copies, ["h", "g"], "left").select("host", "html", F.coalesce("n", F.lit(1)).alias("n_copies"))
-    templates = stored(induce_templates(distinct), "templates")
-    rest = [c for c in pages.columns if c not in ("html", "text", "n_chars", "host", "template")]
-    given = pages.select(*[F.col(f"`{c}`") for c in rest], "html", host.alias("host")).join(templates, "host", "left")
-    given = given.withColumn("host_key", F.xxhash64("host")).join(stored(constant_paths(distinct), "constants"), "host_key", "left").drop("host_key")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in rest)
+    distinct = keyed.join(copies, ["h", "g"], "left").select(
+        "host", F.xxhash64("host").alias("host_key"), "html", F.coalesce("n", F.lit(1)).alias("n_copies"))
+    parts = stored(page_parts(distinct), "parts")
+    templates = stored(unite_templates(parts), "templates")
+    constants = stored(constant_paths(parts), "constants")
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("html", "text", "n_chars")]
+    given = pages.select(F.struct(*rest).alias("row"), "html", host.alias("host"), F.xxhash64(host).alias("host_key"))
+    given = given.join(templates, "host", "left").join(constants, "host_key", "left").drop("host_key")
+    out = StructType([given.schema["row"], StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,10 +385,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                     paths, values = batch.column("paths")[i].as_py(), batch.column("texts")[i].as_py()
                     last, repeated = own, frozenset(zip(paths or (), values or ()))
                 texts.append(main_text(page, template, own, repeated))
-            yield pa.record_batch({c: batch.column(c) for c in rest} | {
-                "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+            yield pa.record_batch({"row": batch.column("row"), "text": pa.array(texts, pa.string()),
+                                   "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return given.mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    return given.mapInArrow(run, out).select("row.*", "text", "n_chars")
 
 
 @query("op2_html_main_text")

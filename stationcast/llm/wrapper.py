@@ -12,8 +12,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe"}
@@ -42,13 +42,14 @@ class Node:
     children: list = field(default_factory=list)  # nodes and texts in order
 
     def nodes(self) -> list[Node]:
-        return [c for c in self.children if not isinstance(c, str)]
+        return [c for c in self.children if c.__class__ is not str]
 
     @property
     def kind(self) -> str:
         return f"{self.tag}.{self.marks}" if self.marks else self.tag
 
 
+@lru_cache(maxsize=4096)
 def attributes(text: str) -> str:
     """Class, id and role, lower-cased, digits removed."""
     if "=" not in text:
@@ -304,13 +305,18 @@ def constant_nodes(page: Slot, template: Slot, least: int) -> set[int]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def _path(above: bytes, kind: str) -> bytes:
+    return hashlib.blake2b(above + b"\0" + kind.encode(errors="replace"), digest_size=8).digest()
+
+
 def placed(root: Node, host: str | None) -> list[tuple[int, int, Node]]:
     """Path (kinds from the root on, hashed with the host) and text hash of all nodes with text, at any depth and place."""
     order: list[tuple[Node, bytes]] = []
     todo = [(root, repr(host).encode(errors="replace"))]
     while todo:
         node, above = todo.pop()
-        path = hashlib.blake2b(above + b"\0" + node.kind.encode(errors="replace"), digest_size=8).digest()
+        path = _path(above, node.kind)
         order.append((node, path))
         todo.extend((c, path) for c in node.children if not isinstance(c, str))
     text: dict[int, bytes] = {}
@@ -322,10 +328,3 @@ def placed(root: Node, host: str | None) -> list[tuple[int, int, Node]]:
         if own:
             out.append((int.from_bytes(path, "little", signed=True), int.from_bytes(own, "little", signed=True), node))
     return out
-
-
-def merged(found: Iterable[Slot]) -> Slot | None:
-    out = None
-    for slot in found:
-        out = slot if out is None else merge(out, slot)
-    return out

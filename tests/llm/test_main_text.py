@@ -1,7 +1,7 @@
 import pytest
 
-from stationcast.llm.main_text import extract_main_text, main_text
-from stationcast.llm.wrapper import Slot, matching, merge, parse, slots
+from stationcast.llm.main_text import Measures, extract_main_text, main_text
+from stationcast.llm.wrapper import Slot, inner_text, matching, merge, parse, slots
 
 ARTICLE = "<article class='post'><header><h1>Title &amp; more</h1></header><p>One<p>Two <b>bold</b> text<br>line<ul><li>x<li>y</ul>{extra}<p>Three&nbsp;3</article>"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p><p>";</script></head>
@@ -93,3 +93,26 @@ def test_constant_siblings_deep_and_wide_parts_go(spark):
     assert all(text[i] == f"body {i}\n\nmore {i}" for i in range(6))
     assert all(text[10 + i] == f"text {i}" for i in range(6))
     assert all("the same" not in text[20 + i] and text[20 + i].endswith(f"own {i}") for i in range(6))
+
+
+def test_clashing_columns_pass(spark):
+    names = ("host", "template", "paths", "texts", "host_key", "row", "path", "n", "h")
+    pages = [(i, f"http://h.com/{i}", f"<article><p>text {i}</p></article>", *[f"{c}{i}" for c in names]) for i in range(5)]
+    df = spark.createDataFrame(pages, ["page_id", "url", "html", *names])
+    out = extract_main_text(df)
+    assert out.columns == ["page_id", "url", *names, "text", "n_chars"]
+    assert all(r["text"] == f"text {r['page_id']}" and all(r[c] == f"{c}{r['page_id']}" for c in names) for r in out.collect())
+
+
+def test_nested_parts_are_measured_once():
+    links = "<div>" * 3000 + "<p>" + "the text of the page " * 2000 + "</p>" + "<div><a>1</a><a>2</a><a>3</a></div></div>" * 3000
+    assert main_text(links, None).startswith("the text of the page the text")
+
+
+def test_measures_same_as_walking():
+    page = parse("<div> <a> x <b>y</b></a>\n<p> <a>1<a> 2 </a></a></p><ul><li><a> </a></ul> t <i> </i> </div><p></p>")
+    measures = Measures(page)
+    for node in measures.order:
+        links = [x for x in Measures(node).order if x.tag == "a"]
+        assert measures.links.get(id(node), 0) == len(links)
+        assert measures.sizes(node) == (sum(len(inner_text(x)) for x in links), len(inner_text(node).strip()))
