@@ -24,14 +24,14 @@ def capped_columns(measures=tuple(MEASURES), capped=tuple(CAPPED)) -> list[str]:
     return [c for c in capped if c in measures]
 
 
-def finished(df: DataFrame, measures=tuple(MEASURES)) -> DataFrame:
-    """Calendar columns, and the feature table's columns in their order."""
+def finished(df: DataFrame, measures=tuple(MEASURES), keep=()) -> DataFrame:
+    """Calendar columns, and the feature table's columns in their order, then those of ``keep``."""
     df = encode.add_calendar(df, TIME)
     df = encode.one_hot(df, "season", SEASONS)
     df = encode.one_hot(df, "weekday", WEEKDAYS, drop_first=True)
     stats = [c for c in STATISTICS if c in df.columns]
     hots = [c for c in df.columns if c.startswith(("season_", "weekday_"))]
-    return df.select(KEY, TIME, *measures, "month", *stats, *TARGETS, *hots)
+    return df.select(KEY, TIME, *measures, "month", *stats, *TARGETS, *hots, *keep)
 
 
 def add_features(daily: DataFrame, measures=tuple(MEASURES), capped=tuple(CAPPED), bounds: DataFrame | None = None) -> DataFrame:

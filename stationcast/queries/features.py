@@ -10,8 +10,9 @@ from ..operators import encode, subindex, windows
 from ..operators.cleaning import iqr_bounds
 from ..operators.resample import daily_max_of_moving_mean, resample_daily
 from ..plans import features as plans
+from ..plans.update import FeatureTables
 from ..schemas import AVERAGED, CAPPED, KEY, MEASURES, SEASONS, STATISTICS, SUMMED, TARGETS, TIME, WEEKDAYS
-from ..session import stored
+from ..session import stored, work_path
 from . import inputs as src
 from . import query
 from .joins import CUT
@@ -108,6 +109,19 @@ def update_features(spark, sf_dir):
     return features.withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
+@query("update_feature_tables", f"WITH {features_sql(CAPPED_ON)} SELECT * FROM features")
+def update_feature_tables(spark, sf_dir):
+    """Stored tables of the days before the cut but one, then the later days, then the one as a late delivery."""
+    readings, daily = src.readings(spark, sf_dir), src.daily(spark, sf_dir)
+    day = F.to_date("time")
+    late, new = day == F.lit("2024-01-08").cast("date"), day >= F.lit(CUT).cast("date")
+    tables = FeatureTables(spark, work_path(spark, "tables"), span=5)
+    tables.create(plans.daily_frame(readings.where(~late & ~new), digits=src.DIGITS), bounds_before_cut(daily))
+    for part in (new, late):
+        tables.update(readings.where(part), digits=src.DIGITS)
+    return tables.features().withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
 @query(
     "daily_resample",
     f"WITH {src.DAILY} SELECT * FROM daily",
