@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import FEATURE_GROUPS, in_group
@@ -69,29 +68,26 @@ def column_means(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def _corr(x: Column, y: Column) -> Column:
-    """``corr`` without its error on constant columns; all three sums are centred."""
-    own, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(own) * F.var_pop(other)))
-
-
-def correlation_matrix(df: DataFrame, cols: list[str], *, pairs_at_once: int = 150) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of each pair, over the rows where both are present and finite.
 
-    One aggregate per pair of the upper triangle; wide tables take a pass per ``pairs_at_once``
-    pairs. Rows (a, b) and (b, a) both appear; a constant column has no correlation.
+    A row meets every pair of the upper triangle as a number, and the map side keeps the centred sums
+    of a pair: one pass for any width, few aggregates in generated code, and a row per pair and task is
+    shuffled. Rows (a, b) and (b, a) both appear; a constant column, or a pair without common rows, has
+    no correlation.
     """
-    values = df.select(*[finite(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    parts = []
-    for at in range(0, len(pairs), pairs_at_once):
-        some = pairs[at:at + pairs_at_once]
-        row = values.agg(*[_corr(F.col(f"_{i}"), F.col(f"_{j}")).alias(f"_{i}_{j}") for i, j in some])
-        corr = {(i, j): F.col(f"_{i}_{j}").alias("corr") for i, j in some}
-        both = [(i, j, c) for (i, j), c in corr.items()] + [(j, i, c) for (i, j), c in corr.items() if i != j]
-        parts.append(row.select(F.inline(F.array(*[
-            F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), c) for i, j, c in both]))))
-    return reduce(DataFrame.union, parts)
+    first, second = ([p[k] for p in pairs] for k in (0, 1))
+    values = F.array(*[finite(F.col(f"`{c}`").cast("double")) for c in cols])
+    rows = df.select(values.alias("_v")).select("_v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("_p"))
+    rows = rows.select("_p", *[F.get("_v", F.get(F.lit(at), F.col("_p"))).alias(n) for at, n in ((first, "_x"), (second, "_y"))])
+    sums = rows.where("_x is not null and _y is not null").groupBy("_p").agg(
+        F.try_divide(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))).alias("corr"))
+    names = F.lit(cols)
+    a, b = (F.get(names, F.get(F.lit(at), F.col("_p"))) for at in (first, second))
+    every = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("_p")).join(sums, "_p", "left")
+    one, other = (F.struct(x.alias("a"), y.alias("b"), F.col("corr")) for x, y in ((a, b), (b, a)))
+    return every.select(F.inline(F.when(a == b, F.array(one)).otherwise(F.array(one, other))))
 
 
 def histogram(long: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:

@@ -49,6 +49,13 @@ def test_correlation_uses_complete_pairs(spark):
             assert np.isclose(got[p, q], np.corrcoef(x[ok, i], x[ok, j])[0, 1])
 
 
+def test_correlation_without_common_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0)], "a double, `b.c` double")
+    got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, df.columns).collect()}
+    assert got == {("a", "a"): 1.0, ("a", "b.c"): None, ("b.c", "a"): None, ("b.c", "b.c"): None}
+    assert all(r["corr"] is None for r in profile.correlation_matrix(df.where("false"), df.columns).collect())
+
+
 def test_correlation_of_wide_tables(spark):
     df = spark.range(50).select(*[((F.col("id") * (i + 3) * 7919) % (11 + i)).cast("double").alias(f"c{i}") for i in range(60)])
     got = {(r["a"], r["b"]): r["corr"] for r in profile.correlation_matrix(df, df.columns).collect()}
