@@ -31,6 +31,11 @@ BREAKPOINTS = {
 }
 # digits a concentration is truncated to before it is looked up
 TRUNCATION = {"pm25": 1, "pm10": 0, "co": 1, "so2": 0, "no2": 0}
+# ---- fixed values: public US EPA steps of fine particles from a date on, and of ozone in ppb ----
+REVISED = {"pm25": [("2024-05-06", [(0.0, 9.0), (9.1, 35.4), (35.5, 55.4), (55.5, 125.4), (125.5, 225.4), (225.5, 325.4)])]}
+OZONE_8H = [(0, 54), (55, 70), (71, 85), (86, 105), (106, 200)]
+OZONE_1H_INDEX = [(101, 150), (151, 200), (201, 300), (301, 500)]
+OZONE_1H = [(125, 164), (165, 204), (205, 404), (405, 604)]
 
 
 def _steps(c: Column, values: list) -> Column:

@@ -272,28 +272,65 @@ def multi_window_features(spark, sf_dir):
     return df.withColumns({c: F.round(c, 4) for c in stds}).drop("aqi", "temperature", "humidity")
 
 
+def _ozone_sql(hours: int) -> str:
+    """Steps up to the daily maximum of the trailing mean; needs ``readings``, ends in table ``m``."""
+    return (
+        "h AS (SELECT station_id, date_trunc('hour', time) AS hr, "
+        "sum(CAST(round(o3 * 100) AS BIGINT)) AS s, count(*) AS n FROM readings WHERE o3 IS NOT NULL GROUP BY 1, 2), "
+        "m AS (SELECT station_id, hr, CAST(sum(s) OVER w AS BIGINT) AS s, CAST(sum(n) OVER w AS BIGINT) AS n FROM h "
+        f"WINDOW w AS (PARTITION BY station_id ORDER BY hr RANGE BETWEEN INTERVAL {hours - 1} HOURS PRECEDING AND CURRENT ROW))"
+    )
+
+
+OZONE_MAX = "max(CAST((20 * s + n) // (2 * n) AS DOUBLE) / 1000.0E0)"
+
+
 @query(
     "ozone_8h_daily_max",
-    f"WITH {src.READINGS}, h AS (SELECT station_id, date_trunc('hour', time) AS hr, "
-    "sum(CAST(round(o3 * 100) AS BIGINT)) AS s, count(*) AS n FROM readings WHERE o3 IS NOT NULL GROUP BY 1, 2), "
-    "m AS (SELECT station_id, hr, CAST(sum(s) OVER w AS BIGINT) AS s, CAST(sum(n) OVER w AS BIGINT) AS n FROM h "
-    "WINDOW w AS (PARTITION BY station_id ORDER BY hr RANGE BETWEEN INTERVAL 7 HOURS PRECEDING AND CURRENT ROW)) "
-    "SELECT station_id, CAST(hr AS DATE) AS day, max(CAST((20 * s + n) // (2 * n) AS DOUBLE) / 1000.0E0) AS o3_8h_max "
-    "FROM m GROUP BY 1, 2",
+    f"WITH {src.READINGS}, {_ozone_sql(8)} "
+    f"SELECT station_id, CAST(hr AS DATE) AS day, {OZONE_MAX} AS o3_8h_max FROM m GROUP BY 1, 2",
 )
 def ozone_8h_daily_max(spark, sf_dir):
     return daily_max_of_moving_mean(src.readings(spark, sf_dir), KEY, "time", "o3", 8, out="o3_8h_max", digits=src.DIGITS)
 
 
-def _index_sql(p: str) -> str:
-    t = 10 ** aq.TRUNCATION[p]
-    x = f"(floor({p} * {t}.0E0) / {t}.0E0)"
+def _index_sql(p: str, steps=None, index=aq.INDEX_STEPS, digits=None) -> str:
+    t = 10 ** (aq.TRUNCATION[p] if digits is None else digits)
+    x, steps = f"(floor({p} * {t}.0E0) / {t}.0E0)", steps or aq.BREAKPOINTS[p]
     whens = " ".join(
         f"WHEN {x} <= {float(ch)}E0 THEN {float(il)}E0 + {float(ih - il)}E0 / {float(ch) - float(cl)}E0 * "
         f"({x} - {float(cl)}E0)"
-        for (il, ih), (cl, ch) in zip(aq.INDEX_STEPS, aq.BREAKPOINTS[p])
+        for (il, ih), (cl, ch) in zip(index, steps)
     )
-    return f"CASE WHEN {p} IS NULL THEN NULL {whens} ELSE 500.0E0 END"
+    none = f"{p} IS NULL OR {x} < {float(steps[0][0])}E0" if steps[0][0] else f"{p} IS NULL"
+    return f"CASE WHEN {none} THEN NULL {whens} ELSE {float(index[len(steps) - 1][1])}E0 END"
+
+
+def _dated_sql(p: str) -> str:
+    out = f"round({_index_sql(p)}, 0)"
+    for since, steps in aq.REVISED.get(p, ()):
+        out = f"CASE WHEN {TIME} >= DATE '{since}' THEN round({_index_sql(p, steps)}, 0) ELSE {out} END"
+    return out
+
+
+def _highest_sql(hours: int) -> str:
+    return f"SELECT station_id, CAST(hr AS DATE) AS day, {OZONE_MAX} AS o{hours} FROM (WITH {_ozone_sql(hours)} SELECT * FROM m) GROUP BY 1, 2"
+
+
+@query(
+    "aqi_with_ozone",
+    f"WITH {src.DAILY}, idx AS (SELECT station_id, event_timestamp, "
+    + ", ".join(f"{_dated_sql(p)} AS i_{p}" for p in aq.BREAKPOINTS)
+    + f", greatest(round({_index_sql('o8', aq.OZONE_8H, digits=0)}, 0), "
+    f"round({_index_sql('o1', aq.OZONE_1H, aq.OZONE_1H_INDEX, 0)}, 0)) AS i_o3 FROM (SELECT *, CAST({TIME} AS DATE) AS day FROM daily) d "
+    f"LEFT JOIN ({_highest_sql(8)}) a USING (station_id, day) LEFT JOIN ({_highest_sql(1)}) b USING (station_id, day)) "
+    "SELECT *, greatest(" + ", ".join(f"i_{p}" for p in [*aq.BREAKPOINTS, "o3"]) + ") AS aqi_computed FROM idx",
+)
+def aqi_with_ozone(spark, sf_dir):
+    """Index from six pollutants: ozone by its eight-hour and one-hour means, steps in force on the day."""
+    daily, readings = src.daily(spark, sf_dir), src.readings(spark, sf_dir)
+    df = subindex.add_index_with_ozone(daily, readings, KEY, "time", TIME, digits=src.DIGITS)
+    return df.select(KEY, TIME, *[f"i_{p}" for p in [*aq.BREAKPOINTS, "o3"]], "aqi_computed")
 
 
 @query(

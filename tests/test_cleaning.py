@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stationcast.functions import airquality as aq
 from stationcast.functions.numeric import clamp, exact_mean, to_units
 from stationcast.operators import cleaning, encode
+from stationcast.operators.subindex import ozone_index, pollutant_index
 from stationcast.schemas import CONTRACT, FEATURE_SCHEMA, check_schema, require_columns
 
 
@@ -93,3 +94,12 @@ def test_imputation_variants(spark, rows):
 def test_all_null_columns_are_dropped(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, b double")
     assert cleaning.drop_all_null(df, ["a", "b"]).columns == ["a"]
+
+
+def test_index_steps_change_by_date_and_ozone_takes_the_greater_mean(spark):
+    rows = [(dt.date(2024, 5, 5), 12.0), (dt.date(2024, 5, 6), 12.0), (dt.date(2024, 5, 6), 9.0), (dt.date(2024, 5, 6), 400.0), (dt.date(2024, 5, 6), None)]
+    df = spark.createDataFrame(rows, "day date, v double").select(pollutant_index(F.col("v"), "pm25", F.col("day")).alias("i"))
+    assert [r["i"] for r in df.collect()] == [50.0, 56.0, 50.0, 500.0, None]
+    rows = [(54.9, 100.0), (71.0, 124.9), (71.0, 205.0), (None, 125.0), (300.0, None), (None, 90.0), (10.0, 700.0)]
+    df = spark.createDataFrame(rows, "a double, b double").select(ozone_index(F.col("a"), F.col("b")).alias("i"))
+    assert [r["i"] for r in df.collect()] == [50.0, 101.0, 201.0, 101.0, 300.0, None, 500.0]
