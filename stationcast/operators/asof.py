@@ -23,8 +23,9 @@ def asof_latest(
     the next row of the key or the end of its TTL, so it can only serve requests of its own
     and of the following bucket. Everything is partitioned by (key, bucket): a key with a
     third of all rows spreads over as many tasks as it has buckets, each request matches at
-    most one interval, and no window or group ever holds the history of a key. Either side
-    may be of any size; AQE broadcasts a small one and splits a skewed bucket.
+    most one interval, and no window or group ever holds the history of a key. The features are
+    computed and shuffled by bucket once; a window sees the rows of a bucket and of the next.
+    Either side may be of any size; AQE broadcasts a small one and splits a skewed bucket.
     """
     ttl = F.expr(f"interval {ttl_seconds} seconds")
 
@@ -39,20 +40,21 @@ def asof_latest(
         .agg(F.max(F.struct(created, *values)).alias("_row"))
         .withColumn("_bucket", bucket(F.col(event_time)))
     )
-    # start of validity of the next row: in this bucket, else the first row of the next one
-    first = newest.groupBy(key, (F.col("_bucket") - 1).alias("_bucket")).agg(
-        F.min(event_time).alias("_first_next")
-    )
+    # a row also ends the one before it, which may lie in the bucket before: there it stands without values
+    kind = newest.schema["_row"].dataType
+    ends = newest.select(key, event_time, F.inline(F.array(
+        F.struct("_bucket", F.lit(False).alias("_ahead"), "_row"),
+        F.struct((F.col("_bucket") - 1).alias("_bucket"), F.lit(True).alias("_ahead"), F.lit(None).cast(kind).alias("_row")))))
     w = Window.partitionBy(key, "_bucket").orderBy(event_time)
+    replaced = F.coalesce(~F.lead("_ahead").over(w), F.lit(False))
     valid = (
-        newest.withColumn("_next", F.lead(event_time).over(w))
-        .join(first, [key, "_bucket"], "left")
-        .withColumn("_until", F.coalesce("_next", "_first_next"))
+        ends.withColumns({"_until": F.lead(event_time).over(w), "_replaced": replaced})
+        .where(~F.col("_ahead"))
         .withColumn("_expires", F.col(event_time) + ttl)
         .withColumn("_own", F.col("_bucket"))
         .withColumn("_bucket", F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)))
         # a row replaced inside its own bucket serves nobody in the following one
-        .where((F.col("_bucket") == F.col("_own")) | F.col("_next").isNull())
+        .where((F.col("_bucket") == F.col("_own")) | ~F.col("_replaced"))
     ).alias("v")
     asked = requests.withColumn(
         "_bucket", bucket(F.col(request_time).cast("timestamp_ntz"))
