@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from stationcast.operators.cleaning import iqr_bounds
 from stationcast.plans.features import add_features
+from stationcast.queries import QUERIES, load_all, streams
+from stationcast.queries.features import bounds_before_cut
+from stationcast.queries.inputs import daily
 from stationcast.schemas import CAPPED, HORIZONS, KEY, MEASURES, TIME
 from stationcast.streaming import features as sf
 from stationcast.streaming import history, ingest
 
 D0 = dt.datetime(2024, 1, 1)
 SCHEMA = "k string, t timestamp_ntz, id int, v double"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def land(spark, path, data):
@@ -164,6 +168,32 @@ def test_features_and_forecasts_follow_late_days_and_a_new_model(spark, tmp_path
     assert len(names) > 25 and both.where(reduce(lambda x, y: x & y, map(close, names))).count() == 62
 
 
+@pytest.fixture
+def plain_state(spark):
+    """The session with the state provider that Spark has of itself: it has no column families."""
+    usual = spark.conf.get(STATE_STORE)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(STATE_STORE, plain)
+    yield spark
+    assert spark.conf.get(STATE_STORE) == plain  # left as it was
+    spark.conf.set(STATE_STORE, usual)
+
+
+@pytest.fixture
+def events_dir(spark, tmp_path):
+    kinds = ["view", "click", "purchase", "error", "signup"]
+    data = [(i, at(i % 30, i % 24), i % 2 + 1, kinds[i // 7 % 5], float(i * 13 % 97), f'{{"k": {i % 11}}}') for i in range(400)]
+    df = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_the_feature_stream_brings_its_state_provider(plain_state, events_dir, rows):
+    load_all()
+    got, want = (rows(QUERIES[q](plain_state, events_dir)) for q in ("stream_features", "train_capped_features"))
+    assert got == want and len(got) == 30
+
+
 def test_a_store_scores_with_the_newest_version(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import LinearRegression
