@@ -194,6 +194,20 @@ def test_the_feature_stream_brings_its_state_provider(plain_state, events_dir, r
     assert got == want and len(got) == 30
 
 
+def test_chained_forecasts_bring_their_state_provider(plain_state, events_dir, tmp_path):
+    def score(features):  # says the newest value of the index
+        return features.select(KEY, TIME, F.explode(F.array(*map(F.lit, HORIZONS))).alias("horizon"), F.col("aqi").alias("p_linear"))
+
+    weights = plain_state.createDataFrame([(h, "linear", 1.0) for h in HORIZONS], "horizon string, model string, weight double")
+    bounds = bounds_before_cut(daily(plain_state, events_dir))
+    path = str(tmp_path / "out")
+    sink = sf.forecast_sink(f"{path}/features", f"{path}/forecast", score, weights, F.lit("2024-02-01").cast("date"))
+    streams.run_chained(plain_state, events_dir, path, bounds, sink)
+    found = {r[KEY]: (r["latest_feature_timestamp"], r["blend"]["hd3"]) for r in ingest.current(plain_state, f"{path}/forecast", [KEY]).collect()}
+    newest = {r[KEY]: (r[TIME], r["aqi"]) for r in add_features(daily(plain_state, events_dir), bounds=bounds).orderBy(TIME).collect()}
+    assert found == newest and len(found) == 2
+
+
 def test_a_store_scores_with_the_newest_version(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import LinearRegression
