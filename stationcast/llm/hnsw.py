@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +15,7 @@ BATCH = 256
 FLOOD = 1 << 16  # links followed at once
 DENSE = 256  # nodes, and share of a shard, that a query floods before brute force is cheaper
 BLOCK = 1 << 22  # similarities of a block of brute force
+HITS = 1 << 20  # hits returned at once
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -146,7 +147,7 @@ class Graph:
         # from the top layer down, so that every layer is searched from a finished one above
         for height in range(level.max() if n else -1, -1, -1):
             keep = 2 * M if height == 0 else M
-            layer = Layer(np.full((n, keep), -1, np.int64))
+            layer = Layer(np.full((n, keep), -1, np.int32))
             members = order[level[order] >= height]
             upper = {int(m) for m in members if level[m] > height}
             members = np.array([m for m in members if int(m) in upper] + [m for m in members if int(m) not in upper], np.int64)
@@ -179,29 +180,36 @@ class Graph:
         ef = min(ef, len(self.vectors))
         return self.layers[0].search(self.vectors, queries, upper._descend(queries, self.layers[0].entry), ef)
 
-    def _both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+    def both_ways(self) -> tuple[np.ndarray, np.ndarray]:
         """First place of each node's neighbours, and the neighbours, of the lowest layer's links both ways."""
         links = self.layers[0].links
-        a, b = np.nonzero(links >= 0)
-        b = links[a, b]
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.argsort(a, kind="stable")
-        return np.searchsorted(a[order], np.arange(len(links) + 1)), b[order]
+        there = links >= 0
+        out, ahead = there.sum(1), links[there]
+        into = np.bincount(ahead, minlength=len(links))
+        first = np.concatenate([[0], np.cumsum(out + into)])
+        others = np.empty(first[-1], np.int32)
+        back = np.ones(first[-1], bool)  # a node's own links come first, then those to it
+        back[np.repeat(first[:-1] - np.cumsum(out) + out, out) + np.arange(len(ahead))] = False
+        others[~back] = ahead
+        others[back] = np.repeat(np.arange(len(links), dtype=np.int32), out)[np.argsort(ahead, kind="stable")]
+        return first, others
 
-    def hits(self, queries: np.ndarray, least: float, ef: int, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def hits(self, queries: np.ndarray, least: float, ef: int, slack: float,
+             ways: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Query, node and similarity of all found similarities from ``least``, in parts of bounded size.
 
         The beam leads to the region of a query; from its nodes the region is flooded along the links
         of all nodes down to ``least - slack``, in both directions, as in dense regions pruning leaves
         nodes that no link leads to. A query has as many results as there are. A query whose region is
         so dense that flooding costs more than brute force goes to brute force. Beam 0 is brute force.
+        ``ways`` are the graph's ``both_ways`` if they are at hand.
         """
         if not ef:
             yield from self.brute(queries, least)
             return
         n = len(self.vectors)
         dense = max(DENSE, n // DENSE)
-        first, others = self._both_ways()
+        first, others = ways or self.both_ways()
         for start in range(0, len(queries), BATCH):
             part = queries[start:start + BATCH]
             ids, sims = self.search(part, ef)
@@ -251,17 +259,36 @@ class Graph:
         rows = max(1, BLOCK // len(self.vectors))
         for start in range(0, len(queries), rows):
             sims = queries[start:start + rows] @ self.vectors.T
-            q, node = np.nonzero(sims >= least)
-            yield start + q, node, sims[q, node]
+            flat = np.flatnonzero(sims >= least)
+            for i in range(0, len(flat), HITS):
+                at = flat[i:i + HITS]
+                q, node = np.divmod(at, len(self.vectors))
+                yield start + q, node, sims.reshape(-1)[at]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What ``of`` makes the graph from, beside its vectors; nodes without links are left out."""
+        out = {"entries": np.array([x.entry for x in self.layers], np.int64)}
+        for i, layer in enumerate(self.layers):
+            nodes = np.flatnonzero((layer.links >= 0).any(1))
+            out |= {f"nodes{i}": nodes.astype(np.int32), f"links{i}": layer.links[nodes]}
+        return out
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, arrays: Mapping[str, np.ndarray]) -> Graph:
+        layers = []
+        for i, entry in enumerate(arrays["entries"]):
+            some = arrays[f"links{i}"]
+            links = np.full((len(vectors), some.shape[1]), -1, np.int32)
+            links[arrays[f"nodes{i}"]] = some
+            layers.append(Layer(links, int(entry)))
+        return cls(vectors, layers)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, entries=[x.entry for x in self.layers],
-                 **{f"links{i}": x.links.astype(np.int32) for i, x in enumerate(self.layers)})
+        np.savez(out, vectors=self.vectors, **self.arrays())
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         with np.load(io.BytesIO(data)) as z:
-            layers = [Layer(z[f"links{i}"].astype(np.int64), int(e)) for i, e in enumerate(z["entries"])]
-            return cls(z["vectors"], layers)
+            return cls.of(z["vectors"], z)

@@ -100,3 +100,24 @@ def test_pairs_of_a_dense_group_are_not_held():
     assert (links == near.sum(1) - 1).all()
     assert len(np.unique(root[:n])) == 1
     assert peak < 16 * near.sum()  # the pairs alone would take that
+
+
+def test_rows_of_a_shard_stay_small(spark):
+    x = unit(np.random.default_rng(6).normal(size=(6000, 64)))
+    df = spark.createDataFrame([(i, 64, 0, v.tolist(), 1) for i, v in enumerate(x)], "id long, dims int, shard int, vector array<double>, n_rows long")
+    graphs = embedding_dedup.shard_graphs(df, 1, 0.95)
+    binary = [f.name for f in graphs.schema if f.dataType.typeName() == "binary"]
+    largest = graphs.selectExpr(f"max(greatest({', '.join(f'length({c})' for c in [*binary, binary[0]])}))").first()[0]
+    assert largest <= 1 << 20  # executors hold and copy whole rows
+
+
+def test_pieces_blocks_and_parts_of_queries(spark, monkeypatch):
+    for name, value in {"SHARDS": 2, "BLOCKS": 3, "QUERIES": 50, "PIECE": 5000}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    x = vectors().astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_components(df).orderBy("vec_id").collect()
+    links, root = brute(x)
+    own = np.array([r["n_links"] for r in got])
+    assert (own <= links).all() and own.sum() >= 0.99 * links.sum()
+    assert np.mean([r["component_id"] == c for r, c in zip(got, root)]) >= 0.99
